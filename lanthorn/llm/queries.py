@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanthorn.llm import format_dupes, set_pairs
+from lanthorn.llm import canonical, format_dupes, set_pairs
 from lanthorn.session import checkpoint, table
 
 QUERIES: dict = {}
@@ -84,3 +84,32 @@ def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = members.groupBy("set_id").agg(F.count("*").alias("copies")).join(ends, "set_id", "left")
     out = members.select("side", "id", "set_id").join(classes, "set_id")
     return out.select("side", "id", F.lower(F.hex("set_id")).alias("class_id"), "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
+# --- 4: free-entered values to a canonical list -----------------------------------------------------------------------
+
+
+def entered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, row_id, engine, pos, name) of every entered product name."""
+    none = [F.lit("").alias("engine"), F.lit(0).alias("pos")]
+
+    def plain(name, key, field):
+        return table(spark, sf_dir, name).select(F.lit(f"{name}.{field}").alias("field"), F.col(key).cast("bigint").alias("row_id"), *none, F.col(field).alias("name"))
+
+    alias = table(spark, sf_dir, "alias_entry").select(F.col("alias_id").cast("bigint").alias("row_id"), F.explode("alias").alias("engine", "names"))
+    alias = alias.select(F.lit("alias_entry.alias").alias("field"), "row_id", "engine", F.posexplode("names").alias("pos", "name"))
+    out = plain("native_finger", "finger_id", "name").unionByName(plain("ehole", "ehole_id", "cms")).unionByName(plain("goby", "goby_id", "name"))
+    return out.unionByName(alias)
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapped = canonical.map_entries(entered_names(spark, sf_dir), table(spark, sf_dir, "product_list"))
+    return mapped.select("field", "row_id", "engine", "pos", "canon_id").distinct()
+
+
+@query
+def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct names that reach no entry, with their number of rows."""
+    names = canonical.map_names(entered_names(spark, sf_dir).where("name is not null"), table(spark, sf_dir, "product_list"))
+    return names.where("canon_id = 0").select("name", F.col("n").alias("rows"))
