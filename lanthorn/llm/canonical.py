@@ -71,20 +71,26 @@ def plain_forms(s: str) -> list[str]:
     return list(forms)
 
 
-def readings(name: str | None, kinds: dict[str, list[str]] = KINDS) -> list[tuple[str, str]]:
-    """(text, kind) in every way the name can be read; kind '' takes the text as a whole."""
+def readings(name: str | None, kinds: dict[str, list[str]] = KINDS) -> list[tuple[str, str, int]]:
+    """(text, kind, slips) in every way the name can be read; kind '' takes the text as a whole.
+
+    A kind word stands behind the text, written in any way, or whole before it; a whole kind word may hold one slip.
+    """
     s = fold(name)
-    out = []
+    out: dict[tuple[str, str], int] = {}
     for t in plain_forms(s) if s else ():
-        out.append((t, ""))
+        out[t, ""] = 0
         for kind, others in kinds.items():
             for k in (kind, *others):
-                if len(t) > len(k) + 2:
-                    if t.endswith(k):
-                        out.append((t.removesuffix(k), kind))
-                    if t.startswith(k) and k == kind:
-                        out.append((t.removeprefix(k), kind))
-    return list(dict.fromkeys(out))
+                if len(t) > len(k) + 2 and t.endswith(k):
+                    out[t.removesuffix(k), kind] = 0
+            if len(t) > len(kind) + 2 and t.startswith(kind):
+                out[t.removeprefix(kind), kind] = 0
+            for n in (len(kind), len(kind) - 1, len(kind) + 1) if len(kind) >= 5 else ():
+                # letters in common first: the distance is only taken where it can be 1
+                if len(t) > n + 2 and t[-n] == kind[0] and edits(t[-n:], kind, 1) == 1:
+                    out.setdefault((t[:-n], kind), 1)
+    return [(t, k, d) for (t, k), d in out.items()]
 
 
 def tokens(text: str) -> list[str]:
@@ -138,7 +144,7 @@ def references(products: list[tuple[int, str, str | None, list[str] | None]]) ->
         by_word[word].add(cid)
     out = []
     for cid, word, kind, vendor, aka in parsed:
-        texts = [(word, kind), (vendor + word, kind), (word + kind, ""), (kind + word, ""), (vendor + word + kind, "")]
+        texts = [(word, kind), (vendor + word, kind)]
         texts += [(x, k) for a in aka for x in (a, vendor + a) for k in {"", kind}]
         if len(by_word[word]) == 1:
             texts += [(word, ""), (vendor + word, "")]
@@ -163,13 +169,14 @@ def map_names(names: DataFrame, products: DataFrame, t: float = THRESHOLD) -> Da
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(n, text, kind, order(tokens(text))) for n in b.column(0).to_pylist() for text, kind in readings(n)]
-            cols = zip(*out) if out else [[]] * 4
-            kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["name", "text", "kind", "tokens"])
-
-    left = distinct.select("name").mapInArrow(read, "name string, text string, kind string, tokens array<string>")
-    left = left.select(F.struct("name", "text").alias("left_id"), "kind", "tokens")
+            out = [(n, text, slips, kind, order(tokens(text))) for n in b.column(0).to_pylist() for text, kind, slips in readings(n)]
+            cols = zip(*out) if out else [[]] * 5
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()))
+            names = ["name", "text", "slips", "kind", "tokens"]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
+
+    left = distinct.select("name").mapInArrow(read, "name string, text string, slips int, kind string, tokens array<string>")
+    left = left.select(F.struct("name", "text", "slips").alias("left_id"), "kind", "tokens")
     pairs = prefix_join.jaccard_join(left, right.select("right_id", "kind", "tokens"), t, on=("kind",))
     cand = pairs.join(F.broadcast(right.select("right_id", "ref", "canon_id")), "right_id")  # at most RANKED entries
 
@@ -179,7 +186,7 @@ def map_names(names: DataFrame, products: DataFrame, t: float = THRESHOLD) -> Da
 
         return pd.Series([d if (d := edits(x, y, allowed(y))) <= allowed(y) else None for x, y in zip(a, b)], dtype="Int32")
 
-    scored = cand.withColumn("d", distance(F.col("left_id.text"), F.col("ref"))).where("d is not null")
+    scored = cand.withColumn("d", distance(F.col("left_id.text"), F.col("ref")) + F.col("left_id.slips")).where("d <= 2")
     best = scored.groupBy(F.col("left_id.name").alias("name")).agg(
         F.min_by("canon_id", F.struct("d", -F.col("jaccard"), "canon_id")).alias("canon_id")
     )
