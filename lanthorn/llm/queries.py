@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanthorn.llm import canonical, format_dupes, set_pairs
+from lanthorn.llm import canonical, format_dupes, linkage, mixing, packing, set_pairs, tokens
 from lanthorn.session import checkpoint, table
 
 QUERIES: dict = {}
@@ -113,3 +113,67 @@ def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct names that reach no entry, with their number of rows."""
     names = canonical.map_names(entered_names(spark, sf_dir).where("name is not null"), table(spark, sf_dir, "product_list"))
     return names.where("canon_id = 0").select("name", F.col("n").alias("rows"))
+
+
+# --- 5: matching entities across sources without keys -----------------------------------------------------------------
+
+
+def native_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finger = table(spark, sf_dir, "native_finger")
+    rules = F.filter(F.coalesce("rule", F.array()), lambda r: r.isNotNull())
+    some = lambda x: F.coalesce(x, F.array().cast("array<string>"))
+    icons = F.flatten(F.transform(rules, lambda r: some(r["favicon"]["mmh3"])))
+    return linkage.with_evidence(finger.select("finger_id", "name", "vendor", "product", "link", icons.alias("icons")), linkage.native_evidence)
+
+
+def app_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apps = table(spark, sf_dir, "wapp_app").select("app_id", "app", "cpe", "website")
+    icons = linkage.app_icons(apps, table(spark, sf_dir, "favicon"))
+    return linkage.with_evidence(apps.join(icons, "app_id", "left"), linkage.app_evidence)
+
+
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.link(native_records(spark, sf_dir), app_records(spark, sf_dir))
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(spark, sf_dir).select(F.col("left_id").alias("finger_id"), F.col("right_id").alias("app_id")).distinct()
+
+
+@query
+def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matching pairs with the posterior of a match and the votes of the functions."""
+    votes = F.concat_ws(",", F.transform("votes", lambda v: v.cast("string")))
+    out = linked(spark, sf_dir).groupBy(F.col("left_id").alias("finger_id"), F.col("right_id").alias("app_id"))
+    return out.agg(F.max("confidence").alias("confidence"), F.max(votes).alias("votes"))
+
+
+# --- 8 and 9: containers and mixtures ---------------------------------------------------------------------------------
+
+
+def sized_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """doc_id, further columns and n_tokens; written once, since counting tokens is the dear part."""
+    docs = table(spark, sf_dir, "documents")
+    return checkpoint(tokens.count_tokens(docs.select("doc_id", *columns, "text"), ["doc_id", *columns]))
+
+
+@query
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(sized_documents(spark, sf_dir), table(spark, sf_dir, "pack_spec"))
+
+
+@query
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = table(spark, sf_dir, "pack_spec")
+    return packing.report(packing.pack(sized_documents(spark, sf_dir), specs), specs)
+
+
+@query
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(sized_documents(spark, sf_dir, "source"), table(spark, sf_dir, "mix_target"))[0]
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(sized_documents(spark, sf_dir, "source"), table(spark, sf_dir, "mix_target"))[1]
