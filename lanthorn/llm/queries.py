@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanthorn.llm import canonical, format_dupes, linkage, mixing, packing, set_pairs, tokens
+from lanthorn.llm import canonical, format_dupes, language, linkage, mixing, packing, set_pairs, tokens
 from lanthorn.session import checkpoint, table
 
 QUERIES: dict = {}
@@ -177,3 +177,27 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized_documents(spark, sf_dir, "source"), table(spark, sf_dir, "mix_target"))[1]
+
+
+# --- 10: missing or wrong language labels -----------------------------------------------------------------------------
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return language.languages(docs, language.fit(docs))
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = judged(spark, sf_dir).where("main is not null")
+    # a document gives its own row where the label is missing, no language or another one, and a row for each passage
+    own = F.when(F.col("label").isNull() | (F.col("label") != F.col("main")), F.array(F.struct(F.lit(0).alias("block_no"), F.col("main").alias("lang"))))
+    parts = F.transform("passages", lambda p: F.struct(p["block_no"].alias("block_no"), p["lang"].alias("lang")))
+    both = F.concat(F.coalesce(own, F.array().cast("array<struct<block_no:int,lang:string>>")), parts)
+    return rows.select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.block_no", "x.lang").distinct()
+
+
+@query
+def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its language and confidence (null without prose) and its number of foreign passages."""
+    return judged(spark, sf_dir).select("doc_id", F.col("main").alias("lang"), "confidence", F.size("passages").alias("passages"))
