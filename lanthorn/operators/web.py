@@ -218,7 +218,7 @@ def app_frameworks(responses: DataFrame, apps: DataFrame) -> DataFrame:
     for part in ("html", "scriptsrc"):
         hits = hits.unionByName(app_text_hits(responses, apps, part))
     keyed = F.col("part").isin("headers", "cookies", "meta")
-    rank = F.struct((F.col("version") != "").alias("has"), keyed.alias("keyed"), F.when(keyed, -F.col("idx")).otherwise(F.col("idx")).alias("i"), F.col("part"), F.col("key"), F.col("app_id"))
+    rank = F.struct((F.col("version") != "").alias("has"), keyed.alias("keyed"), F.when(keyed, -F.col("idx")).otherwise(F.col("idx")).alias("i"), F.col("part"), F.col("key"), F.col("app_id"), F.col("version"))
     out = hits.groupBy("resp_id", F.lower("app").alias("name"))
     return out.agg(F.max_by("version", rank).alias("version"), F.array_join(F.sort_array(F.collect_set("part")), ",").alias("parts"), F.min("app_id").alias("app_id"))
 
