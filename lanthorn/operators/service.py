@@ -15,7 +15,10 @@ PROTOCOLS = {
     "msrpc": "rpc", "ms-sql-s": "mssql", "domain": "dns", "svnserve": "svn", "ibm-db2": "db2", "socks-proxy": "socks5",
 }
 #: Ports on which TLS is expected (fixed values).
-TLS_PORTS = (443, 465, 636, 989, 990, 992, 993, 994, 995, 8443, 9443)
+TLS_PORTS = (443, 465, 636, 989, 990, 992, 993, 994, 995, 5986, 8443)
+#: Ports that try the HTTP request early, and those that try the TLS probes early (fixed values).
+HTTP_FIRST = (80, 443, 8000, 8080, 8443, 8888, 9090)
+TLS_FIRST = (443, 3389, 8443)
 
 
 def fix_protocol(c: Column) -> Column:
@@ -23,9 +26,8 @@ def fix_protocol(c: Column) -> Column:
     underscores become hyphens."""
     exact = F.try_element_at(F.create_map(*[F.lit(x) for kv in PROTOCOLS.items() for x in kv]), c)
     ssl = F.when(c.startswith("ssl/") & (F.length(c) > 4), F.concat(F.substr(c, F.lit(5)), F.lit("-ssl")))
-    s = F.coalesce(ssl, c)
-    s = F.when(s.rlike("^[0-9]"), F.concat(F.lit("S"), s)).otherwise(s)
-    return F.coalesce(exact, F.translate(s, "_", "-"))
+    s = F.when(c.rlike("^[0-9]"), F.concat(F.lit("S"), c)).otherwise(c)
+    return F.coalesce(exact, ssl, F.translate(s, "_", "-"))
 
 
 def fix_service_name(c: Column) -> Column:
@@ -89,17 +91,58 @@ def probe_order(probes: DataFrame, port: int, level: int) -> DataFrame:
     """Probes for a port in order: those without payload, those for the port by rarity, those for it under TLS, the rest by
     rarity up to ``level``; each probe once, at its first place. ``probes``: name, rarity, ports, ssl_ports, seq, payload."""
     has = lambda c: F.coalesce(F.array_contains(c, port), F.lit(False))
+    tls = F.size(F.coalesce("ssl_ports", F.array().cast("array<int>"))) > 0
+    early = (F.lit(port in HTTP_FIRST) & (F.col("name") == "GetRequest")) | (F.lit(port in TLS_FIRST) & tls)
     layer = (
-        F.when(F.coalesce("payload", F.lit("")) == "", 0).when(has("ports") & (F.col("rarity") >= 1), 1).when(has("ssl_ports"), 2).when((F.col("rarity") >= 1) & (F.col("rarity") <= level), 3)
+        F.when(F.coalesce("payload", F.lit("")) == "", 0).when((has("ports") | early) & (F.col("rarity") >= 1), 1).when(has("ssl_ports"), 2).when((F.col("rarity") >= 1) & (F.col("rarity") <= level), 3)
     )
     d = probes.withColumn("layer", layer).where("layer is not null")
     from pyspark.sql import Window
 
     # the probe catalogue is a few hundred rows: one window over all of it
-    place = F.row_number().over(Window.orderBy("layer", "rarity", "seq", "name"))
+    place = F.row_number().over(Window.orderBy("layer", "rarity", F.when(early, 0).otherwise(1), "seq", "name"))
     return d.select(place.alias("place"), "name", "layer")
 
 
+def udp_probes(probes: DataFrame, port: int, level: int) -> DataFrame:
+    """UDP probes for a port: rarity up to ``level``, made for the port or for none in particular, by rarity and name."""
+    fit = F.coalesce(F.size("ports"), F.lit(0)) <= 0
+    p = probes.where((F.upper("protocol") == "UDP") & (F.col("rarity") <= level) & (fit | F.coalesce(F.array_contains("ports", port), F.lit(False))))
+    return p.select("name", "rarity").orderBy("rarity", "name")
+
+
+def classify(error: Column, service: Column) -> Column:
+    """State of a probe response: Closed where nobody listens, Matched with a service, NotMatched otherwise."""
+    closed = F.lower(error).rlike("refused|no route|unreachable")
+    return F.when(closed, "Closed").when((F.coalesce(error, F.lit("")) != "") | (F.coalesce(service, F.lit("")) == ""), "NotMatched").otherwise("Matched")
+
+
+def second_pass(first: DataFrame, tls_banners: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Targets whose service is ssl are matched again on what they answered within TLS; http found there is https."""
+    again = tls_banners.join(first.where("service = 'ssl'").select("target"), "target", "left_semi")
+    inner = identify(again, catalogue).withColumn("service", F.when(F.col("service") == "http", "https").otherwise(F.col("service")))
+    best = inner.groupBy("target").agg(F.min_by(F.struct("service", "version"), F.struct("soft", "idx", "probe")).alias("b")).select("target", "b.*")
+    other = first.where("service != 'ssl'").select("target", "service", "version")
+    kept = first.where("service = 'ssl'").join(best, "target", "left_anti").select("target", "service", "version")
+    return other.unionByName(best).unionByName(kept)
+
+
+def frameworks(results: DataFrame) -> DataFrame:
+    """(target, name, version, vendor, product, tags): one row per application cpe of a result, else one row.
+
+    ``results``: target, service, product, version, vendor, info, hostname, device, cpes.
+    """
+    tag = lambda k, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(k), c) if k else c)
+    tags = F.array_compact(F.array(tag("vendor:", F.col("vendor")), tag("", F.col("info")), tag("hostname:", F.col("hostname")), tag("device:", F.col("device"))))
+    apps = F.filter(F.coalesce("cpes", F.array().cast("array<string>")), lambda c: F.lower(c).startswith("cpe:/a:"))
+    d = results.withColumn("tags", tags).withColumn("cpe", F.explode_outer(apps))
+    at = lambda i: F.get(F.split(F.regexp_replace("cpe", "^cpe:/a:", ""), ":"), F.lit(i))
+    return d.select(
+        "target", F.coalesce(at(1), "product", fix_protocol(F.col("service"))).alias("name"), F.coalesce(F.when(F.col("version") != "", F.col("version")), at(2)).alias("version"),
+        F.coalesce(at(0), "vendor").alias("vendor"), F.coalesce(at(1), "product").alias("product"), F.array_join("tags", ",").alias("tags"),
+    )
+
+
 def socket_first(responses: DataFrame, fingers: DataFrame) -> DataFrame:
     """(resp_id, finger_id, name): the first tcp finger whose body keyword is in the message as it stands.
 

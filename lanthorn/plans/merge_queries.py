@@ -277,7 +277,7 @@ def port_guess(spark, d):
 PROBES = [("NULL", 0, [], [], 0, ""), ("GetRequest", 1, [80, 8080], [443], 1, "GET /"), ("TLS", 2, [], [443], 2, "\x16"), ("Rare", 9, [443], [], 3, "x"), ("Zero", 0, [443], [], 4, "z"), ("Common", 3, [], [], 5, "c")]
 
 
-@query("SELECT * FROM (VALUES (1, 'NULL', 0), (2, 'Rare', 1), (3, 'GetRequest', 2), (4, 'TLS', 2), (5, 'Common', 3)) t(place, name, layer)")
+@query("SELECT * FROM (VALUES (1, 'NULL', 0), (2, 'GetRequest', 1), (3, 'TLS', 1), (4, 'Rare', 1), (5, 'Common', 3)) t(place, name, layer)")
 def probe_order(spark, d):
     p = spark.createDataFrame(PROBES, "name string, rarity int, ports array<int>, ssl_ports array<int>, seq int, payload string")
     return service.probe_order(p, 443, 7)
@@ -318,3 +318,94 @@ def rule_equivalence(spark, d):
     left = 'status_code == 200 && contains(body, "alpha") && contains(all_headers, "beta")'
     right = 'contains(body, "alpha") && contains(all_headers, "beta")'
     return equivalence.report(equivalence.compare(spark, left, right, ["alpha"], ["beta"]))
+
+
+@query(f"SELECT resp_id, CAST(port AS INTEGER) IN {service.TLS_PORTS} AS tls FROM responses WHERE regexp_full_match(port, '[0-9]{{1,5}}')")
+def tls_port(spark, d):
+    r = table(spark, d, "responses").select("resp_id", parse.port_struct(F.col("port")).alias("p")).where("p.port is not null and p.proto = 'tcp'")
+    return r.select("resp_id", F.col("p.port").isin(*service.TLS_PORTS).alias("tls"))
+
+
+STATES = [("t1", "connection refused", None), ("t2", "i/o timeout", None), ("t3", None, "http"), ("t4", None, ""), ("t5", "no route to host", "x"), ("t6", "", "ssh")]
+
+
+@query(f"""SELECT target, CASE WHEN regexp_matches(lower(error), 'refused|no route|unreachable') THEN 'Closed' WHEN coalesce(error, '') <> '' OR coalesce(service, '') = '' THEN 'NotMatched' ELSE 'Matched' END AS state
+FROM (VALUES {_values(STATES)}) t(target, error, service)""")
+def response_classify(spark, d):
+    s = spark.createDataFrame(STATES, "target string, error string, service string")
+    return s.select("target", service.classify(F.col("error"), F.col("service")).alias("state"))
+
+
+UDP = [("a", "UDP", 1, [137]), ("b", "udp", 3, []), ("c", "UDP", 9, []), ("d", "TCP", 1, [137]), ("e", "UDP", 2, [53])]
+
+
+@query("SELECT * FROM (VALUES ('a', 1), ('b', 3)) t(name, rarity)")
+def udp_probe_filter(spark, d):
+    return service.udp_probes(spark.createDataFrame(UDP, "name string, protocol string, rarity int, ports array<int>"), 137, 7)
+
+
+@query("SELECT * FROM (VALUES ('t1', 'https', '1.18.0'), ('t2', 'ssl', NULL), ('t3', 'ssh', '9')) t(target, service, version)")
+def ssl_second_pass(spark, d):
+    first = spark.createDataFrame([("t1", "ssl", None), ("t2", "ssl", None), ("t3", "ssh", "9")], "target string, service string, version string")
+    inner = spark.createDataFrame([("t1", "GetRequest", BANNERS[2][2]), ("t3", "GetRequest", BANNERS[2][2])], "target string, probe string, data string")
+    return service.second_pass(first, inner, _matches(spark).where("probe = 'GetRequest'"))
+
+
+RESULTS = [("t1", "http", "nginx", "1.18", None, "web", None, None, ["cpe:/a:igor:nginx:1.18", "cpe:/o:linux:kernel"]), ("t2", "ssl/http", None, "", "v", None, "h", "router", None), ("t3", "x", "p", None, None, None, None, None, ["cpe:/a:m:p1", "cpe:/a:m:p2:7"])]
+
+
+@query("SELECT * FROM (VALUES ('t1', 'nginx', '1.18', 'igor', 'nginx', 'web'), ('t2', 'https', NULL, 'v', NULL, 'vendor:v,hostname:h,device:router'), ('t3', 'p1', NULL, 'm', 'p1', ''), ('t3', 'p2', '7', 'm', 'p2', '')) t(target, name, version, vendor, product, tags)")
+def service_frameworks(spark, d):
+    r = spark.createDataFrame(RESULTS, "target string, service string, product string, version string, vendor string, info string, hostname string, device string, cpes array<string>")
+    return service.frameworks(r)
+
+
+@query("""SELECT h.host, count(*) AS responses, CAST(bool_or(a.site IS NOT NULL) AS BOOLEAN) AS listed FROM responses h LEFT JOIN
+(SELECT DISTINCT regexp_replace(regexp_extract(lower(website), '^(?:https?:)?(?://)?(?:www[.])?([^/?#]+)', 1), '^www[.]', '') AS site FROM wapp_app WHERE website IS NOT NULL) a
+ON list_aggregate(list_slice(string_split(h.host, '.'), -2, -1), 'string_agg', '.') = a.site GROUP BY h.host""")
+def target_match(spark, d):
+    """Hosts whose registered domain is some application's website."""
+    site = F.regexp_extract(F.lower("website"), r"^(?:https?:)?(?://)?(?:www[.])?([^/?#]+)", 1)
+    sites = table(spark, d, "wapp_app").where("website is not null").select(site.alias("site")).distinct()
+    h = table(spark, d, "responses").groupBy("host").agg(F.count("*").alias("responses")).withColumn("site", F.substring_index("host", ".", -2))
+    return h.join(sites.withColumn("hit", F.lit(True)), "site", "left").select("host", "responses", F.coalesce("hit", F.lit(False)).alias("listed"))
+
+
+@query(f"""WITH {AMAP}, h AS (SELECT DISTINCT lower(trim(engine)) AS engine, name FROM hits WHERE name IS NOT NULL AND engine IS NOT NULL),
+p AS (SELECT DISTINCT engine, lower(n) AS n FROM pairs WHERE n IS NOT NULL) SELECT h.engine, h.name, bool_or(contains(lower(h.name), p.n)) AS expected FROM h JOIN p ON h.engine = p.engine GROUP BY 1, 2""")
+def expected_alias(spark, d):
+    """Names that hold an alias name of their engine, as the expectation check counts them; distinct names against the
+    alias list, found by the keyword index."""
+    from lanthorn.operators import keywords
+
+    p = table(spark, d, "alias_entry").select(F.explode("alias").alias("e", "ns")).select(alias.engine_key(F.col("e")).alias("engine"), F.explode("ns").alias("n"))
+    p = p.where("n is not null").select("engine", F.lower("n").alias("pattern")).distinct()
+    h = table(spark, d, "hits").where("name is not null and engine is not null").select(alias.engine_key(F.col("engine")).alias("engine"), "name").distinct()
+    h = h.join(p.select("engine").distinct(), "engine", "left_semi")
+    hit = keywords.keyword_hits(h.select(F.struct("engine", "name").alias("id"), F.lower("name").alias("text")), p).select("id.*", "pattern")
+    yes = hit.join(p, ["engine", "pattern"], "left_semi").select("engine", "name").distinct().withColumn("hit", F.lit(True))
+    return h.join(yes, ["engine", "name"], "left").select("engine", "name", F.coalesce("hit", F.lit(False)).alias("expected"))
+
+
+PRESETS = [("web", ["80", "8000-8002"]), ("win", ["445", "winrm"])]
+
+
+@query("SELECT * FROM (VALUES ('web', '80'), ('web', '8000'), ('web', '8001'), ('web', '8002'), ('win', '445'), ('win', 'winrm')) t(name, port)")
+def port_presets(spark, d):
+    p = spark.createDataFrame(PRESETS, "name string, ports array<string>")
+    return p.select("name", F.explode(parse.expand_ports(F.col("ports"))).alias("port"))
+
+
+@query("SELECT resp_id, 'xray_hdr_' || replace(lower(trim(split_part(line, ':', 1))), '-', '_') AS variable FROM (SELECT DISTINCT resp_id, UNNEST(string_split_regex(regexp_extract(raw, '(?s)^(.*?)\\r\\n\\r\\n', 1), '\\r?\\n')) AS line FROM responses) WHERE instr(line, ':') > 0 GROUP BY ALL")
+def header_variables(spark, d):
+    """Names under which expressions see the headers."""
+    header, _ = parse.after_split(F.col("raw"))
+    keys = F.array_distinct(F.transform(parse.header_lines(header), lambda x: x["key"]))
+    r = table(spark, d, "responses").select("resp_id", F.explode(keys).alias("k"))
+    return r.select("resp_id", F.concat(F.lit("xray_hdr_"), F.translate("k", "-", "_")).alias("variable"))
+
+
+@query("SELECT resp_id, regexp_replace(raw, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g') AS clean FROM responses WHERE raw IS NOT NULL")
+def strip_controls(spark, d):
+    r = table(spark, d, "responses").where("raw is not null")
+    return r.select("resp_id", F.regexp_replace("raw", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "").alias("clean"))
