@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanthorn.session import checkpoint
+
 #: Share of the records with a value on both sides whose values must agree for a rename.
 SAME_SHARE = 0.5
 
@@ -78,8 +80,9 @@ def changes(df: DataFrame, same_share: float = SAME_SHARE, names: Sequence[str]
     ``same_share`` of the records that have both. Values are compared by record and file through a join on
     (feed, file, record) that only the fields which went or came take part in.
     """
-    values = path_values(df, names=names)
-    files = file_fields(values)
+    # the parsed values feed six branches: they are written once instead of parsing every payload six times
+    values = checkpoint(path_values(df, names=names))
+    files = checkpoint(file_fields(values))
     before = files.select("feed", (F.col("file_seq") + 1).alias("file_seq"), F.col("fields").alias("old"))
     pair = files.join(before, ["feed", "file_seq"]).withColumns(
         {
