@@ -28,6 +28,8 @@ from lanthorn.llm import prefix_join
 from lanthorn.operators.skew import skew_join
 
 THRESHOLD = 0.45
+#: Edits that any reference text tolerates.
+MOST_EDITS = 2
 #: Kind words with their usual abbreviation and translations.
 KINDS = {
     "monitor": ["mon", "监控"], "board": ["brd", "看板"], "storage": ["stor", "存储"], "search": ["srch", "搜索"],
@@ -129,7 +131,7 @@ def edits(a: str, b: str, most: int) -> int:
 
 def allowed(text: str) -> int:
     """Edits that a reference text tolerates."""
-    return 2 if len(text) >= 8 else 1 if len(text) >= 6 else 0
+    return MOST_EDITS if len(text) >= 8 else 1 if len(text) >= 6 else 0
 
 
 def references(products: list[tuple[int, str, str | None, list[str] | None]]) -> list[tuple[str, str, int]]:
@@ -176,8 +178,10 @@ def map_names(names: DataFrame, products: DataFrame, t: float = THRESHOLD) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
 
     left = distinct.select("name").mapInArrow(read, "name string, text string, slips int, kind string, tokens array<string>")
-    left = left.select(F.struct("name", "text", "slips").alias("left_id"), "kind", "tokens")
-    pairs = prefix_join.jaccard_join(left, right.select("right_id", "kind", "tokens"), t, on=("kind",))
+    left = left.select(F.struct("name", "text", "slips").alias("left_id"), "kind", "tokens", F.length("text").alias("letters"))
+    # an edit changes the length by one at most, so only texts of like length can pass the check behind the join
+    near = right.select("right_id", "kind", "tokens", F.length("ref").alias("letters"))
+    pairs = prefix_join.jaccard_join(left, near, t, on=("kind",), within=("letters", MOST_EDITS))
     cand = pairs.join(F.broadcast(right.select("right_id", "ref", "canon_id")), "right_id")  # at most RANKED entries
 
     @F.pandas_udf("int")
@@ -186,7 +190,7 @@ def map_names(names: DataFrame, products: DataFrame, t: float = THRESHOLD) -> Da
 
         return pd.Series([d if (d := edits(x, y, allowed(y))) <= allowed(y) else None for x, y in zip(a, b)], dtype="Int32")
 
-    scored = cand.withColumn("d", distance(F.col("left_id.text"), F.col("ref")) + F.col("left_id.slips")).where("d <= 2")
+    scored = cand.withColumn("d", distance(F.col("left_id.text"), F.col("ref")) + F.col("left_id.slips")).where(F.col("d") <= MOST_EDITS)
     best = scored.groupBy(F.col("left_id.name").alias("name")).agg(
         F.min_by("canon_id", F.struct("d", -F.col("jaccard"), "canon_id")).alias("canon_id")
     )

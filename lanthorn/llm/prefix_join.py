@@ -38,16 +38,20 @@ def prefix(tokens: Column, t: float) -> Column:
     return F.slice(tokens, 1, F.greatest(F.lit(0), n - F.ceil(n * F.lit(t) - F.lit(1e-9)).cast("int") + 1))
 
 
-def jaccard_join(left: DataFrame, right: DataFrame, t: float, on: tuple[str, ...] = ()) -> DataFrame:
+def jaccard_join(left: DataFrame, right: DataFrame, t: float, on: tuple[str, ...] = (), within: tuple[str, int] | None = None) -> DataFrame:
     """Pairs (left_id, right_id, jaccard) of rows (left_id, tokens, *on) and (right_id, tokens, *on) with Jaccard >= t.
 
-    ``tokens`` are distinct and in the global order; ``on`` are further columns that must be equal.
+    ``tokens`` are distinct and in the global order; ``on`` are further columns that must be equal. ``within`` names a
+    number of both sides that may differ by so much at most, for callers whose own check needs that anyway.
     """
-    lp = left.select("left_id", *on, F.col("tokens").alias("lt"), F.posexplode(prefix(F.col("tokens"), t)).alias("lpos", "token"))
-    rp = right.select("right_id", *on, F.col("tokens").alias("rt"), F.posexplode(prefix(F.col("tokens"), t)).alias("rpos", "token"))
+    extra = [within[0]] if within else []
+    lp = left.select("left_id", *on, *[F.col(c).alias("lx") for c in extra], F.col("tokens").alias("lt"), F.posexplode(prefix(F.col("tokens"), t)).alias("lpos", "token"))
+    rp = right.select("right_id", *on, *[F.col(c).alias("rx") for c in extra], F.col("tokens").alias("rt"), F.posexplode(prefix(F.col("tokens"), t)).alias("rpos", "token"))
     a, b = F.size("lt"), F.size("rt")
     need = F.ceil((a + b) * F.lit(t / (1 + t)) - F.lit(1e-9))
     met = lp.join(rp, [*on, "token"])
+    if within:
+        met = met.where(F.abs(F.col("lx") - F.col("rx")) <= within[1])
     met = met.where((a >= b * F.lit(t) - 1e-9) & (b >= a * F.lit(t) - 1e-9))
     # at the first common token of the prefixes nothing before is shared: verify there, once per pair
     met = met.where(F.least(a - F.col("lpos"), b - F.col("rpos")) >= need)

@@ -5,6 +5,8 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lanthorn.llm import canonical, prefix_join
 
 
@@ -20,6 +22,10 @@ def test_jaccard_join_against_all_pairs(spark):
             got = sorted((r.left_id, r.right_id, round(r.jaccard, 9)) for r in prefix_join.jaccard_join(left, right, t, on=("k",)).collect())
             want = sorted((i, j, round(s, 9)) for i, k, x in a for j, m, y in b if k == m and (s := len(set(x) & set(y)) / len(set(x) | set(y))) >= t - 1e-9)
             assert got == want
+            sized = [d.withColumn("n", F.size("tokens")) for d in (left, right)]
+            near = sorted((r.left_id, r.right_id) for r in prefix_join.jaccard_join(*sized, t, on=("k",), within=("n", 2)).collect())
+            size = lambda rows: {i: len(x) for i, _, x in rows}
+            assert near == [(i, j) for i, j, _ in want if abs(size(a)[i] - size(b)[j]) <= 2]
 
 
 @settings(max_examples=300, deadline=None)
