@@ -99,27 +99,29 @@ class Scheme:
             segs[((h & MASK) >> 17) % m].append(h)
         return segs
 
-    def signatures(self, tokens: list[int], cost: dict[int, float]) -> Iterator[tuple[int, int]]:
-        """(signature, role): role 0 probes what role 1 (whole) stores, 2 probes what role 3 (one deleted) stores."""
-        k = self.where[len(tokens)]
-        for code, h in self.index.get(k, ()):
+    def stored(self, tokens: list[int]) -> Iterator[tuple[int, int]]:
+        """(signature, role) of a set in the index: role 1 for whole segments, 3 for those with one token left out."""
+        for code, h in self.index.get(self.where[len(tokens)], ()):
             for i, seg in enumerate(self.cut(tokens, h + 1)):
                 total = sum(seg)
                 yield mix(code, i, total, len(seg)), 1
                 for x in seg:
                     yield mix(code, i, total - x, len(seg) - 1), 3
-        for code, h in self.probe.get(k, ()):
+
+    def probes(self, tokens: list[int], cost: dict[int, float]) -> Iterator[tuple[int, int]]:
+        """(signature, role) with which a set looks in the index, by the role of what it may meet there."""
+        for code, h in self.probe.get(self.where[len(tokens)], ()):
             segs = self.cut(tokens, h + 1)
             for i, (seg, tol) in enumerate(zip(segs, allocate(segs, cost, h + 1))):
                 if tol < 0:
                     continue
                 total = sum(seg)
                 own = mix(code, i, total, len(seg))
-                yield own, 0
+                yield own, 1
                 if tol:
-                    yield own, 2
+                    yield own, 3
                     for x in seg:
-                        yield mix(code, i, total - x, len(seg) - 1), 0
+                        yield mix(code, i, total - x, len(seg) - 1), 1
 
 
 def plain_items(items: Column) -> Column:
@@ -144,21 +146,21 @@ def similar_classes(members: DataFrame, t: float = 0.6, least: int = 3) -> DataF
     common = hashed.select(F.explode("tokens").alias("h")).groupBy("h").count().where(F.col("count") > max(2, COMMON * n))
     cost = hashed.sparkSession.sparkContext.broadcast({r.h: float(r["count"]) for r in common.collect()})
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            idx, sig, role = [], [], []
-            for i, tokens in enumerate(b.column(1).to_pylist()):
-                for s, r in scheme.signatures(tokens, cost.value):
-                    idx.append(i)
-                    sig.append(s)
-                    role.append(r)
-            ids = b.column(0).take(pa.array(idx, pa.int32()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sig, pa.int64()), pa.array(role, pa.int8())], names=["set_id", "sig", "role"])
-
-    signed = hashed.mapInArrow(sign, "set_id binary, sig bigint, role tinyint").distinct()
-    probe = signed.where("role in (0, 2)").select(F.col("set_id").alias("a"), "sig", (F.col("role") + 1).alias("role"))
-    index = signed.where("role in (1, 3)").select(F.col("set_id").alias("b"), "sig", F.col("role").cast("int").alias("role"))
-    met = probe.withColumn("role", F.col("role").cast("int")).join(index, ["sig", "role"]).where("a != b")
+    def signed(side: str, make) -> DataFrame:
+        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                idx, sig, role = [], [], []
+                for i, tokens in enumerate(b.column(1).to_pylist()):
+                    for s, r in make(tokens):
+                        idx.append(i)
+                        sig.append(s)
+                        role.append(r)
+                ids = b.column(0).take(pa.array(idx, pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sig, pa.int64()), pa.array(role, pa.int8())], names=[side, "sig", "role"])
+
+        return hashed.mapInArrow(sign, f"{side} binary, sig bigint, role tinyint")
+
+    met = signed("a", lambda t: scheme.probes(t, cost.value)).join(signed("b", scheme.stored), ["sig", "role"]).where("a != b")
     # two sets of one band probe each other: keep the pair once
     pairs = met.select(F.least("a", "b").alias("left_set"), F.greatest("a", "b").alias("right_set")).distinct()
     left = classes.select(F.col("set_id").alias("left_set"), F.col("universe").alias("lu"), F.col("items").alias("li"))

@@ -54,5 +54,4 @@ def test_no_pair_is_lost_by_the_allocation():
         if a == b or len(a & b) < 0.6 * len(a | b):
             continue
         x, y = (a, b) if len(a) <= len(b) else (b, a)
-        probe = {(s, r + 1) for s, r in scheme.signatures(sorted(x), cost) if r in (0, 2)}
-        assert probe & {(s, r) for s, r in scheme.signatures(sorted(y), cost) if r in (1, 3)}
+        assert set(scheme.probes(sorted(x), cost)) & set(scheme.stored(sorted(y)))
