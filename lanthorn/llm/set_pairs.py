@@ -9,6 +9,10 @@ chosen by cost: empty segments and those made of common tokens are left out wher
 index) stores each segment and its one-deletion variants; probes meet them in an equi-join on signature hashes, and
 candidates are verified exactly on the items.
 
+A signature of common tokens only (or of none) would bring together a large part of all sets. Such signatures are
+refined with one of the rarest tokens: of the l - ceil(t l) + 1 rarest tokens of either set of a similar pair, one is
+shared, so both sides repeat a hot signature for each of these and again no pair is lost.
+
 Defined results: null items do not count, items are compared trimmed and without case, sets of fewer than ``least`` items
 take no part, an id entered twice with one set gives no pair with itself. Sets of any size work; the number of bands
 grows with the logarithm of the size.
@@ -23,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A token in more than this share of all classes is common; at most (mean size / COMMON) tokens are, so their list is bounded.
-COMMON = 0.0005
+#: A token is common in more than COMMON x sqrt(classes) classes; at most (mean size x sqrt(classes) / COMMON) tokens are.
+COMMON = 0.25
 MASK = (1 << 64) - 1
 GROWTH = 1.2
 
@@ -78,6 +82,7 @@ class Scheme:
     """Bands, their pairs and the signatures of a set given as token hashes."""
 
     def __init__(self, t: float, least: int, largest: int):
+        self.t = t
         self.bands = bands(least, largest)
         self.where = {size: k for k, (lo, hi) in enumerate(self.bands) for size in range(lo, hi + 1)}
         self.probe: dict[int, list[tuple[int, int]]] = {}
@@ -99,29 +104,47 @@ class Scheme:
             segs[((h & MASK) >> 17) % m].append(h)
         return segs
 
-    def stored(self, tokens: list[int]) -> Iterator[tuple[int, int]]:
+    def _emit(self, code: int, i: int, total: int, size: int, rare: int, ends: list[int]) -> Iterator[int]:
+        if rare:
+            yield mix(code, i, total, size)
+        else:
+            for p in ends:
+                yield mix(code, i, total + (p | 1) * 0xD6E8FEB86659FD93, size + 1_000_000)
+
+    def ends(self, tokens: list[int], cost: dict[int, float]) -> list[int]:
+        """The rarest tokens of a set, of which one is in any set similar to it."""
+        n = len(tokens) - math.ceil(self.t * len(tokens) - 1e-9) + 1
+        return sorted(tokens, key=lambda h: (cost.get(h, 1.0), h))[:n]
+
+    def stored(self, tokens: list[int], cost: dict[int, float]) -> Iterator[tuple[int, int]]:
         """(signature, role) of a set in the index: role 1 for whole segments, 3 for those with one token left out."""
+        ends = self.ends(tokens, cost)
         for code, h in self.index.get(self.where[len(tokens)], ()):
             for i, seg in enumerate(self.cut(tokens, h + 1)):
-                total = sum(seg)
-                yield mix(code, i, total, len(seg)), 1
+                total, rare = sum(seg), sum(x not in cost for x in seg)
+                for s in self._emit(code, i, total, len(seg), rare, ends):
+                    yield s, 1
                 for x in seg:
-                    yield mix(code, i, total - x, len(seg) - 1), 3
+                    for s in self._emit(code, i, total - x, len(seg) - 1, rare - (x not in cost), ends):
+                        yield s, 3
 
     def probes(self, tokens: list[int], cost: dict[int, float]) -> Iterator[tuple[int, int]]:
         """(signature, role) with which a set looks in the index, by the role of what it may meet there."""
+        ends = self.ends(tokens, cost)
         for code, h in self.probe.get(self.where[len(tokens)], ()):
             segs = self.cut(tokens, h + 1)
             for i, (seg, tol) in enumerate(zip(segs, allocate(segs, cost, h + 1))):
                 if tol < 0:
                     continue
-                total = sum(seg)
-                own = mix(code, i, total, len(seg))
-                yield own, 1
+                total, rare = sum(seg), sum(x not in cost for x in seg)
+                for own in self._emit(code, i, total, len(seg), rare, ends):
+                    yield own, 1
+                    if tol:
+                        yield own, 3
                 if tol:
-                    yield own, 3
                     for x in seg:
-                        yield mix(code, i, total - x, len(seg) - 1), 1
+                        for s in self._emit(code, i, total - x, len(seg) - 1, rare - (x not in cost), ends):
+                            yield s, 1
 
 
 def plain_items(items: Column) -> Column:
@@ -143,7 +166,7 @@ def similar_classes(members: DataFrame, t: float = 0.6, least: int = 3) -> DataF
     hashed = classes.select("set_id", F.transform("items", lambda x: F.xxhash64("universe", x)).alias("tokens"))
     largest, n = hashed.agg(F.max(F.size("tokens")), F.count("*")).first()
     scheme = Scheme(t, least, largest or least)
-    common = hashed.select(F.explode("tokens").alias("h")).groupBy("h").count().where(F.col("count") > max(2, COMMON * n))
+    common = hashed.select(F.explode("tokens").alias("h")).groupBy("h").count().where(F.col("count") > max(2, COMMON * math.sqrt(n)))
     cost = hashed.sparkSession.sparkContext.broadcast({r.h: float(r["count"]) for r in common.collect()})
 
     def signed(side: str, make) -> DataFrame:
@@ -160,7 +183,7 @@ def similar_classes(members: DataFrame, t: float = 0.6, least: int = 3) -> DataF
 
         return hashed.mapInArrow(sign, f"{side} binary, sig bigint, role tinyint")
 
-    met = signed("a", lambda t: scheme.probes(t, cost.value)).join(signed("b", scheme.stored), ["sig", "role"]).where("a != b")
+    met = signed("a", lambda t: scheme.probes(t, cost.value)).join(signed("b", lambda t: scheme.stored(t, cost.value)), ["sig", "role"]).where("a != b")
     # two sets of one band probe each other: keep the pair once
     pairs = met.select(F.least("a", "b").alias("left_set"), F.greatest("a", "b").alias("right_set")).distinct()
     left = classes.select(F.col("set_id").alias("left_set"), F.col("universe").alias("lu"), F.col("items").alias("li"))
