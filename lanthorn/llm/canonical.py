@@ -166,18 +166,18 @@ def map_names(names: DataFrame, products: DataFrame, t: float = THRESHOLD) -> Da
     order = prefix_join.ordered(prefix_join.rarity_rank(tokens(r[0]) for r in refs))
     right = spark.createDataFrame(
         [(i, kind, order(tokens(text)), text, cid) for i, (text, kind, cid) in enumerate(refs)],
-        "right_id int, kind string, tokens array<string>, ref string, canon_id bigint",
+        "right_id int, kind string, tokens array<bigint>, ref string, canon_id bigint",
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [(n, text, slips, kind, order(tokens(text))) for n in b.column(0).to_pylist() for text, kind, slips in readings(n)]
             cols = zip(*out) if out else [[]] * 5
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()))
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64()))
             names = ["name", "text", "slips", "kind", "tokens"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
 
-    left = distinct.select("name").mapInArrow(read, "name string, text string, slips int, kind string, tokens array<string>")
+    left = distinct.select("name").mapInArrow(read, "name string, text string, slips int, kind string, tokens array<bigint>")
     left = left.select(F.struct("name", "text", "slips").alias("left_id"), "kind", "tokens", F.length("text").alias("letters"))
     # an edit changes the length by one at most, so only texts of like length can pass the check behind the join
     near = right.select("right_id", "kind", "tokens", F.length("ref").alias("letters"))

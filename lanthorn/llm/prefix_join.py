@@ -24,13 +24,17 @@ def rarity_rank(token_sets: Iterable[Iterable[str]]) -> dict[str, int]:
     return {t: i for i, t in enumerate(sorted(count, key=lambda t: (count[t], t)))}
 
 
-def ordered(rank: dict[str, int] | None) -> Callable[[Iterable[str]], list[str]]:
-    """Sort of a token set in the global order. Unranked tokens are the rarest: no reference set holds them."""
-    from zlib import crc32
+def ordered(rank: dict[str, int] | None) -> Callable[[Iterable[str]], list[int]]:
+    """Token sets as numbers in the global order. Unranked tokens are the rarest: no reference set holds them."""
+
+    def number(token: str) -> int:
+        from hashlib import blake2b
+
+        return int.from_bytes(blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 2
 
     if rank is None:
-        return lambda tokens: sorted(set(tokens), key=lambda t: (crc32(t.encode("utf-8", "surrogatepass")), t))
-    return lambda tokens: sorted(set(tokens), key=lambda t: (rank.get(t, -1), t))
+        return lambda tokens: sorted({number(t) for t in tokens})
+    return lambda tokens: sorted({n if (n := rank.get(t)) is not None else -1 - number(t) for t in tokens})
 
 
 def prefix(tokens: Column, t: float) -> Column:

@@ -17,8 +17,8 @@ def test_jaccard_join_against_all_pairs(spark):
         b = [(i, rnd.choice("xy"), list({f"t{int(rnd.random() ** 2 * 25)}" for _ in range(rnd.randint(1, 12))})) for i in range(80)]
         for rank in (prefix_join.rarity_rank(x[2] for x in b), None):
             order = prefix_join.ordered(rank)
-            left = spark.createDataFrame([(i, k, order(x)) for i, k, x in a] + [(900, "x", [])], "left_id int, k string, tokens array<string>")
-            right = spark.createDataFrame([(i, k, order(x)) for i, k, x in b] + [(900, "x", [])], "right_id int, k string, tokens array<string>")
+            left = spark.createDataFrame([(i, k, order(x)) for i, k, x in a] + [(900, "x", [])], "left_id int, k string, tokens array<bigint>")
+            right = spark.createDataFrame([(i, k, order(x)) for i, k, x in b] + [(900, "x", [])], "right_id int, k string, tokens array<bigint>")
             got = sorted((r.left_id, r.right_id, round(r.jaccard, 9)) for r in prefix_join.jaccard_join(left, right, t, on=("k",)).collect())
             want = sorted((i, j, round(s, 9)) for i, k, x in a for j, m, y in b if k == m and (s := len(set(x) & set(y)) / len(set(x) | set(y))) >= t - 1e-9)
             assert got == want
