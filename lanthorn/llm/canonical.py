@@ -164,6 +164,7 @@ def map_names(names: DataFrame, products: DataFrame, t: float = THRESHOLD) -> Da
         raise ValueError(f"the product list has more than {prefix_join.RANKED} entries")
     refs = sorted(set(references([tuple(r) for r in listed])))
     order = prefix_join.ordered(prefix_join.rarity_rank(tokens(r[0]) for r in refs))
+    longest = max((len(r[0]) for r in refs), default=0) + MOST_EDITS
     right = spark.createDataFrame(
         [(i, kind, order(tokens(text)), text, cid) for i, (text, kind, cid) in enumerate(refs)],
         "right_id int, kind string, tokens array<bigint>, ref string, canon_id bigint",
@@ -171,7 +172,7 @@ def map_names(names: DataFrame, products: DataFrame, t: float = THRESHOLD) -> Da
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(n, text, slips, kind, order(tokens(text))) for n in b.column(0).to_pylist() for text, kind, slips in readings(n)]
+            out = [(n, text, slips, kind, order(tokens(text))) for n in b.column(0).to_pylist() for text, kind, slips in readings(n) if len(text) <= longest]
             cols = zip(*out) if out else [[]] * 5
             kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64()))
             names = ["name", "text", "slips", "kind", "tokens"]

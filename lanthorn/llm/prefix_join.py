@@ -49,6 +49,10 @@ def jaccard_join(left: DataFrame, right: DataFrame, t: float, on: tuple[str, ...
     number of both sides that may differ by so much at most, for callers whose own check needs that anyway.
     """
     extra = [within[0]] if within else []
+    # a set that no set of the other side can reach by size would carry its tokens along for nothing
+    ends = right.agg(F.min(F.size("tokens")).alias("_lo"), F.max(F.size("tokens")).alias("_hi"))
+    n = F.size("tokens")
+    left = left.join(F.broadcast(ends)).where((n >= F.col("_lo") * F.lit(t) - 1e-9) & (n * F.lit(t) - 1e-9 <= F.col("_hi")))
     lp = left.select("left_id", *on, *[F.col(c).alias("lx") for c in extra], F.col("tokens").alias("lt"), F.posexplode(prefix(F.col("tokens"), t)).alias("lpos", "token"))
     rp = right.select("right_id", *on, *[F.col(c).alias("rx") for c in extra], F.col("tokens").alias("rt"), F.posexplode(prefix(F.col("tokens"), t)).alias("rpos", "token"))
     a, b = F.size("lt"), F.size("rt")
