@@ -43,6 +43,8 @@ KINDS = {
 LOOKALIKE = str.maketrans("авеёкмнорстухіѕјԁցһӏοαερτυνικ", "abeekmhopctyxisjdghloaeptuvik")
 BEFORE = ("poweredby", "the")
 BEHIND = ("loginpage", "登录", "community", "webui", "oem", "enterprise", "edition")
+#: Markup of a space, also where stray marks stand within it.
+SPACE = re.compile(r"&[\W_]*n[\W_]*b[\W_]*s[\W_]*p[\W_]*;|%[\W_]*2[\W_]*0", re.I)
 VERSION = re.compile(r"\d+(?:(?:rc|sp|beta|alpha)\d*)*$")
 
 
@@ -50,7 +52,8 @@ def fold(text: str | None) -> str:
     """Letters and digits of a name, folded."""
     if not text:
         return ""
-    s = unicodedata.normalize("NFKC", unquote(html.unescape(unicodedata.normalize("NFKC", text))))
+    s = SPACE.sub(" ", unicodedata.normalize("NFKC", text))
+    s = unicodedata.normalize("NFKC", unquote(html.unescape(s)))
     s = s.casefold().translate(LOOKALIKE)
     return "".join(c for c in s if c.isalnum())
 

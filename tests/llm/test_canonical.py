@@ -52,7 +52,7 @@ def test_names(spark):
         "canon_id int, canon_name string, vendor string, also_known_as array<string>",
     )
     cases = {
-        "STEZZTRURN_MONITOR": 1, "Monitor, Stezztrurn": 1, "Stezztrurn%20Mon": 1, "Stezztrurn&nbsp;Monitor v2.19 SP2": 1, "Fete Labs Stez​ztrurn Moni-tor": 1, "stеzztrurn": 1,
+        "STEZZTRURN_MONITOR": 1, "Monitor, Stezztrurn": 1, "Stezztrurn%20Mon": 1, "Stezztrurn&nbsp;Monitor v2.19 SP2": 1, "Stezztrurn&n-\u200bbsp;Monitor": 1, "Fete Labs Stez​ztrurn Moni-tor": 1, "stеzztrurn": 1,
         "Ｓtezztrurn监控": 1, "Storkstrim": 1, "powered by Stezztrurn Monitor": 1, "the Stezztrurn Monitor web ui": 1, "Stezztrurn Monitor 登录": 1, "Steztzruurn Monitor": 1,
         "Vrixdront": 0, "vrixdront rtr": 3, "Vrixdront Thermostat": 0, "Vrixdront Cloud-1": 2, "Vrixdrond Cloud": 5, "Flezzcrizz Server-5.19 SP2": 4, "Flezzcrizz Srv 5.1": 4,
         "Fete Labs": 0, "Fete Labs WebUI": 0, "???": 0, "": 0, None: 0, "x" * 20_000: 0,
