@@ -9,8 +9,8 @@ posterior of a match is the confidence.
 
 Scale: votes have few values, so only the counts of vote patterns (at most 3^7) reach the driver and the fitted
 posteriors go back as a table of that size; candidates themselves never leave the executors. Rows that agree in all
-evidence are one class, matched once and expanded at the end. Blocking keys met by more than ``max_block`` classes of a
-side are joined like any other only if another key of the pair is rarer: a stock icon or maker name alone is no key.
+evidence are one class, matched once and expanded at the end. A blocking key held by many classes is joined in blocks
+of bounded size, all of them: its pairs are as many as the classes of both sides give.
 
 Defined results: nulls and empty texts are no evidence. A record without any blocking key has no candidates. Rows
 entered several times are all linked.
@@ -176,25 +176,28 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 def candidates(left: DataFrame, right: DataFrame, max_block: int = 1000) -> DataFrame:
     """(left_rep, right_rep) pairs that share a blocking key.
 
-    Deletion variants meet whole words and each other. Keys of more than ``max_block`` classes on both sides together
-    would pair records that have nothing but a common icon or address in common; such keys are refined with the
-    maker or the kind of the record, so a hot key splits instead of being dropped.
+    Deletion variants meet whole words and each other. A key with more than ``max_block`` squared pairs is joined in
+    blocks: each side is cut into parts of about ``max_block`` classes and every part meets all parts of the other side,
+    so the work of a key spreads over tasks and the pairs do not depend on ``max_block``.
     """
 
     def keyed(df, rep):
-        return df.select(F.col("rep").alias(rep), "maker", "kind", F.explode("keys").alias("key"))
+        return df.select(F.col("rep").alias(rep), F.explode("keys").alias("key"))
 
     lk, rk = keyed(left, "left_rep"), keyed(right, "right_rep")
     count = lambda d, c: d.groupBy("key").agg(F.count("*").alias(c))
     size = count(lk, "l").join(count(rk, "r"), "key")
-    hot = size.where(F.col("l") * F.col("r") > max_block * max_block).select("key", F.lit(True).alias("hot"))
+    parts = lambda c: F.ceil(F.col(c) / F.lit(max_block)).cast("int")
+    hot = size.where(F.col("l") * F.col("r") > max_block * max_block).select("key", parts("l").alias("l_parts"), parts("r").alias("r_parts"))
 
-    def refine(df):
+    def spread(df, rep, own, other):
         d = df.join(hot, "key", "left")
-        by = F.explode(F.when(F.col("hot"), F.array(F.concat(F.lit("m:"), "maker"), F.concat(F.lit("k:"), "kind"))).otherwise(F.array(F.lit(""))))
-        return d.withColumn("part", by).where("part not in ('m:', 'k:')").drop("hot", "maker", "kind")
+        mine = F.coalesce(F.pmod(F.xxhash64(rep), F.col(f"{own}_parts")), F.lit(0)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"{other}_parts"), F.lit(1)) - 1))
+        return d.select(rep, "key", mine.alias(f"{own}_part"), every.alias(f"{other}_part"))
 
-    return refine(lk).join(refine(rk), ["key", "part"]).select("left_rep", "right_rep").distinct()
+    met = spread(lk, "left_rep", "l", "r").join(spread(rk, "right_rep", "r", "l"), ["key", "l_part", "r_part"])
+    return met.select("left_rep", "right_rep").distinct()
 
 
 def near(a: str, b: str) -> int:

@@ -49,3 +49,13 @@ def test_links_of_small_tables(spark):
     assert linkage.link(left.limit(0), right).count() == 0
     # one key held by most records splits instead of being dropped
     assert {(x.left_rep, x.right_rep) for x in linkage.candidates(linkage.classes(left)[0], linkage.classes(right)[0], max_block=1).collect()} >= {(i, 1000 + i) for i in range(60)}
+
+
+def test_candidates_do_not_depend_on_the_block_size(spark):
+    # a hot word: maker and kind missing on a side, only one of them on each, or of another kind at the same address
+    left = [(i, m, k, ["w:hot", f"w:l{i}"]) for i, (m, k) in enumerate([("", ""), ("mk", ""), ("", "mail"), ("mk", "mail"), ("other", "shop")] * 3)]
+    right = [(100 + i, m, k, ["w:hot", f"w:r{i}"]) for i, (m, k) in enumerate([("", ""), ("mk", ""), ("", "router"), ("third", "mail")] * 2)]
+    l, r = (spark.createDataFrame(x, "rep bigint, maker string, kind string, keys array<string>") for x in (left, right))  # noqa: E741
+    want = sorted((a[0], b[0]) for a in left for b in right)
+    for most in (1, 2, 7, 1000):
+        assert sorted(map(tuple, linkage.candidates(l, r, max_block=most).collect())) == want
