@@ -63,7 +63,11 @@ def identify(banners: DataFrame, catalogue: DataFrame) -> DataFrame:
     In order, the first soft match fixes the service and later matches must have it; the first hard match that may
     count wins; with none, the first soft match stands, without version.
     """
-    met = banner_matches(banners, catalogue)
+    return choose(banner_matches(banners, catalogue))
+
+
+def choose(met: DataFrame) -> DataFrame:
+    """The winning match of each (target, probe) among the pairs that hold, as ``identify`` gives it."""
     key = ["target", "probe"]
     soft = met.where("soft").groupBy(*key).agg(F.min("idx").alias("s_idx"), F.min_by("service", "idx").alias("s_service"))
     ok = F.col("s_idx").isNull() | (F.col("idx") < F.col("s_idx")) | (F.col("service") == F.col("s_service"))
@@ -78,6 +82,48 @@ def identify(banners: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
 
 
+def catalogue_probes(nodes: DataFrame) -> DataFrame:
+    """(seq, name, protocol, rarity, ports, ssl_ports, payload) of the probe records of an adjacency table.
+
+    Each record is a probe of its own, seq being its id. The records do not carry what a probe sends: the NULL probes
+    (by name) send nothing, all others something, for which the name stands in ``payload``.
+    """
+    one = lambda p: F.max(F.when(F.col("path") == p, F.col("scalar")))
+    many = lambda p: F.sort_array(F.collect_set(F.when(F.col("path") == p, F.col("scalar").try_cast("int"))))
+    d = nodes.where("kind = 'probe' and type != 'bad'").groupBy("rec_id", "key").agg(
+        one(".name").alias("name"), one(".protocol").alias("protocol"), one(".rarity").try_cast("int").alias("rarity"),
+        many(".ports").alias("ports"), many(".ssl_ports").alias("ssl_ports"),
+    )
+    silent = F.lower(F.coalesce("name", F.lit(""))).endswith("null")
+    return d.select(F.col("rec_id").alias("seq"), "name", "protocol", "rarity", "ports", "ssl_ports", F.when(silent, "").otherwise(F.coalesce("name", F.lit("?"))).alias("payload"))
+
+
+def catalogue_matches(nodes: DataFrame) -> DataFrame:
+    """(probe, idx, soft, service, pattern, version) of the probe records of an adjacency table; probe is the record's id."""
+    one = lambda p: F.max(F.when(F.col("path") == f".matches.{p}", F.col("scalar")))
+    inner = nodes.where("kind = 'probe' and path like '.matches.%'").groupBy(F.col("rec_id").alias("probe"), "key", F.col("anc")[0].alias("idx"))
+    d = inner.agg(one("soft").alias("soft"), one("service").alias("service"), one("pattern").alias("pattern"), one("version_info.version").alias("version"))
+    return d.select("probe", "idx", F.coalesce(F.lower("soft") == "true", F.lit(False)).alias("soft"), "service", "pattern", "version")
+
+
+def identify_messages(messages: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``identify`` of (target, data) rows that do not tell their probe: the matches of every probe are tried.
+
+    A pattern runs on the messages that hold its required literal; patterns without one meet all messages.
+    """
+    from lanthorn.operators import keywords, native
+
+    m = catalogue.where("pattern is not null")
+    lit = native._literals(m.select("pattern").distinct())
+    exprs = m.join(F.broadcast(lit), "pattern")
+    texts = messages.where("data is not null").select(F.struct("target", "data").alias("id"), F.lower("data").alias("text"))
+    words = exprs.where("literal is not null")
+    hit = keywords.keyword_hits(texts, words.select(F.col("literal").alias("pattern")).distinct()).select("id.*", F.col("pattern").alias("literal"))
+    near = hit.join(words, "literal").where("regexp_like(data, pattern)").drop("literal")
+    far = messages.join(F.broadcast(exprs.where("literal is null").drop("literal"))).where("regexp_like(data, pattern)")
+    return choose(near.unionByName(far))
+
+
 def identify_with_fallback(banners: DataFrame, catalogue: DataFrame, fallback: DataFrame) -> DataFrame:
     """``identify``; banners without result are matched once more against the fallback probe's matches (one step)."""
     first = identify(banners, catalogue)

@@ -252,6 +252,40 @@ def soft_hard_counts(spark, d):
     return _matches(spark).groupBy("probe").agg(F.count_if("soft").alias("soft"), F.count_if(~F.col("soft")).alias("hard"))
 
 
+def _nodes(spark, d):
+    from lanthorn.plans import data_queries
+
+    return data_queries.nested_nodes(spark, d).where("kind = 'probe'")
+
+
+@query()
+def catalogue_soft_hard(spark, d):
+    """``soft_hard_counts`` of the probe records; a probe without matches counts 0."""
+    nodes = _nodes(spark, d)
+    n = service.catalogue_matches(nodes).groupBy("probe").agg(F.count_if("soft").alias("soft"), F.count_if(~F.col("soft")).alias("hard"))
+    p = service.catalogue_probes(nodes).select(F.col("seq").alias("rec_id"), "name")
+    return p.join(n.withColumnRenamed("probe", "rec_id"), "rec_id", "left").select("rec_id", "name", F.coalesce("soft", F.lit(0)).alias("soft"), F.coalesce("hard", F.lit(0)).alias("hard"))
+
+
+@query()
+def catalogue_probe_order(spark, d):
+    """``probe_order`` of the probe records for the same port and level."""
+    return service.probe_order(service.catalogue_probes(_nodes(spark, d)), 443, 7)
+
+
+@query()
+def catalogue_udp_probes(spark, d):
+    """``udp_probe_filter`` of the probe records for the same port and level."""
+    return service.udp_probes(service.catalogue_probes(_nodes(spark, d)), 137, 7)
+
+
+@query()
+def catalogue_identify(spark, d):
+    """Services of the captured responses by the matches of the probe records, soft and hard."""
+    messages = table(spark, d, "responses").select(F.col("resp_id").alias("target"), F.col("raw").alias("data"))
+    return service.identify_messages(messages, service.catalogue_matches(_nodes(spark, d)))
+
+
 NAMES = ["ssl/http", "ms-wbt-server", "ssl/ftp", "3com_x", "http", "a_b", "domain", "www", "www-http", "HTTP-SSL", "nameserver", "", "my_sql"]
 
 

@@ -276,3 +276,25 @@ def test_streams_equal_batches(spark, data, tmp_path):
     matches.match_stream(spark, str(src), match, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).drop("batch").collect()), key=str)
     assert got == sorted(map(tuple, match(spark.read.parquet(str(src))).collect()), key=str)
+
+
+def test_services_by_the_probe_records(spark, tmp_path):
+    from lanthorn.plans import merge_queries as q
+
+    match = lambda soft, svc, pat, **k: {"soft": soft, "service": svc, "pattern": pat, **k}
+    ftp = [match(True, "ftp", "^220 "), match(False, "smtp", "^220 .*FileZilla"), match(False, "ftp", "FileZilla Server ([0-9.]+)", version_info={"version": "$1"})]
+    probes = [
+        {"name": "FtpNull", "protocol": "tcp", "rarity": None, "ports": None, "ssl_ports": [], "matches": ftp},
+        {"name": "WebGet", "protocol": "TCP", "rarity": "1", "ports": [80, 443], "ssl_ports": [443], "matches": json.dumps([match(False, "ssl/http", "[a-z]/([0-9.]+)", version_info={"version": "v$1"}), match(False, "bad", "(")])},
+        {"name": "NamePing", "protocol": "UDP", "rarity": 3, "ports": [137], "ssl_ports": None, "matches": None},
+        {"name": "RareHello", "protocol": "udp", "rarity": 9, "ports": [], "ssl_ports": None},
+    ]
+    rows = [(i, "probe", json.dumps(p)) for i, p in enumerate(probes, 1)] + [(8, "probe", "{"), (9, "template", '{"name": "x"}'), (10, "probe", None)]
+    spark.createDataFrame(rows, "rec_id bigint, kind string, payload string").write.parquet(str(tmp_path / "nested_record.parquet"))
+    raw = [(1, "220 files FileZilla Server 0.9"), (2, "220 ready"), (3, "HTTP/1.1 200\r\nServer: nginx/1.18"), (4, "filezilla"), (5, None)]
+    spark.createDataFrame(raw, "resp_id bigint, raw string").write.parquet(str(tmp_path / "responses.parquet"))
+    got = lambda fn: sorted(map(tuple, fn(spark, str(tmp_path)).collect()))
+    assert got(q.catalogue_soft_hard) == [(1, "FtpNull", 1, 2), (2, "WebGet", 0, 2), (3, "NamePing", 0, 0), (4, "RareHello", 0, 0)]
+    assert got(q.catalogue_probe_order) == [(1, "FtpNull", 0), (2, "WebGet", 1), (3, "NamePing", 3)]
+    assert got(q.catalogue_udp_probes) == [("NamePing", 3)]
+    assert got(q.catalogue_identify) == [(1, 1, 2, False, "ftp", "0.9"), (2, 1, 0, True, "ftp", None), (3, 2, 0, False, "https", "v1.18")]
