@@ -1,7 +1,7 @@
 """Matching two catalogues without a shared id by a label model.
 
 Both sides become evidence records: product words, kind, maker, addresses and icon hashes, taken from free-entered
-fields. Candidate pairs share a blocking key (a word, a word with one letter left out, an address, a rare icon hash). Matching
+fields. Candidate pairs share a blocking key (a word, a word with one or two letters left out, an address, a rare icon hash). Matching
 functions vote on each candidate: agree, disagree or abstain. A generative model of the votes is fitted without labels by
 expectation maximisation: each function has its rates of votes among matches and among others; pairs of functions whose
 votes stay dependent given the class are modelled jointly, so that correlated functions do not count twice. The
@@ -81,8 +81,11 @@ def split_name(name: str | None) -> tuple[str, str]:
 
 
 def deletions(word: str) -> list[str]:
-    """The word and its variants with one letter left out."""
-    return [word, *dict.fromkeys(word[:i] + word[i + 1 :] for i in range(len(word)))] if len(word) >= 5 else [word]
+    """The word and its variants with as many letters left out as ``near`` allows edits: words it calls near share one."""
+    out = {word: None}
+    for _ in range(2 if len(word) >= 7 else 1 if len(word) >= 5 else 0):
+        out |= dict.fromkeys(w[:i] + w[i + 1 :] for w in list(out) for i in range(len(w)))
+    return list(out)
 
 
 def evidence(name: str | None, maker: str | None, product: str | None, urls: list[str | None], icons: list[int]) -> tuple:

@@ -59,3 +59,17 @@ def test_candidates_do_not_depend_on_the_block_size(spark):
     want = sorted((a[0], b[0]) for a in left for b in right)
     for most in (1, 2, 7, 1000):
         assert sorted(map(tuple, linkage.candidates(l, r, max_block=most).collect())) == want
+
+
+def test_words_that_are_near_share_a_key():
+    rnd = random.Random(3)
+    slips = [
+        lambda w, i: w[:i] + rnd.choice("abc") + w[i:], lambda w, i: w[:i] + w[i + 1 :], lambda w, i: w[:i] + rnd.choice("abc") + w[i + 1 :], lambda w, i: w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :],
+    ]
+    for _ in range(3000):
+        a = b = "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(4, 10)))
+        for _ in range(rnd.randint(1, 2)):
+            b = rnd.choice(slips)(b, rnd.randrange(len(b)))
+        if linkage.near(a, b) == 1:
+            assert set(linkage.deletions(a)) & set(linkage.deletions(b)), (a, b)
+    assert set(linkage.deletions("fitimuta")) & set(linkage.deletions("fitiimtua"))
