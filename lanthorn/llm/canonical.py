@@ -45,6 +45,12 @@ BEFORE = ("poweredby", "the")
 BEHIND = ("loginpage", "登录", "community", "webui", "oem", "enterprise", "edition")
 #: Markup of a space, also where stray marks stand within it.
 SPACE = re.compile(r"&[\W_]*n[\W_]*b[\W_]*s[\W_]*p[\W_]*;|%[\W_]*2[\W_]*0", re.I)
+#: Kind words by themselves and by what is left of them without one letter.
+SLIPS: dict[str, list[str]] = defaultdict(list)
+for _k in KINDS:
+    for _v in {_k, *(_k[:i] + _k[i + 1 :] for i in range(len(_k)))}:
+        SLIPS[_v].append(_k)
+SLIP_LENGTHS = range(min(map(len, KINDS)) - 1, max(map(len, KINDS)) + 2)
 VERSION = re.compile(r"\d+(?:(?:rc|sp|beta|alpha)\d*)*$")
 
 
@@ -76,10 +82,18 @@ def plain_forms(s: str) -> list[str]:
     return list(forms)
 
 
+def slipped(piece: str) -> list[str]:
+    """Whole kind words at an edit distance of 1."""
+    # an edit leaves the same letters on both sides once one is taken from each at most
+    met = {k for v in (piece, *(piece[:i] + piece[i + 1 :] for i in range(len(piece)))) for k in SLIPS.get(v, ())}
+    return [k for k in met if edits(piece, k, 1) == 1]
+
+
 def readings(name: str | None, kinds: dict[str, list[str]] = KINDS) -> list[tuple[str, str, int]]:
     """(text, kind, slips) in every way the name can be read; kind '' takes the text as a whole.
 
-    A kind word stands behind the text, written in any way, or whole before it; a whole kind word may hold one slip.
+    A kind word stands behind the text, written in any way, or whole before it; a whole kind word may hold one slip
+    at any letter in both places.
     """
     s = fold(name)
     out: dict[tuple[str, str], int] = {}
@@ -91,10 +105,12 @@ def readings(name: str | None, kinds: dict[str, list[str]] = KINDS) -> list[tupl
                     out[t.removesuffix(k), kind] = 0
             if len(t) > len(kind) + 2 and t.startswith(kind):
                 out[t.removeprefix(kind), kind] = 0
-            for n in (len(kind), len(kind) - 1, len(kind) + 1) if len(kind) >= 5 else ():
-                # letters in common first: the distance is only taken where it can be 1
-                if len(t) > n + 2 and t[-n] == kind[0] and edits(t[-n:], kind, 1) == 1:
-                    out.setdefault((t[:-n], kind), 1)
+        for n in SLIP_LENGTHS:
+            if len(t) > n + 2:
+                for text, piece in ((t[:-n], t[-n:]), (t[n:], t[:n])):
+                    for kind in slipped(piece):
+                        if kind in kinds:
+                            out.setdefault((text, kind), 1)
     return [(t, k, d) for (t, k), d in out.items()]
 
 

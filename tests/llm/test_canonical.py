@@ -63,3 +63,16 @@ def test_names(spark):
     assert got == {(i, n): cases.get(n, 1) for i, n, *_ in rows}
     assert canonical.map_entries(entries.limit(0), products).count() == 0
     assert {r.canon_id for r in canonical.map_entries(entries, products.limit(0)).collect()} == {0}
+
+
+def test_slips_anywhere_in_kind_words(spark):
+    products = spark.createDataFrame(
+        [(1, "Stezztrurn Monitor", "Fete Labs", None), (2, "Vrixdront Cloud", "Vade", None), (3, "Vrixdront Mail", "Vade", None), (4, "Vrixdront Shop", "Vade", None), (5, "Stezztrurn Panel", "Fete Labs", None)],
+        "canon_id int, canon_name string, vendor string, also_known_as array<string>",
+    )
+    cases = {
+        "Stezztrurn Xonitor": 1, "Stezztrurn Omnitor": 1, "Stezztrurn Onitor": 1, "Moniter Stezztrurn": 1, "Xonitor Stezztrurn": 1, "Vrixdront Mial": 3, "Vrixdront Mal": 3, "Vrixdront Hsop": 4, "Sop Vrixdront": 4,
+        "Vrixdront Kloud": 2, "Stezztrurn Apnel": 5, "Vrixdront Thermostat": 0,
+    }
+    names = spark.createDataFrame([(n,) for n in cases], "name string")
+    assert {r.name: r.canon_id for r in canonical.map_names(names, products).collect()} == cases
