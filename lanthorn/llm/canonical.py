@@ -17,7 +17,7 @@ import html
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from lanthorn.llm import prefix_join
 from lanthorn.operators.skew import skew_join
 
-THRESHOLD = 0.45
 #: Edits that any reference text tolerates.
 MOST_EDITS = 2
 #: Kind words with their usual abbreviation and translations.
@@ -153,6 +152,16 @@ def allowed(text: str) -> int:
     return MOST_EDITS if len(text) >= 8 else 1 if len(text) >= 6 else 0
 
 
+def least_jaccard(texts: Iterable[str]) -> float:
+    """The Jaccard similarity that every text within the allowed edits of a reference text has at least.
+
+    An edit takes three tokens at most away (a letter and two bigrams, or the three bigrams of a swap) and brings three at
+    most. Repeated bigrams make a set smaller, so its own size counts and not the number of letters.
+    """
+    sizes = ((len(set(tokens(t))), 3 * allowed(t)) for t in texts)
+    return min(((n - lost) / (n + lost) for n, lost in sizes if n), default=1.0)
+
+
 def references(products: list[tuple[int, str, str | None, list[str] | None]]) -> list[tuple[str, str, int]]:
     """(text, kind, canon_id) of the product list."""
     by_word: dict[str, set[int]] = defaultdict(set)
@@ -174,14 +183,18 @@ def references(products: list[tuple[int, str, str | None, list[str] | None]]) ->
     return out + [(w, "", 0) for w, ids in by_word.items() if len(ids) > 1 and w]
 
 
-def map_names(names: DataFrame, products: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """(name, n, canon_id) of distinct names; ``names`` has a column ``name``, n is its number of rows."""
+def map_names(names: DataFrame, products: DataFrame, t: float | None = None) -> DataFrame:
+    """(name, n, canon_id) of distinct names; ``names`` has a column ``name``, n is its number of rows.
+
+    Without ``t`` the join's threshold is the one at which the edit check behind it loses nothing.
+    """
     spark = names.sparkSession
     distinct = names.groupBy("name").agg(F.count("*").alias("n"))
     listed = products.select("canon_id", "canon_name", "vendor", "also_known_as").limit(prefix_join.RANKED + 1).collect()
     if len(listed) > prefix_join.RANKED:
         raise ValueError(f"the product list has more than {prefix_join.RANKED} entries")
     refs = sorted(set(references([tuple(r) for r in listed])))
+    t = least_jaccard(r[0] for r in refs) if t is None else t
     order = prefix_join.ordered(prefix_join.rarity_rank(tokens(r[0]) for r in refs))
     longest = max((len(r[0]) for r in refs), default=0) + MOST_EDITS
     right = spark.createDataFrame(
@@ -217,7 +230,7 @@ def map_names(names: DataFrame, products: DataFrame, t: float = THRESHOLD) -> Da
     return distinct.join(best, "name", "left").select("name", "n", F.coalesce("canon_id", F.lit(0)).cast("bigint").alias("canon_id"))
 
 
-def map_entries(entries: DataFrame, products: DataFrame, t: float = THRESHOLD) -> DataFrame:
+def map_entries(entries: DataFrame, products: DataFrame, t: float | None = None) -> DataFrame:
     """``entries`` (with columns name and row_id) with the canon_id each name means; null names get 0."""
     mapped = map_names(entries.where("name is not null"), products, t).where("canon_id != 0")
     # a name may hold a large part of all rows: its rows are spread over salts

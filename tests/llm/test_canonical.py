@@ -76,3 +76,20 @@ def test_slips_anywhere_in_kind_words(spark):
     }
     names = spark.createDataFrame([(n,) for n in cases], "name string")
     assert {r.name: r.canon_id for r in canonical.map_names(names, products).collect()} == cases
+
+
+def test_threshold_loses_no_name_within_the_allowed_edits(spark):
+    # two substitutions leave 9 of 21 tokens, and 8 of 20 where a bigram repeats
+    products = spark.createDataFrame([(1, "Abcdefgh", "Mk", None), (2, "Droxdrix", "Mk", None), (3, "Aaaapqrs", "Mk", None)], "canon_id int, canon_name string, vendor string, also_known_as array<string>")
+    cases = {"Abzdewgh": 1, "Acbdegfh": 1, "Drzxdriq": 2, "Drzxdyix": 2, "Droqdwix": 2, "Aaaazqys": 3}
+    names = spark.createDataFrame([(n,) for n in cases], "name string")
+    assert {r.name: r.canon_id for r in canonical.map_names(names, products).collect()} == cases
+    rnd = random.Random(4)
+    for _ in range(3000):
+        ref = "".join(rnd.choice("abcd") for _ in range(rnd.randint(6, 12)))
+        s = list(ref)
+        for _ in range(canonical.allowed(ref)):
+            i = rnd.randrange(len(s) - 1)
+            s[i : i + 2] = rnd.choice([s[i : i + 2][::-1], ["x", s[i + 1]], ["y", *s[i : i + 2]], [s[i + 1]]])
+        a, b = set(canonical.tokens(ref)), set(canonical.tokens("".join(s)))
+        assert len(a & b) / len(a | b) >= canonical.least_jaccard([ref]) - 1e-9
