@@ -6,7 +6,8 @@ it and the changes are reported. The steady table then projects the fields of a
 following the renames back to the first name, and reports the casts that failed.
 
 Defined results: a null value is no value. Payloads that are no JSON object and rows without feed or file number take
-no part in the changes (the steady table carries them with reason ``payload``). A file delivered twice counts once:
+no part in the changes; these and records without a name have no row in the steady table, and ``refused`` gives them
+with the reason. A file delivered twice counts once:
 its fields and types are sets. Where the file before is missing there is nothing to compare.
 """
 
@@ -65,6 +66,38 @@ def path_values(df: DataFrame, payload: str = "payload", names: Sequence[str] =
     return src.mapInArrow(run, "feed string, file_seq int, record string, field string, type string, raw string")
 
 
+def refused(df: DataFrame, key: str, names: dict[str, str], payload: str = "payload") -> DataFrame:
+    """(``key``, reason) of the rows that no steady table holds; ``names`` maps the start of a feed to the record's name.
+
+    Reasons, the first that holds: ``feed`` (none, or of no kind), ``file_seq``, ``null``, ``broken``, ``not an object``,
+    ``name``.
+    """
+    src = df.select(F.col(key), F.col("feed").cast("string"), F.col("file_seq").cast("int"), F.col(payload).cast("string").alias("payload"))
+    field = src.schema[key]
+    names = dict(names)
+
+    def reason(feed, seq, text) -> str | None:
+        name = next((n for p, n in names.items() if feed is not None and feed.startswith(p)), None)
+        if name is None or seq is None:
+            return "feed" if name is None else "file_seq"
+        if text is None:
+            return "null"
+        try:
+            o = json.loads(text)
+        except (ValueError, RecursionError):
+            return "broken"
+        if not isinstance(o, dict):
+            return "not an object"
+        return "name" if o.get(name) is None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([reason(*v) for v in zip(*(c.to_pylist() for c in b.columns[1:]))], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), found], names=[key, "reason"])
+
+    return src.mapInArrow(run, f"`{key}` {field.dataType.simpleString()}, reason string").where("reason is not null")
+
+
 def file_fields(values: DataFrame) -> DataFrame:
     """Per feed and file: map of field to its sorted set of types. Partial sets form before the shuffle."""
     per_field = values.groupBy("feed", "file_seq", "field").agg(F.sort_array(F.collect_set("type")).alias("types"))

@@ -114,6 +114,11 @@ def p6_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.steady_table(rows, TEMPLATE, names=("id",))
 
 
+def p6_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a place in a steady table: (rec_id, reason)."""
+    return drift.refused(table(spark, sf_dir, "drift_record"), "rec_id", {"wapp": "app", "template": "id"})
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_matchers": p2_matchers,
@@ -125,6 +130,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_wapp": p6_wapp,
     "p6_template": p6_template,
+    "p6_refused": p6_refused,
 }
 
 SQL = {

@@ -206,3 +206,14 @@ def test_drift_edge_cases_and_steady_table(spark):
     got = {(r.file_seq, r.app): r for r in drift.steady_table(df, {"app": "text", "html": "list", "n": "number"}).collect()}
     assert got[2, "a"].html == ["x"] and got[2, "a"].failed == ["n"] and got[2, "b"].n == 3.0
     assert drift.changes(df.limit(0)).count() == 0
+
+
+def test_rows_without_a_place_in_the_steady_table(spark, tmp_path):
+    recs = [
+        (1, "wapp_a", 1, '{"app": "a"}'), (2, "template_a", 1, '{"id": "a"}'), (3, None, 1, '{"app": "a"}'), (4, "wapp_a", None, '{"app": "a"}'), (5, "wapp_a", 1, None), (6, "wapp_a", 1, "{"),
+        (7, "wapp_a", 1, "[1]"), (8, "wapp_a", 1, '{"id": "a"}'), (9, "template_a", 1, '{"id": null, "app": "a"}'), (10, "other", 1, "{}"),
+    ]
+    spark.createDataFrame(recs, "rec_id bigint, feed string, file_seq int, payload string").write.parquet(str(tmp_path / "drift_record.parquet"))
+    got = rows(data_queries.p6_refused(spark, str(tmp_path)))
+    assert got == [(3, "feed"), (4, "file_seq"), (5, "null"), (6, "broken"), (7, "not an object"), (8, "name"), (9, "name"), (10, "feed")]
+    assert data_queries.p6_wapp(spark, str(tmp_path)).count() + data_queries.p6_template(spark, str(tmp_path)).count() + len(got) == len(recs)
