@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Engines in the order in which their results fill fields (fixed values).
-ENGINES = ("fingers", "fingerprinthub", "wappalyzer", "ehole", "goby", "nmap", "xray", "favicon")
-#: What each engine supports (fixed values): web, service.
+#: What each kind of engine supports: web, service.
 CAPABILITY = {
-    "fingers": (True, True), "fingerprinthub": (True, True), "wappalyzer": (True, False), "ehole": (True, False),
+    "native": (True, True), "template": (True, True), "wappalyzer": (True, False), "ehole": (True, False),
     "goby": (True, False), "nmap": (False, True), "xray": (True, False), "favicon": (True, False),
 }
-#: Off unless asked for.
+#: Engines that are off unless asked for.
 OPTIONAL = ("favicon",)
 
 
@@ -53,16 +53,22 @@ def resolve(hits: DataFrame, amap: DataFrame) -> DataFrame:
     ).drop("norm")
 
 
-def engine_rank(engine: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, e in enumerate(ENGINES) for x in (e, i)]), engine), F.lit(len(ENGINES)))
+def engine_rank(engine: Column, order: Sequence[str] = ()) -> Column:
+    """Place of an engine in ``order``; engines that it does not list stand behind it."""
+    if not order:
+        return F.lit(0)
+    places = F.create_map(*[F.lit(x) for i, e in enumerate(order) for x in (e, i)])
+    return F.coalesce(F.try_element_at(places, engine), F.lit(len(order)))
 
 
-def merge(resolved: DataFrame) -> DataFrame:
-    """One row per (resp_id, lower(name)): scalars from the first engine in order that has them, engines and tags united.
+def merge(resolved: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """One row per (resp_id, lower(name)): scalars from the first engine that has them, engines and tags united.
 
-    Exact duplicate rows are harmless: all aggregates are order-free choices or sets.
+    Engines go in ``order``, those it does not list behind it by name. Exact duplicate rows are harmless: all
+    aggregates are order-free choices or sets.
     """
-    live = resolved.where("not blocked and name is not null and resp_id is not null").withColumn("rank", engine_rank(F.col("engine")))
+    live = resolved.where("not blocked and name is not null and resp_id is not null")
+    live = live.withColumn("rank", F.struct(engine_rank(F.col("engine"), order).alias("i"), F.col("engine").alias("e")))
     fill = lambda c: F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.struct("rank", c)))
     tags = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.isNotNull())))))
     return live.groupBy("resp_id", F.lower("name").alias("framework")).agg(

@@ -1,4 +1,4 @@
-"""The native rule engine: fingers with ordered rules of eight kinds of matchers.
+"""The native rule engine: entries with ordered rules of eight kinds of matchers.
 
 A rule matches by the first of: vuln regexp, regexp, header keyword, body keyword, body md5, body mmh3 (ranks 1 to 6);
 only if none of these hits, by a certificate keyword (rank 7). A finger's result comes from its first matching rule.
@@ -16,14 +16,14 @@ from lanthorn.operators import keywords, parse
 KINDS = ("vuln", "regexp", "header", "body", "md5", "mmh3", "cert")
 
 
-def http_fingers(fingers: DataFrame) -> DataFrame:
-    """Fingers of the http protocol, which is the default."""
-    return fingers.where(F.lower(F.trim(F.coalesce("protocol", F.lit("http")))) == "http")
+def http_entries(entries: DataFrame) -> DataFrame:
+    """Entries of the http protocol, which is the default."""
+    return entries.where(F.lower(F.trim(F.coalesce("protocol", F.lit("http")))) == "http")
 
 
-def rules(fingers: DataFrame) -> DataFrame:
+def rules(entries: DataFrame) -> DataFrame:
     """(finger columns, rule_idx, r): one row per rule that is not null."""
-    return fingers.select("*", F.posexplode("rule").alias("rule_idx", "r")).where("r is not null").drop("rule")
+    return entries.select("*", F.posexplode("rule").alias("rule_idx", "r")).where("r is not null").drop("rule")
 
 
 def _patterns(kind: str, rank: int) -> Column:
@@ -36,10 +36,10 @@ def _patterns(kind: str, rank: int) -> Column:
     return F.transform(F.coalesce(F.col(f"r.regexps.{kind}"), F.array().cast("array<string>")), item)
 
 
-def matchers(fingers: DataFrame) -> DataFrame:
+def matchers(entries: DataFrame) -> DataFrame:
     """(finger_id, rule_idx, kind, kind_rank, matcher_idx, pattern): every pattern of every rule."""
     lists = [_patterns(kind, rank) for rank, kind in enumerate(KINDS, 1)]
-    out = rules(fingers).select("finger_id", "rule_idx", F.explode(F.concat(*lists)).alias("m"))
+    out = rules(entries).select("finger_id", "rule_idx", F.explode(F.concat(*lists)).alias("m"))
     return out.select("finger_id", "rule_idx", "m.*").where("pattern is not null")
 
 
@@ -67,14 +67,14 @@ def _literals(pats: DataFrame) -> DataFrame:
     return d.select("pattern", "l.literal", "l.ok").where("ok").drop("ok")
 
 
-def rule_hits(responses: DataFrame, fingers: DataFrame) -> DataFrame:
+def rule_hits(responses: DataFrame, entries: DataFrame) -> DataFrame:
     """(resp_id, finger_id, rule_idx, kind, kind_rank, matcher_idx, pattern, captured): all matcher hits.
 
     One automaton pass finds keywords and the required literals of regular expressions; a regular expression then runs
     only on the texts that hold its literal. Hash kinds are equi-joins. captured is group 1 of vuln and regexp hits.
     """
     p = parse.parsed(responses)
-    m = matchers(http_fingers(fingers)).cache()
+    m = matchers(http_entries(entries)).cache()
     words = m.where("kind in ('header', 'body', 'cert')")
     exprs = m.where("kind in ('vuln', 'regexp')")
     lit = _literals(exprs)
@@ -113,10 +113,10 @@ def first_hits(hits: DataFrame) -> DataFrame:
     return hits.groupBy("resp_id", "finger_id").agg(best.alias("h")).select("resp_id", "finger_id", "h.*")
 
 
-def frameworks(responses: DataFrame, fingers: DataFrame) -> DataFrame:
+def frameworks(responses: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per response and finger: name, version, vendor, product, tags, focus and the match detail."""
-    won = first_hits(rule_hits(responses, fingers))
-    r = rules(http_fingers(fingers)).select(
+    won = first_hits(rule_hits(responses, entries))
+    r = rules(http_entries(entries)).select(
         "finger_id", "rule_idx", "name", "vendor", "product", "tags", "focus",
         F.col("r.version").alias("rule_version"), F.col("r.vuln").alias("vuln"), F.col("r.info").alias("info"), F.col("r.send_data").alias("send_data"),
     )
@@ -138,7 +138,7 @@ def vulns(found: DataFrame) -> DataFrame:
     return out.agg(F.max("severity").alias("severity"), F.min("framework").alias("framework"))
 
 
-def payloads(fingers: DataFrame, level: int) -> DataFrame:
+def payloads(entries: DataFrame, level: int) -> DataFrame:
     """(finger_id, rule_idx, payload, source): what active probing at ``level`` would send.
 
     Level 0 and rules above the level send nothing; from 1 the finger's payload, from 2 the rule's as well. A rule with
@@ -146,7 +146,7 @@ def payloads(fingers: DataFrame, level: int) -> DataFrame:
     """
     own = F.coalesce(F.col("r.send_data"), F.lit("")) != ""
     need = F.greatest(F.coalesce(F.col("r.level"), F.lit(0)), F.when(own, 1).otherwise(0))
-    d = rules(fingers).withColumn("need", need).where((F.lit(level) > 0) & ((F.col("need") <= 0) | (F.col("need") <= level)))
+    d = rules(entries).withColumn("need", need).where((F.lit(level) > 0) & ((F.col("need") <= 0) | (F.col("need") <= level)))
     each = F.array(F.struct(F.lit("finger").alias("source"), F.col("send_data").alias("payload")), F.struct(F.lit("rule").alias("source"), F.when(F.lit(level >= 2), F.col("r.send_data")).alias("payload")))
     d = d.select("finger_id", "rule_idx", F.explode(each).alias("x")).select("finger_id", "rule_idx", "x.payload", "x.source")
     return d.where("coalesce(payload, '') != ''")

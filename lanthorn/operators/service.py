@@ -189,14 +189,14 @@ def frameworks(results: DataFrame) -> DataFrame:
     )
 
 
-def socket_first(responses: DataFrame, fingers: DataFrame) -> DataFrame:
+def socket_first(responses: DataFrame, entries: DataFrame) -> DataFrame:
     """(resp_id, finger_id, name): the first tcp finger whose body keyword is in the message as it stands.
 
-    Fingers of the message's port go first, then those without port, then all others; among equals the smallest id.
+    Entries of the message's port go first, then those without port, then all others; among equals the smallest id.
     """
     from lanthorn.operators import keywords, native, parse
 
-    tcp = fingers.where("lower(trim(protocol)) = 'tcp'")
+    tcp = entries.where("lower(trim(protocol)) = 'tcp'")
     words = native.rules(tcp).select("finger_id", "name", "default_port", F.explode("r.regexps.body").alias("pattern")).where("pattern is not null")
     texts = responses.where("raw is not null").select(F.struct("resp_id", "port").alias("id"), F.col("raw").alias("text"))
     hit = keywords.keyword_hits(texts, words).select("id.*", "pattern").join(words, "pattern")

@@ -235,9 +235,9 @@ def icon_number(c: Column) -> Column:
     return F.when(n >= 2**31, n - 2**32).otherwise(n).cast("string")
 
 
-def icon_table(fingers: DataFrame, ehole: DataFrame) -> DataFrame:
+def icon_table(entries: DataFrame, ehole: DataFrame) -> DataFrame:
     """(hash, name): icon hashes of both catalogues; a later entry overwrites, the native catalogue comes first."""
-    r = fingers.select("finger_id", "name", F.explode("rule").alias("r")).where("r.favicon is not null")
+    r = entries.select("finger_id", "name", F.explode("rule").alias("r")).where("r.favicon is not null")
     native = [r.select(h, F.lit(0).alias("o"), F.col("finger_id").cast("bigint").alias("i"), "name") for h in (F.explode("r.favicon.md5").alias("hash"), F.explode("r.favicon.mmh3").alias("hash"))]
     other = ehole.where(norm("method") == "faviconhash").select(F.explode("keyword").alias("hash"), F.lit(1).alias("o"), F.col("ehole_id").alias("i"), F.col("cms").alias("name"))
     every = native[0].unionByName(native[1]).unionByName(other).where("hash is not null and name is not null")

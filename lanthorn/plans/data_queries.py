@@ -26,8 +26,8 @@ def nested_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adjacency rows of native_finger.rule, which is structured already: it goes through the same shredder as JSON."""
-    fingers = table(spark, sf_dir, "native_finger")
-    rows = fingers.select(
+    entries = table(spark, sf_dir, "native_finger")
+    rows = entries.select(
         F.lit("native").alias("kind"),
         F.col("finger_id").cast("bigint").alias("rec_id"),
         F.when(F.col("rule").isNotNull(), F.to_json(F.struct("rule"))).otherwise("{}").alias("payload"),

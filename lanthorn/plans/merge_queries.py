@@ -85,14 +85,13 @@ def poc_union(spark, d):
     return a.groupBy(F.lower("name").alias("name")).agg(pocs.alias("pocs"), F.count("*").alias("entries"))
 
 
-RANK = "CASE engine " + " ".join(f"WHEN '{e}' THEN {i}" for i, e in enumerate(alias.ENGINES)) + f" ELSE {len(alias.ENGINES)} END"
 
 
 def _fill(c: str) -> str:
     return f"arg_min({c}, (rank, {c})) FILTER (WHERE {c} <> '') AS {c}"
 
 
-@query(f"""WITH {RESOLVED}, live AS (SELECT *, {RANK} AS rank FROM resolved WHERE NOT blocked AND name IS NOT NULL AND resp_id IS NOT NULL)
+@query(f"""WITH {RESOLVED}, live AS (SELECT *, engine AS rank FROM resolved WHERE NOT blocked AND name IS NOT NULL AND resp_id IS NOT NULL)
 SELECT resp_id, lower(name) AS framework, {_fill('version')}, {_fill('vendor')}, {_fill('product')}, coalesce(array_to_string(list_sort(list_distinct(list(engine) FILTER (WHERE engine IS NOT NULL))), ','), '') AS froms,
   array_to_string(list_sort(list_distinct(flatten(list(list_filter(coalesce(tags, []), lambda t: t IS NOT NULL))))), ',') AS tags, bool_or(coalesce(focus, false)) AS focus FROM live GROUP BY resp_id, lower(name)""")
 def merge_engines(spark, d):
@@ -106,10 +105,10 @@ def engine_capability(spark, d):
     return spark.createDataFrame(rows, "engine string, web boolean, service boolean, enabled boolean")
 
 
-@query("SELECT 'fingers' AS engine, CAST(count(*) AS BIGINT) AS size FROM native_finger UNION ALL SELECT 'wappalyzer', count(*) FROM wapp_app UNION ALL SELECT 'ehole', count(*) FROM ehole UNION ALL SELECT 'goby', count(*) FROM goby UNION ALL SELECT 'alias', count(*) FROM alias_entry")
+@query("SELECT 'native' AS engine, CAST(count(*) AS BIGINT) AS size FROM native_finger UNION ALL SELECT 'wappalyzer', count(*) FROM wapp_app UNION ALL SELECT 'ehole', count(*) FROM ehole UNION ALL SELECT 'goby', count(*) FROM goby UNION ALL SELECT 'alias', count(*) FROM alias_entry")
 def engine_sizes(spark, d):
     one = lambda e, t: table(spark, d, t).agg(F.lit(e).alias("engine"), F.count("*").alias("size"))
-    out = one("fingers", "native_finger")
+    out = one("native", "native_finger")
     for e, t in (("wappalyzer", "wapp_app"), ("ehole", "ehole"), ("goby", "goby"), ("alias", "alias_entry")):
         out = out.unionByName(one(e, t))
     return out
@@ -169,8 +168,8 @@ def duplicate_hits(spark, d):
     return table(spark, d, "hits").groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-@query("""SELECT 'fingers' AS catalog, 'name' AS problem, CAST(count(*) FILTER (WHERE coalesce(name, '') = '') AS BIGINT) AS rows FROM native_finger
-UNION ALL SELECT 'fingers', 'rule', count(*) FILTER (WHERE coalesce(len(rule), 0) = 0) FROM native_finger
+@query("""SELECT 'native_rules' AS catalog, 'name' AS problem, CAST(count(*) FILTER (WHERE coalesce(name, '') = '') AS BIGINT) AS rows FROM native_finger
+UNION ALL SELECT 'native_rules', 'rule', count(*) FILTER (WHERE coalesce(len(rule), 0) = 0) FROM native_finger
 UNION ALL SELECT 'alias', 'name', count(*) FILTER (WHERE coalesce(name, '') = '') FROM alias_entry
 UNION ALL SELECT 'alias', 'mapping', count(*) FILTER (WHERE coalesce(len(map_keys(alias)), 0) = 0) FROM alias_entry
 UNION ALL SELECT 'alias', 'priority', count(*) FILTER (WHERE priority NOT BETWEEN 0 AND 5) FROM alias_entry""")
@@ -179,7 +178,7 @@ def catalog_validate(spark, d):
     f = table(spark, d, "native_finger").agg(blank("name").alias("name"), F.count_if(F.coalesce(F.size("rule"), F.lit(0)) <= 0).alias("rule"))
     a = table(spark, d, "alias_entry").agg(blank("name").alias("name"), F.count_if(F.coalesce(F.size("alias"), F.lit(0)) <= 0).alias("mapping"), F.count_if(~F.col("priority").between(0, 5)).alias("priority"))
     long = lambda df, c: df.select(F.lit(c).alias("catalog"), F.expr("stack(%d, %s)" % (len(df.columns), ", ".join(f"'{x}', {x}" for x in df.columns))).alias("problem", "rows"))
-    return long(f, "fingers").unionByName(long(a, "alias"))
+    return long(f, "native_rules").unionByName(long(a, "alias"))
 
 
 @query(r"SELECT resp_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/.*$', '') AS target FROM responses WHERE url IS NOT NULL")

@@ -114,7 +114,7 @@ def native_cert_version(spark, d):
     """Rules that match by certificate only; the last of their version patterns that matches supplies the version."""
     hits = _hits(spark, d)
     only = hits.groupBy("resp_id", "finger_id", "rule_idx").agg(F.min("kind_rank").alias("k")).where("k = 7").drop("k")
-    pats = native.rules(native.http_fingers(table(spark, d, "native_finger"))).select("finger_id", "rule_idx", F.posexplode("r.regexps.version").alias("j", "pattern"))
+    pats = native.rules(native.http_entries(table(spark, d, "native_finger"))).select("finger_id", "rule_idx", F.posexplode("r.regexps.version").alias("j", "pattern"))
     text = parse.parsed(table(spark, d, "responses")).select("resp_id", "content")
     met = only.join(pats, ["finger_id", "rule_idx"]).join(text, "resp_id").where("regexp_like(content, pattern)")
     last = met.groupBy("resp_id", "finger_id", "rule_idx").agg(F.max_by(F.expr("trim(regexp_extract(content, concat(pattern, '()'), 1))"), "j").alias("version"))
@@ -124,7 +124,7 @@ def native_cert_version(spark, d):
 @query("SELECT CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS added")
 def prefilter_equals_bruteforce(spark, d):
     """Keyword hits by the index against the nested loop: none lost, none added."""
-    words = native.matchers(native.http_fingers(table(spark, d, "native_finger"))).where("kind = 'body'")
+    words = native.matchers(native.http_entries(table(spark, d, "native_finger"))).where("kind = 'body'")
     texts = parse.parsed(table(spark, d, "responses")).select(F.col("resp_id").alias("id"), F.coalesce("body", "content").alias("text"))
     fast = keywords.keyword_hits(texts, words).select("id", "pattern", F.lit(1).alias("side"))
     slow = keywords.brute_hits(texts, words).select("id", "pattern", F.lit(2).alias("side"))
@@ -132,19 +132,19 @@ def prefilter_equals_bruteforce(spark, d):
     return pairs.agg(F.count_if(F.col("s") == 2).alias("lost"), F.count_if(F.col("s") == 1).alias("added"))
 
 
-@query(f"WITH {RULES} SELECT kind, CAST(count(*) AS BIGINT) AS patterns, CAST(count(DISTINCT finger_id) AS BIGINT) AS fingers FROM (SELECT * FROM ({' UNION ALL '.join(_list(k, n, False) for n, k in enumerate(native.KINDS, 1))}) WHERE pattern IS NOT NULL) GROUP BY kind")
+@query(f"WITH {RULES} SELECT kind, CAST(count(*) AS BIGINT) AS patterns, CAST(count(DISTINCT finger_id) AS BIGINT) AS entries FROM (SELECT * FROM ({' UNION ALL '.join(_list(k, n, False) for n, k in enumerate(native.KINDS, 1))}) WHERE pattern IS NOT NULL) GROUP BY kind")
 def pattern_stats(spark, d):
-    m = native.matchers(native.http_fingers(table(spark, d, "native_finger")))
-    return m.groupBy("kind").agg(F.count("*").alias("patterns"), F.count_distinct("finger_id").alias("fingers"))
+    m = native.matchers(native.http_entries(table(spark, d, "native_finger")))
+    return m.groupBy("kind").agg(F.count("*").alias("patterns"), F.count_distinct("finger_id").alias("entries"))
 
 
-@query(f"""WITH {MATCHERS} SELECT CAST(count(*) AS BIGINT) AS fingers, CAST(count(*) FILTER (WHERE fast) AS BIGINT) AS fast, 100.0 * count(*) FILTER (WHERE fast) / count(*) AS fast_percent
+@query(f"""WITH {MATCHERS} SELECT CAST(count(*) AS BIGINT) AS entries, CAST(count(*) FILTER (WHERE fast) AS BIGINT) AS fast, 100.0 * count(*) FILTER (WHERE fast) / count(*) AS fast_percent
 FROM (SELECT finger_id, bool_and(kind IN ('header', 'body')) AND count(DISTINCT rule_idx) = 1 AS fast FROM matchers GROUP BY finger_id)""")
 def fast_slow_ratio(spark, d):
-    """Fingers of one rule with keywords only, which the index answers without a second step."""
-    m = native.matchers(native.http_fingers(table(spark, d, "native_finger")))
+    """Entries of one rule with keywords only, which the index answers without a second step."""
+    m = native.matchers(native.http_entries(table(spark, d, "native_finger")))
     f = m.groupBy("finger_id").agg((F.bool_and(F.col("kind").isin("header", "body")) & (F.count_distinct("rule_idx") == 1)).alias("fast"))
-    return f.agg(F.count("*").alias("fingers"), F.count_if("fast").alias("fast"), (F.count_if("fast") * 100.0 / F.count("*")).alias("fast_percent"))
+    return f.agg(F.count("*").alias("entries"), F.count_if("fast").alias("fast"), (F.count_if("fast") * 100.0 / F.count("*")).alias("fast_percent"))
 
 
 def _payload_sql(level: int) -> str:
@@ -170,15 +170,15 @@ def opsec_filter(spark, d):
 @query("""
 WITH p AS (SELECT DISTINCT finger_id, coalesce(port, '0') AS port FROM (SELECT finger_id, UNNEST(default_port) AS port FROM native_finger WHERE len(default_port) > 0
            UNION ALL SELECT finger_id, '0' FROM native_finger WHERE coalesce(len(default_port), 0) = 0))
-SELECT port, CAST(count(*) AS BIGINT) AS fingers FROM p GROUP BY port""")
+SELECT port, CAST(count(*) AS BIGINT) AS entries FROM p GROUP BY port""")
 def group_by_port(spark, d):
     p = table(spark, d, "native_finger").select("finger_id", F.explode_outer("default_port").alias("port")).withColumn("port", F.coalesce("port", F.lit("0"))).distinct()
-    return p.groupBy("port").agg(F.count("*").alias("fingers"))
+    return p.groupBy("port").agg(F.count("*").alias("entries"))
 
 
-@query("""SELECT CASE WHEN a THEN 'active' ELSE 'passive' END AS mode, CAST(count(*) AS BIGINT) AS fingers FROM
+@query("""SELECT CASE WHEN a THEN 'active' ELSE 'passive' END AS mode, CAST(count(*) AS BIGINT) AS entries FROM
 (SELECT coalesce(send_data, '') <> '' OR len(list_filter(coalesce(rule, []), lambda r: coalesce(r.send_data, '') <> '')) > 0 AS a FROM native_finger) GROUP BY 1""")
 def group_by_mode(spark, d):
     rule = F.exists(F.coalesce("rule", F.array()), lambda r: F.coalesce(r["send_data"], F.lit("")) != "")
     active = (F.coalesce("send_data", F.lit("")) != "") | F.coalesce(rule, F.lit(False))
-    return table(spark, d, "native_finger").groupBy(F.when(active, "active").otherwise("passive").alias("mode")).agg(F.count("*").alias("fingers"))
+    return table(spark, d, "native_finger").groupBy(F.when(active, "active").otherwise("passive").alias("mode")).agg(F.count("*").alias("entries"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from lanthorn.operators import native
 from lanthorn.plans import native_queries
-from lanthorn.session import table
+from lanthorn.session import shared_folder, table
 from lanthorn.streaming import matches
 
 QUERIES: dict = {}
@@ -17,9 +16,8 @@ SQL: dict[str, str] = {}
 
 
 def _folder(spark) -> str:
-    """A fresh folder in the shared one that the session names, else (one machine) a local one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="lanthorn-stream-")
+    """A fresh folder in the one that all executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def stream_event_windows(spark, d):
@@ -30,8 +28,8 @@ def stream_event_windows(spark, d):
 
 def stream_native_counts(spark, d):
     """Frameworks of responses that arrive as a stream, counted by name."""
-    base, fingers = _folder(spark), table(spark, d, "native_finger")
-    q = matches.match_stream(spark, f"{d}/responses.parquet*", lambda r: native.frameworks(r, fingers).select("resp_id", "name"), f"{base}/out", f"{base}/state")
+    base, entries = _folder(spark), table(spark, d, "native_finger")
+    q = matches.match_stream(spark, f"{d}/responses.parquet*", lambda r: native.frameworks(r, entries).select("resp_id", "name"), f"{base}/out", f"{base}/state")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").groupBy("name").agg(F.count("*").alias("responses"))
 

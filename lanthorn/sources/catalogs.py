@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 _STRINGS = "array<string>"
 _REGEXPS = ", ".join(f"{k}: {_STRINGS}" for k in ("body", "header", "regexp", "version", "cert", "md5", "mmh3", "vuln"))
 SCHEMAS = {
-    "fingers": f"name string, vendor string, product string, protocol string, default_port {_STRINGS}, focus boolean, tag {_STRINGS}, level int, opsec boolean, send_data string, link {_STRINGS}, author string, description string, "
+    "native_rules": f"name string, vendor string, product string, protocol string, default_port {_STRINGS}, focus boolean, tag {_STRINGS}, level int, opsec boolean, send_data string, link {_STRINGS}, author string, description string, "
     f"rule array<struct<version: string, vuln: string, info: string, level: int, send_data: string, favicon: struct<mmh3: {_STRINGS}, md5: {_STRINGS}>, regexps: struct<{_REGEXPS}>>>",
     "ehole": f"cms string, method string, location string, keyword {_STRINGS}",
     "goby": "name string, logic string, rule array<struct<label: string, feature: string, is_equal: boolean>>",
@@ -27,7 +27,7 @@ SCHEMAS = {
     "ports": f"name string, ports {_STRINGS}, tags {_STRINGS}",
 }
 #: Where a catalogue comes from and what reads it: kind of source by catalogue name.
-REGISTRY = {"fingers": "json", "ehole": "json", "goby": "json", "alias": "yaml", "ports": "yaml", "nmap-services": "services", "nmap-probes": "probes"}
+REGISTRY = {"native_rules": "json", "ehole": "json", "goby": "json", "alias": "yaml", "ports": "yaml", "nmap-services": "services", "nmap-probes": "probes"}
 
 
 def schema_json(name: str) -> str:
@@ -79,7 +79,7 @@ def read_yaml_tree(spark: SparkSession, name: str, root: str) -> tuple[DataFrame
 
 
 def append(catalogue: DataFrame, more: DataFrame, protocols: tuple[str, ...] = ("http", "tcp")) -> DataFrame:
-    """Two catalogues as one; of fingers only those of the named protocols are taken over."""
+    """Two catalogues as one; of entries only those of the named protocols are taken over."""
     if "protocol" in more.columns:
         more = more.where(F.lower(F.coalesce("protocol", F.lit("http"))).isin(*protocols))
     return catalogue.unionByName(more, allowMissingColumns=True)
@@ -181,7 +181,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_yaml_aliases(derived: DataFrame, listed: DataFrame) -> DataFrame:
-    """Alias entries derived from fingers first, listed ones after them, so that a listed entry wins."""
+    """Alias entries derived from entries first, listed ones after them, so that a listed entry wins."""
     a = derived.withColumn("alias_id", F.col("alias_id").cast("bigint"))
     top = F.lit(1 << 40)
     return a.unionByName(listed.withColumn("alias_id", F.col("alias_id").cast("bigint") + top), allowMissingColumns=True)

@@ -32,11 +32,11 @@ def window_counts(events: DataFrame, late: str = "1 day", size: str = "1 hour")
     return out.select(F.col("window.start").alias("start"), "event_type", "events", "value")
 
 
-def run_window_counts(spark: SparkSession, source: str, sink: str, checkpoint: str, size: str = "1 hour") -> DataFrame:
+def run_window_counts(spark: SparkSession, source: str, sink: str, checkpoint: str, size: str = "1 hour", late: str = "1 day") -> DataFrame:
     """All windows of the events under ``source``: each batch writes the windows it changed, the last write of a window
-    counts."""
+    counts. Rows later than ``late`` are dropped, as the state of their windows is."""
     schema = spark.read.parquet(source).schema
-    counts = window_counts(spark.readStream.schema(schema).parquet(source), "400 days", size)
+    counts = window_counts(spark.readStream.schema(schema).parquet(source), late, size)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{sink}/part={number}")

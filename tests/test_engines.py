@@ -31,7 +31,7 @@ def finger(fid, name, *rules, **kw):
     return dict(finger_id=fid, name=name, vendor=kw.get("vendor"), product=None, protocol=kw.get("protocol"), default_port=kw.get("ports"), focus=False, tags=[], level=0, opsec=False, send_data=kw.get("send"), link=None, rule=rs)
 
 
-def fingers(spark, data, *rows):
+def entries(spark, data, *rows):
     schema = spark.read.parquet(f"{data}/native_finger.parquet").drop("loaded_at").schema
     return spark.createDataFrame(list(rows), schema)
 
@@ -41,7 +41,7 @@ def test_rule_order_versions_and_vulns(spark, data):
     body = raw.lower().split(CRLF * 2, 1)[1]
     import hashlib
 
-    f = fingers(
+    f = entries(
         spark, data,
         finger(1, "second rule", {"body": ["missing"]}, None, {"body": ["no", "welcome to nginx"], "header": ["server: nginx"]}),
         finger(2, "regexp first", {"body": ["welcome"], "regexp": [r"nginx/([\d.]+)"], "version_text": "9"}),
@@ -62,13 +62,13 @@ def test_rule_order_versions_and_vulns(spark, data):
 
 
 def test_messages_without_separator_and_null(spark, data):
-    f = fingers(spark, data, finger(1, "b", {"body": ["Hello"]}), finger(2, "h", {"header": ["hello"]}))
+    f = entries(spark, data, finger(1, "b", {"body": ["Hello"]}), finger(2, "h", {"header": ["hello"]}))
     r = responses(spark, "hello without separator", None, f"HTTP/1.1 302 Found{CRLF}X: hello{CRLF}{CRLF}", "")
     assert {(x.resp_id, x.name) for x in native.frameworks(r, f).collect()} == {(1, "b"), (3, "h")}
 
 
 def test_payload_levels(spark, data):
-    f = fingers(spark, data, finger(1, "f", {"level": 1, "body": ["a"]}, {"level": 2, "send": "/rule"}, {"send": "/own"}, send="/finger"))
+    f = entries(spark, data, finger(1, "f", {"level": 1, "body": ["a"]}, {"level": 2, "send": "/rule"}, {"send": "/own"}, send="/finger"))
     plans = {n: sorted((r.rule_idx, r.payload) for r in native.payloads(f, n).collect()) for n in (0, 1, 2)}
     assert plans[0] == [] and plans[1] == [(0, "/finger"), (2, "/finger")]
     assert plans[2] == [(0, "/finger"), (1, "/finger"), (1, "/rule"), (2, "/finger"), (2, "/own")]
@@ -205,17 +205,17 @@ def test_icons(spark):
 
 def test_aliases_and_merge(spark):
     a = spark.createDataFrame(
-        [(1, "Tomcat", "apache", "tomcat", ["b1"], {"fingers": ["Apache-Tomcat", "x"], "ehole": ["apache_tomcat"]}), (2, "Tomcat 2", "apache", "tomcat", ["ehole"], {"Ehole ": ["Apache Tomcat"]}), (3, "n", None, None, None, None)],
+        [(1, "Tomcat", "apache", "tomcat", ["b1"], {"native": ["Apache-Tomcat", "x"], "ehole": ["apache_tomcat"]}), (2, "Tomcat 2", "apache", "tomcat", ["ehole"], {"Ehole ": ["Apache Tomcat"]}), (3, "n", None, None, None, None)],
         "alias_id long, name string, vendor string, product string, block array<string>, alias map<string,array<string>>",
     )
     m = {(r.engine, r.norm): (r.alias_id, r.blocked) for r in alias.alias_map(a).collect()}
-    assert m == {("fingers", "apachetomcat"): (1, False), ("fingers", "x"): (1, False), ("ehole", "apachetomcat"): (2, True)}
+    assert m == {("native", "apachetomcat"): (1, False), ("native", "x"): (1, False), ("ehole", "apachetomcat"): (2, True)}
     h = spark.createDataFrame(
-        [(1, "Fingers", "apache tomcat", "", None, None, ["a"], False), (1, "wappalyzer", "tomcat", "9", "v", None, ["b", None], True), (1, "ehole", "Apache-Tomcat", "8", None, None, None, False), (1, None, None, None, None, None, None, None)] * 2,
+        [(1, "Native", "apache tomcat", "", None, None, ["a"], False), (1, "wappalyzer", "tomcat", "9", "v", None, ["b", None], True), (1, "ehole", "Apache-Tomcat", "8", None, None, None, False), (1, None, None, None, None, None, None, None)] * 2,
         "resp_id long, engine string, name string, version string, vendor string, product string, tags array<string>, focus boolean",
     )
     rows = alias.merge(alias.resolve(h, alias.alias_map(a))).collect()
-    assert [(r.framework, r.version, r.vendor, r.froms, r.tags, r.focus) for r in rows] == [("tomcat", "9", "apache", "fingers,wappalyzer", "a,b", True)]
+    assert [(r.framework, r.version, r.vendor, r.froms, r.tags, r.focus) for r in rows] == [("tomcat", "9", "apache", "native,wappalyzer", "a,b", True)]
     c = spark.createDataFrame([("cpe:/a:v:p:1",), ("cpe:2.3:a:v\\:x:p:*:*",), ("none",)], "c string").select(alias.cpe_parts(F.col("c")).alias("x")).collect()
     assert tuple(c[0].x) == ("a", "v", "p", "1") and tuple(c[1].x) == ("a", "v:x", "p", None) and c[2].x is None
     assert spark.range(1).select(alias.cpe_uri(F.lit("My Vendor"), F.lit("P"), F.lit(None))).first()[0] == "cpe:/a:my_vendor:p"
@@ -260,7 +260,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "y/a.yaml").write_text("- {name: n1, rule: [{regexps: {body: [x]}}]}\n- {name: n2, protocol: udp}\n")
     (tmp_path / "y/b.yml").write_text("name: n3\n")
     (tmp_path / "y/c.yml").write_text("a: [\n")
-    t, rep = catalogs.read_yaml_tree(spark, "fingers", str(tmp_path / "y"))
+    t, rep = catalogs.read_yaml_tree(spark, "native_rules", str(tmp_path / "y"))
     assert sorted(r.name for r in t.collect()) == ["n1", "n2", "n3"] and sum(r.reason is not None for r in rep.collect()) == 1
     assert sorted(r.name for r in catalogs.append(t.limit(0), t).collect()) == ["n1", "n3"]
     catalogs.write_json(e, str(tmp_path / "out"))
