@@ -1,13 +1,17 @@
 """Schemas that drift between the files of a feed.
 
-Records load as path-value maps with raw types: one row per record and top-level field with the type and the raw JSON
-text of its value. Per feed and file the types of each field are aggregated; each file is compared with the one before
-it and the changes are reported. The steady table then projects the fields of a kind of feed to typed columns by
-following the renames back to the first name, and reports the casts that failed.
-
-Defined results: a null value is no value. Payloads that are no JSON object and rows without feed or file number take
-no part in the changes; these and records without a name have no row in the steady table, and ``refused`` gives them
-with the reason. A file delivered twice counts once:
+Records load as path-value maps with raw types: one row per record and path with the type and the raw JSON text of its
+value. Per feed and file the types of each path are aggregated; each file is compared with the one before it and the
+changes are reported. The steady table then projects the fields of a kind of feed to typed columns by following the
+renames back to the first name, and reports the casts that failed.
+
+A path is a top-level field, or with ``depth`` above 1 ``field.key`` for the keys of an object and ``field[]`` for the
+elements of a list. A type is string, number, boolean, object or array of the types its elements have, as
+``array<string>`` or ``array<number,string>``.
+
+Defined results: a null value is no value, a null element gives its list no type, an empty list is ``array<>``. Payloads
+that are no JSON object and rows without feed or file number take no part in the changes; these and records without a
+name have no row in the steady table, and ``refused`` gives them with the reason. A file delivered twice counts once:
 its fields and types are sets. Where the file before is missing there is nothing to compare.
 """
 
@@ -17,7 +21,7 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanthorn.session import checkpoint
@@ -26,16 +30,36 @@ from lanthorn.session import checkpoint
 SAME_SHARE = 0.5
 
 
+#: Rows of the table of moved fields that are broadcast; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
 def _type(v: object) -> str:
     if isinstance(v, bool):
         return "boolean"
     if isinstance(v, (int, float)):
         return "number"
-    return "string" if isinstance(v, str) else "array" if isinstance(v, list) else "object"
+    if isinstance(v, list):
+        return f"array<{','.join(sorted({_type(x).partition('<')[0] for x in v if x is not None}))}>"
+    return "string" if isinstance(v, str) else "object"
+
+
+def _paths(o: dict, depth: int) -> Iterator[tuple[str, object]]:
+    """(path, value) of all values but nulls, down to ``depth`` steps."""
+    stack: list[tuple[str, object, int]] = [(k, v, 1) for k, v in o.items()]
+    while stack:
+        path, v, at = stack.pop()
+        if v is None:
+            continue
+        yield path, v
+        if at < depth and isinstance(v, dict):
+            stack += [(f"{path}.{k}", x, at + 1) for k, x in v.items()]
+        elif at < depth and isinstance(v, list):
+            stack += [(f"{path}[]", x, at + 1) for x in v]
 
 
-def path_values(df: DataFrame, payload: str = "payload", names: Sequence[str] = ("app", "id")) -> DataFrame:
-    """(feed, file_seq, record, field, type, raw) for every non-null top-level field; raw is canonical JSON.
+def path_values(df: DataFrame, payload: str = "payload", names: Sequence[str] = ("app", "id"), depth: int = 1) -> DataFrame:
+    """(feed, file_seq, record, field, type, raw) for every value down to ``depth``; field is its path, raw canonical JSON.
 
     A record is named by the first of ``names`` that it has.
     """
@@ -57,9 +81,8 @@ def path_values(df: DataFrame, payload: str = "payload", names: Sequence[str] =
                     continue
                 name = next((o[k] for k in names if o.get(k) is not None), None)
                 name = name if name is None or isinstance(name, str) else json.dumps(name)
-                for k, v in o.items():
-                    if v is not None:
-                        out.append((feed, seq, name, k, _type(v), json.dumps(v, sort_keys=True, ensure_ascii=False)))
+                for k, v in _paths(o, depth):
+                    out.append((feed, seq, name, k, _type(v), json.dumps(v, sort_keys=True, ensure_ascii=False)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), kinds)], names=cols)
 
@@ -106,69 +129,68 @@ def file_fields(values: DataFrame) -> DataFrame:
     )
 
 
-def changes(df: DataFrame, same_share: float = SAME_SHARE, names: Sequence[str] = ("app", "id")) -> DataFrame:
-    """(feed, file_seq, change, field, new_field): added, removed, renamed and retyped against file_seq - 1.
+def changes(df: DataFrame, same_share: float = SAME_SHARE, names: Sequence[str] = ("app", "id"), depth: int = 1) -> DataFrame:
+    """(feed, file_seq, change, field, new_field): added, removed, renamed and retyped against file_seq - 1."""
+    values = checkpoint(path_values(df, names=names, depth=depth))
+    return changes_of(values, checkpoint(file_fields(values)), same_share)
+
+
+def changes_of(values: DataFrame, files: DataFrame, same_share: float = SAME_SHARE) -> DataFrame:
+    """The changes given the path-value rows and their statistics by file.
 
     A rename is the best pair of a field that went and one that came, mutually, whose values agree for at least
-    ``same_share`` of the records that have both. Values are compared by record and file through a join on
-    (feed, file, record) that only the fields which went or came take part in.
+    ``same_share`` of the records that have both. Only values of fields that moved are looked at. They are grouped by
+    record, and by record and value, into sets of field names, so that no group grows with the rows of one record.
     """
-    # the parsed values feed six branches: they are written once instead of parsing every payload six times
-    values = checkpoint(path_values(df, names=names))
-    files = checkpoint(file_fields(values))
-    before = files.select("feed", (F.col("file_seq") + 1).alias("file_seq"), F.col("fields").alias("old"))
-    pair = files.join(before, ["feed", "file_seq"]).withColumns(
-        {
-            "went": F.array_except(F.map_keys("old"), F.map_keys("fields")),
-            "came": F.array_except(F.map_keys("fields"), F.map_keys("old")),
-            "both": F.array_intersect(F.map_keys("old"), F.map_keys("fields")),
-        }
-    )
-    retyped = pair.select("feed", "file_seq", "fields", "old", F.explode("both").alias("field")).where(
-        F.element_at("fields", F.col("field")) != F.element_at("old", F.col("field"))
-    )
-    went = pair.select("feed", "file_seq", F.explode("went").alias("field"))
-    came = pair.select("feed", "file_seq", F.explode("came").alias("new_field"))
-    facts = values.select("feed", "file_seq", "record", "field", F.xxhash64("raw").alias("raw")).where("record is not null")
-    facts = facts.distinct()
+    by_feed = Window.partitionBy("feed").orderBy("file_seq")  # one row per file
+    old, new = F.map_keys("old"), F.map_keys("fields")
+    pair = files.withColumns({"before": F.lag("file_seq").over(by_feed), "old": F.lag("fields").over(by_feed)})
+    pair = pair.where(F.col("before") == F.col("file_seq") - 1).select(
+        "feed", "file_seq", F.array_except(old, new).alias("went"), F.array_except(new, old).alias("came"),
+        F.filter(F.array_intersect(old, new), lambda f: F.element_at("fields", f) != F.element_at("old", f)).alias("retyped"),
+    )
+    pair = checkpoint(pair)
     # only transitions with both a field that went and one that came can hold a rename
-    both = pair.where((F.size("went") > 0) & (F.size("came") > 0))
-    gone = both.select("feed", "file_seq", F.explode("went").alias("field"))
-    new = both.select("feed", "file_seq", F.explode("came").alias("new_field"))
-    left = facts.withColumn("file_seq", F.col("file_seq") + 1).join(gone, ["feed", "file_seq", "field"])
-    right = facts.withColumnRenamed("field", "new_field").join(new, ["feed", "file_seq", "new_field"])
-    met = left.join(right.withColumnRenamed("raw", "new_raw"), ["feed", "file_seq", "record"])
-    score = (
-        met.groupBy("feed", "file_seq", "field", "new_field")
-        .agg(F.count_if(F.col("raw") == F.col("new_raw")).alias("same"), F.count("*").alias("n"))
-        .where((F.col("same") > 0) & (F.col("same") >= F.col("n") * F.lit(same_share)))
-    )
-    # mutual best by agreement, ties by name: groups hold at most (fields that went) x (fields that came) rows
-    rank = F.struct(F.col("same") / F.col("n"), F.col("same"), F.col("field"), F.col("new_field"))
-    best = score.withColumn("rank", rank)
-    top_old = best.groupBy("feed", "file_seq", "field").agg(F.max("rank").alias("rank"))
-    top_new = best.groupBy("feed", "file_seq", "new_field").agg(F.max("rank").alias("rank"))
-    renamed = best.join(top_old, ["feed", "file_seq", "field", "rank"]).join(top_new, ["feed", "file_seq", "new_field", "rank"])
-    renamed = renamed.select("feed", "file_seq", "field", "new_field")
-
-    def out(d: DataFrame, change: str, field: str, new: Column) -> DataFrame:
-        return d.select("feed", "file_seq", F.lit(change).alias("change"), F.col(field).alias("field"), new.alias("new_field"))
-
-    removed = went.join(renamed.drop("new_field"), ["feed", "file_seq", "field"], "left_anti")
-    added = came.join(renamed.drop("field"), ["feed", "file_seq", "new_field"], "left_anti")
-    return (
-        out(renamed, "renamed", "field", F.col("new_field"))
-        .unionByName(out(removed, "removed", "field", F.lit("")))
-        .unionByName(out(added, "added", "new_field", F.lit("")))
-        .unionByName(out(retyped, "retyped", "field", F.lit("")))
+    side = lambda fields, back, was: F.transform(fields, lambda f: F.struct((F.col("file_seq") - back).alias("at"), f.alias("field"), F.lit(was).alias("was")))
+    moving = pair.where((F.size("went") > 0) & (F.size("came") > 0))
+    moving = moving.select("feed", "file_seq", F.explode(F.concat(side("went", 1, True), side("came", 0, False))).alias("m")).select("feed", "file_seq", "m.*")
+    if moving.count() <= BROADCAST_ROWS:
+        moving = F.broadcast(moving)
+    facts = values.where("record is not null").select("feed", F.col("file_seq").alias("at"), "record", "field", F.xxhash64("raw").alias("raw"))
+    moved = facts.join(moving, ["feed", "at", "field"])
+    key = ["feed", "file_seq", "field", "new_field"]
+    names = [F.collect_set(F.when(was, F.col("field"))).alias(c) for was, c in ((F.col("was"), "olds"), (~F.col("was"), "news"))]
+
+    def pairs(d: DataFrame) -> DataFrame:
+        d = d.agg(*names).where((F.size("olds") > 0) & (F.size("news") > 0))
+        return d.withColumn("field", F.explode("olds")).withColumn("new_field", F.explode("news"))
+
+    have = pairs(moved.groupBy("feed", "file_seq", "record")).groupBy(*key).agg(F.count("*").alias("n"))
+    agree = pairs(moved.groupBy("feed", "file_seq", "record", "raw")).select(*key, "record").distinct().groupBy(*key).agg(F.count("*").alias("same"))
+    score = have.join(agree, key).where(F.col("same") >= F.col("n") * F.lit(same_share))
+    # mutual best by agreement, ties by name: a file has at most (fields that went) x (fields that came) candidates
+    rank = F.struct((F.col("same") / F.col("n")).alias("share"), "same", "field", "new_field")
+    best = score.groupBy("feed", "file_seq").agg(F.collect_list(rank).alias("r"))
+    rival = lambda x: F.exists("r", lambda y: ((y["field"] == x["field"]) | (y["new_field"] == x["new_field"])) & (y > x))
+    best = best.select("feed", "file_seq", F.filter("r", lambda x: ~rival(x)).alias("renamed"))
+    both = pair.join(best, ["feed", "file_seq"], "left")
+    renamed = F.coalesce("renamed", F.array().cast("array<struct<share:double,same:bigint,field:string,new_field:string>>"))
+    left = lambda fields, c: F.filter(fields, lambda f: ~F.exists(renamed, lambda r: r[c] == f))
+    row = lambda change, f, g: F.struct(F.lit(change).alias("change"), f.alias("field"), g.alias("new_field"))
+    found = F.concat(
+        F.transform(renamed, lambda r: row("renamed", r["field"], r["new_field"])),
+        F.transform(left("went", "field"), lambda f: row("removed", f, F.lit(""))),
+        F.transform(left("came", "new_field"), lambda f: row("added", f, F.lit(""))),
+        F.transform("retyped", lambda f: row("retyped", f, F.lit(""))),
     )
+    return both.select("feed", "file_seq", F.explode(found).alias("x")).select("feed", "file_seq", "x.*")
 
 
 def steady_names(found: DataFrame, files: DataFrame) -> DataFrame:
     """(feed, file_seq, field, column): the steady column of each field of each file.
 
-    A field's column is the name under which it first came; renames are followed file by file. The files of a feed are
-    a short list (one row each here), so a feed's schema history is folded in one group.
+    A field's column is the name under which it first came; renames are followed file by file. A group holds one row per
+    file of a feed with its field names, so a feed of 100,000 files with 100 fields is folded in about a gigabyte.
     """
     per_file = files.select("feed", "file_seq", F.map_keys("fields").alias("fields"))
     moves = (
@@ -200,8 +222,9 @@ def steady_table(df: DataFrame, columns: dict[str, str], names: Sequence[str] =
     ``columns`` are kept as a JSON map in ``rest``. A record delivered twice gives one row; of different values of one
     cell the largest text is taken.
     """
-    values = path_values(df, names=names)
-    found, files = changes(df, names=names), file_fields(values)
+    values = checkpoint(path_values(df, names=names))
+    files = checkpoint(file_fields(values))
+    found = changes_of(values, files)
     cells = values.join(steady_names(found, files), ["feed", "file_seq", "field"]).where("record is not null")
     once = cells.groupBy("feed", "file_seq", "record", "column").agg(F.max(F.struct("type", "raw")).alias("v"))
     other = F.when(~F.col("column").isin(*columns), F.struct("column", "v.raw"))
@@ -216,9 +239,9 @@ def steady_table(df: DataFrame, columns: dict[str, str], names: Sequence[str] =
         if kind == "number":
             cell = F.expr(f"try_cast(case when _{c}.type in ('number', 'string') then trim('\"' from _{c}.raw) end as double)")
         elif kind == "list":
-            cell = F.when(typ == "array", F.from_json(raw, "array<string>")).when(typ.isNotNull(), F.array(text))
+            cell = F.when(typ.startswith("array"), F.from_json(raw, "array<string>")).when(typ.isNotNull(), F.array(text))
         else:
-            cell = F.when(typ != "object", F.when(typ == "array", raw).otherwise(text))
+            cell = F.when(typ != "object", F.when(typ.startswith("array"), raw).otherwise(text))
         out.append(cell.alias(c))
         failed.append(F.when(typ.isNotNull() & cell.isNull(), F.lit(c)))
     return wide.select("feed", "file_seq", "record", *out, F.array_compact(F.array(*failed)).alias("failed"), F.to_json("_rest").alias("rest"))

@@ -95,7 +95,23 @@ def p3_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.changes(table(spark, sf_dir, "drift_record")).distinct()
+    return drift.changes(table(spark, sf_dir, "drift_record"))
+
+
+def p6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path of every feed, down to four steps: the files that have it, the first and last of them, and its types."""
+    values = drift.path_values(table(spark, sf_dir, "drift_record"), depth=4)
+    once = values.groupBy("feed", "field", "type", "file_seq").agg(F.count("*").alias("n"))
+    return once.groupBy("feed", F.col("field").alias("path")).agg(
+        F.count_distinct("file_seq").alias("files"), F.min("file_seq").alias("first"), F.max("file_seq").alias("last"),
+        F.sum("n").alias("n_values"), F.array_join(F.sort_array(F.collect_set("type")), "|").alias("types"),
+    )
+
+
+def p6_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes below the top level: paths of two to four steps that came, went or changed their types."""
+    found = drift.changes(table(spark, sf_dir, "drift_record"), depth=4)
+    return found.where(F.col("field").contains(".") | F.col("field").contains("[]"))
 
 
 WAPP = {"app": "text", "html": "list", "implies": "list", "cats": "list", "website": "text", "cpe": "text", "description": "text"}
@@ -128,6 +144,8 @@ QUERIES = {
     "p3_parsed": p3_parsed,
     "p3_reasons": p3_reasons,
     "p6_found": p6_found,
+    "p6_paths": p6_paths,
+    "p6_nested": p6_nested,
     "p6_wapp": p6_wapp,
     "p6_template": p6_template,
     "p6_refused": p6_refused,
@@ -140,4 +158,26 @@ SQL = {
         FROM (SELECT finger_id, i, rule[i] AS r FROM (SELECT finger_id, rule, UNNEST(RANGE(1, LEN(rule) + 1)) AS i FROM native_finger))
         WHERE r IS NOT NULL
     """,
+    "p6_found": """
+        WITH o AS (SELECT feed, file_seq, CAST(payload AS JSON) AS j FROM drift_record WHERE feed IS NOT NULL AND file_seq IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT'),
+        e AS (SELECT feed, file_seq, coalesce(j->>'app', j->>'id') AS record, k AS field, json_extract(j, '$."' || k || '"') AS v FROM (SELECT *, UNNEST(json_keys(j)) AS k FROM o)),
+        t AS (SELECT feed, file_seq, record, field, CAST(v AS VARCHAR) AS raw, CASE json_type(v) WHEN 'ARRAY' THEN 'array of ' || array_to_string(list_sort(list_distinct(list_transform(
+                CAST(v AS JSON[]), lambda x: CASE WHEN json_type(x) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' ELSE json_type(x) END))), ',')
+              WHEN 'UBIGINT' THEN 'number' WHEN 'BIGINT' THEN 'number' WHEN 'DOUBLE' THEN 'number' ELSE json_type(v) END AS type FROM e WHERE json_type(v) <> 'NULL'),
+        f AS (SELECT feed, file_seq, field, list_sort(list(DISTINCT type)) AS types FROM t GROUP BY ALL),
+        files AS (SELECT DISTINCT feed, file_seq FROM f),
+        step AS (SELECT b.feed, b.file_seq FROM files a JOIN files b ON a.feed = b.feed AND a.file_seq = b.file_seq - 1),
+        went AS (SELECT s.feed, s.file_seq, f.field FROM step s JOIN f ON f.feed = s.feed AND f.file_seq = s.file_seq - 1 WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.feed = s.feed AND g.file_seq = s.file_seq AND g.field = f.field)),
+        came AS (SELECT s.feed, s.file_seq, f.field FROM step s JOIN f ON f.feed = s.feed AND f.file_seq = s.file_seq WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.feed = s.feed AND g.file_seq = s.file_seq - 1 AND g.field = f.field)),
+        score AS (SELECT w.feed, w.file_seq, w.field, c.field AS new_field, count(DISTINCT a.record) AS n, count(DISTINCT a.record) FILTER (WHERE a.raw = b.raw) AS same
+                  FROM went w JOIN came c USING (feed, file_seq) JOIN t a ON a.feed = w.feed AND a.file_seq = w.file_seq - 1 AND a.field = w.field
+                  JOIN t b ON b.feed = w.feed AND b.file_seq = w.file_seq AND b.field = c.field AND b.record = a.record GROUP BY ALL),
+        good AS (SELECT *, same / n AS share FROM score WHERE same > 0 AND same >= n * 0.5),
+        renamed AS (SELECT * FROM good x WHERE NOT EXISTS (SELECT 1 FROM good y WHERE y.feed = x.feed AND y.file_seq = x.file_seq AND (y.field = x.field OR y.new_field = x.new_field)
+                    AND (y.share, y.same, y.field, y.new_field) > (x.share, x.same, x.field, x.new_field)))
+        SELECT feed, file_seq, 'renamed' AS change, field, new_field FROM renamed
+        UNION ALL SELECT feed, file_seq, 'removed', field, '' FROM went ANTI JOIN renamed USING (feed, file_seq, field)
+        UNION ALL SELECT feed, file_seq, 'added', field, '' FROM came c WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed = c.feed AND r.file_seq = c.file_seq AND r.new_field = c.field)
+        UNION ALL SELECT b.feed, b.file_seq, 'retyped', b.field, '' FROM f a JOIN f b ON a.feed = b.feed AND a.file_seq = b.file_seq - 1 AND a.field = b.field WHERE a.types <> b.types
+    """,
 }

@@ -176,7 +176,7 @@ def test_p6_against_plain_comparison(spark, data):
             for o in recs:
                 for k, v in o.items():
                     if v is not None:
-                        types[k].add(type(v).__name__.replace("float", "int"))
+                        types[k].add((type(v).__name__, *sorted({type(x).__name__ for x in v})) if isinstance(v, list) else type(v).__name__.replace("float", "int"))
                         vals[k][o.get("app", o.get("id"))] = v
             return types, vals
 
@@ -208,6 +208,19 @@ def test_drift_edge_cases_and_steady_table(spark):
     assert drift.changes(df.limit(0)).count() == 0
 
 
+def test_list_types_and_nested_paths(spark):
+    recs = [
+        ("f", 1, '{"app": "a", "html": ["x"], "m": {"v": "one", "k": 1}, "e": [], "r": [{"t": "w"}]}'),
+        ("f", 2, '{"app": "a", "html": [{"p": "x"}], "m": {"maker": "one", "k": "1"}, "e": [null], "r": [{"t": ["w"]}]}'),
+        ("f", 3, '{"app": "a", "html": [1, "x"], "m": {"maker": "one", "k": "1"}, "e": [], "r": [{"t": ["w"]}]}'),
+    ]
+    df = spark.createDataFrame(recs, "feed string, file_seq int, payload string")
+    assert rows(drift.changes(df)) == [("f", 2, "retyped", "html", ""), ("f", 3, "retyped", "html", "")]
+    deep = {(r.file_seq, r.change, r.field, r.new_field) for r in drift.changes(df, depth=4).collect() if "." in r.field}
+    assert deep == {(2, "renamed", "m.v", "m.maker"), (2, "retyped", "m.k", ""), (2, "retyped", "r[].t", ""), (2, "added", "r[].t[]", "")} | {x for x in deep if "html" in x[2]}
+    assert {x for x in deep if "html" in x[2]} == {(2, "added", "html[].p", ""), (3, "removed", "html[].p", "")}
+
+
 def test_rows_without_a_place_in_the_steady_table(spark, tmp_path):
     recs = [
         (1, "wapp_a", 1, '{"app": "a"}'), (2, "template_a", 1, '{"id": "a"}'), (3, None, 1, '{"app": "a"}'), (4, "wapp_a", None, '{"app": "a"}'), (5, "wapp_a", 1, None), (6, "wapp_a", 1, "{"),
