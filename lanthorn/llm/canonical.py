@@ -7,6 +7,12 @@ way: word and maker + word with the entry's kind, former names, the bare word of
 Texts are compared as sets of bigrams and numbered letters through ``prefix_join`` within the same kind; candidates are
 checked by their edit distance and the best is kept: fewest edits, then highest Jaccard, then smallest id.
 
+No words are built in. ``learn`` takes the kind words from the last words of the list and their abbreviations and
+translations, and the decorations of names, from what the entered names hold beside listed words: a text that stands
+behind many different words whose products share one kind is another spelling of that kind (one word is enough for a
+text of the kind's first letter and further letters of it in order), and a text that stands beside products of many
+different makers is decoration.
+
 Defined results: null and empty names, and names that reach no entry, get canon_id 0. A bare word that several entries
 share gets 0. Names equal in writing are mapped once.
 """
@@ -18,6 +24,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -26,54 +33,71 @@ from pyspark.sql import functions as F
 
 from lanthorn.llm import prefix_join
 from lanthorn.operators.skew import skew_join
+from lanthorn.session import checkpoint, shuffle_partitions
 
 #: Edits that any reference text tolerates.
 MOST_EDITS = 2
-#: Kind words with their usual abbreviation and translations.
-KINDS = {
-    "monitor": ["mon", "监控"], "board": ["brd", "看板"], "storage": ["stor", "存储"], "search": ["srch", "搜索"],
-    "panel": ["pnl", "面板"], "forum": ["frm", "论坛"], "gateway": ["gw", "网关"], "studio": ["std", "工作室"],
-    "shop": ["shp", "商城"], "portal": ["ptl", "门户"], "router": ["rtr", "路由器"], "cloud": ["cld", "云"],
-    "mail": ["ml", "邮件"], "camera": ["cam", "摄像机"], "manager": ["mgr", "管理系统"], "proxy": ["prx", "代理"],
-    "server": ["srv", "服务器"], "switch": ["sw", "交换机"], "archive": ["arch", "归档"], "scheduler": ["sched", "调度"],
-    "firewall": ["fw", "防火墙"], "console": ["cons", "控制台"], "ledger": ["ldgr", "账本"], "backup": ["bkp", "备份"],
-}
+#: A last word of the list is a kind word from so many entries on, and from a thousandth of them: 1000 kinds at most.
+KIND_ENTRIES, KINDS_AT_MOST = 2, 1000
+#: Different words behind which a text must stand to be a spelling, and the share of them that must have the kind.
+SPELLING_WORDS, SPELLING_SHARE = 3, 0.8
+#: Different makers beside whose products a text must stand to be decoration.
+DECORATION_MAKERS = 3
+#: Letters of the longest text that is learned, and of the shortest word it is learned from.
+LONGEST_PART, SHORTEST_WORD = 24, 4
 #: Latin letters for Cyrillic and Greek letters of the same shape.
 LOOKALIKE = str.maketrans("авеёкмнорстухіѕјԁցһӏοαερτυνικ", "abeekmhopctyxisjdghloaeptuvik")
-BEFORE = ("poweredby", "the")
-BEHIND = ("loginpage", "登录", "community", "webui", "oem", "enterprise", "edition")
-#: Markup of a space, also where stray marks stand within it.
-SPACE = re.compile(r"&[\W_]*n[\W_]*b[\W_]*s[\W_]*p[\W_]*;|%[\W_]*2[\W_]*0", re.I)
-#: Kind words by themselves and by what is left of them without one letter.
-SLIPS: dict[str, list[str]] = defaultdict(list)
-for _k in KINDS:
-    for _v in {_k, *(_k[:i] + _k[i + 1 :] for i in range(len(_k)))}:
-        SLIPS[_v].append(_k)
-SLIP_LENGTHS = range(min(map(len, KINDS)) - 1, max(map(len, KINDS)) + 2)
+#: Marks that markup is written with; all others are dropped before it is decoded, since they may stand within it.
+STRAY = re.compile(r"[^\w\s&;%#]|_")
 VERSION = re.compile(r"\d+(?:(?:rc|sp|beta|alpha)\d*)*$")
 
 
+@dataclass
+class Lexicon:
+    """Kind words by their spellings (each kind word is one of its own), and decorations before and behind a name."""
+
+    spellings: dict[str, str] = field(default_factory=dict)
+    before: tuple[str, ...] = ()
+    behind: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        self.kinds = sorted(set(self.spellings.values()))
+        self.lengths = sorted({len(s) for s in self.spellings})
+        # kind words by themselves and by what is left of them without one letter
+        self.slips: dict[str, list[str]] = defaultdict(list)
+        for k in self.kinds:
+            for v in {k, *(k[:i] + k[i + 1 :] for i in range(len(k)))}:
+                self.slips[v].append(k)
+        self.slip_lengths = sorted({n for k in self.kinds for n in (len(k) - 1, len(k), len(k) + 1)})
+
+
 def fold(text: str | None) -> str:
     """Letters and digits of a name, folded."""
     if not text:
         return ""
-    s = SPACE.sub(" ", unicodedata.normalize("NFKC", text))
+    if text.isascii() and "&" not in text and "%" not in text:
+        return "".join(c for c in text.lower() if c.isalnum())
+    s = STRAY.sub("", unicodedata.normalize("NFKC", text)).lower()
     s = unicodedata.normalize("NFKC", unquote(html.unescape(s)))
     s = s.casefold().translate(LOOKALIKE)
     return "".join(c for c in s if c.isalnum())
 
 
-def plain_forms(s: str) -> list[str]:
-    """The folded name and what is left of it without version, edition and page words, in every way."""
+def without_version(t: str) -> list[str]:
+    """What is left of a folded name without a version at its end, in every way; nothing if it has none."""
+    cut = VERSION.sub("", t)
+    # a v before the number may belong to the word or to the version
+    return [] if cut == t else [cut, cut.removesuffix("version"), cut.removesuffix("ver"), cut.removesuffix("v")]
+
+
+def plain_forms(s: str, lexicon: Lexicon) -> list[str]:
+    """The folded name and what is left of it without version and decoration, in every way."""
     forms = {s: None}
     todo = [s]
     while todo:
         t = todo.pop()
-        cut = VERSION.sub("", t)
-        less = [cut]
-        if cut != t:  # a v before the number may belong to the word or to the version
-            less += [cut.removesuffix("version"), cut.removesuffix("ver"), cut.removesuffix("v")]
-        less += [t.removesuffix(w) for w in BEHIND] + [t.removeprefix(w) for w in BEFORE]
+        less = without_version(t)
+        less += [t.removesuffix(w) for w in lexicon.behind] + [t.removeprefix(w) for w in lexicon.before]
         for x in less:
             if x and x not in forms:
                 forms[x] = None
@@ -81,46 +105,51 @@ def plain_forms(s: str) -> list[str]:
     return list(forms)
 
 
-def slipped(piece: str) -> list[str]:
+def slipped(piece: str, lexicon: Lexicon) -> list[str]:
     """Whole kind words at an edit distance of 1."""
     # an edit leaves the same letters on both sides once one is taken from each at most
-    met = {k for v in (piece, *(piece[:i] + piece[i + 1 :] for i in range(len(piece)))) for k in SLIPS.get(v, ())}
+    met = {k for v in (piece, *(piece[:i] + piece[i + 1 :] for i in range(len(piece)))) for k in lexicon.slips.get(v, ())}
     return [k for k in met if edits(piece, k, 1) == 1]
 
 
-def readings(name: str | None, kinds: dict[str, list[str]] = KINDS) -> list[tuple[str, str, int]]:
+def readings(name: str | None, lexicon: Lexicon) -> list[tuple[str, str, int]]:
     """(text, kind, slips) in every way the name can be read; kind '' takes the text as a whole.
 
-    A kind word stands behind the text, written in any way, or whole before it; a whole kind word may hold one slip
-    at any letter in both places.
+    A kind word stands behind the text, in any spelling, or whole before it; a whole kind word may hold one slip at any
+    letter in both places.
     """
     s = fold(name)
     out: dict[tuple[str, str], int] = {}
-    for t in plain_forms(s) if s else ():
+    for t in plain_forms(s, lexicon) if s else ():
         out[t, ""] = 0
-        for kind, others in kinds.items():
-            for k in (kind, *others):
-                if len(t) > len(k) + 2 and t.endswith(k):
-                    out[t.removesuffix(k), kind] = 0
-            if len(t) > len(kind) + 2 and t.startswith(kind):
-                out[t.removeprefix(kind), kind] = 0
-        for n in SLIP_LENGTHS:
+        for n in lexicon.lengths:
+            if len(t) > n + 2:
+                if kind := lexicon.spellings.get(t[-n:]):
+                    out[t[:-n], kind] = 0
+                if (kind := lexicon.spellings.get(t[:n])) == t[:n]:
+                    out[t[n:], kind] = 0
+        for n in lexicon.slip_lengths:
             if len(t) > n + 2:
                 for text, piece in ((t[:-n], t[-n:]), (t[n:], t[:n])):
-                    for kind in slipped(piece):
-                        if kind in kinds:
-                            out.setdefault((text, kind), 1)
+                    if piece in lexicon.spellings:
+                        continue
+                    for kind in slipped(piece, lexicon):
+                        out.setdefault((text, kind), 1)
     return [(t, k, d) for (t, k), d in out.items()]
 
 
-def tokens(text: str) -> list[str]:
+def tokens(text: str) -> set[str]:
     """Bigrams and numbered letters."""
     seen: dict[str, int] = defaultdict(int)
-    out = []
+    out = {f"_{text[i : i + 2]}" for i in range(len(text) - 1)}
     for c in text:
         seen[c] += 1
-        out.append(f"{c}{seen[c]}")
-    return out + [f"_{text[i : i + 2]}" for i in range(len(text) - 1)]
+        out.add(f"{c}{seen[c]}")
+    return out
+
+
+#: Tokens that one edit takes from a text at most (a letter and two bigrams, or the three bigrams of a swap); it brings no more.
+EDIT_TOKENS = 3
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -152,87 +181,210 @@ def allowed(text: str) -> int:
     return MOST_EDITS if len(text) >= 8 else 1 if len(text) >= 6 else 0
 
 
-def least_jaccard(texts: Iterable[str]) -> float:
-    """The Jaccard similarity that every text within the allowed edits of a reference text has at least.
+# --- the list and what is learned from it -----------------------------------------------------------------------------
 
-    An edit takes three tokens at most away (a letter and two bigrams, or the three bigrams of a swap) and brings three at
-    most. Repeated bigrams make a set smaller, so its own size counts and not the number of letters.
-    """
-    sizes = ((len(set(tokens(t))), 3 * allowed(t)) for t in texts)
-    return min(((n - lost) / (n + lost) for n, lost in sizes if n), default=1.0)
-
-
-def references(products: list[tuple[int, str, str | None, list[str] | None]]) -> list[tuple[str, str, int]]:
-    """(text, kind, canon_id) of the product list."""
-    by_word: dict[str, set[int]] = defaultdict(set)
-    parsed = []
-    for cid, name, vendor, aka in products:
-        words = (name or "").split()
-        kind = fold(words[-1]) if len(words) > 1 and fold(words[-1]) in KINDS else ""
-        word = fold(" ".join(words[:-1]) if kind else name)
-        parsed.append((cid, word, kind, fold(vendor), [fold(a) for a in aka or () if a]))
-        by_word[word].add(cid)
+
+def entries(products: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(canon_id, word, kind, maker, former) of the list, and its kind words."""
+
+    @F.pandas_udf("string")
+    def folded(s):
+        import pandas as pd
+
+        return pd.Series([fold(x) for x in s], dtype=object)
+
+    @F.pandas_udf("array<string>")
+    def folded_all(s):
+        import pandas as pd
+
+        return pd.Series([[y for x in (v if v is not None else ()) if (y := fold(x))] for v in s], dtype=object)
+
+    name = F.trim(F.coalesce("canon_name", F.lit("")))
+    split = products.select("canon_id", name.alias("name"), "vendor", "also_known_as")
+    split = split.withColumn("last", F.when(F.instr("name", " ") > 0, folded(F.substring_index("name", " ", -1))).otherwise(""))
+    total = split.count()
+    often = split.where("last != ''").groupBy("last").count().where(F.col("count") >= max(KIND_ENTRIES, total / KINDS_AT_MOST))
+    kinds = sorted(r["last"] for r in often.collect())  # KINDS_AT_MOST words
+    kind = F.when(F.col("last").isin(kinds), F.col("last")).otherwise("") if kinds else F.lit("")
+    head = F.expr("substring(name, 1, length(name) - length(substring_index(name, ' ', -1)))")
+    out = split.withColumn("kind", kind).withColumn("word", folded(F.when(F.col("kind") != "", head).otherwise(F.col("name"))))
+    return out.select("canon_id", "word", "kind", folded(F.coalesce("vendor", F.lit(""))).alias("maker"), folded_all("also_known_as").alias("former")), kinds
+
+
+def between(name: str | None) -> list[tuple[str, str, bool]]:
+    """(text, what stands beside it, whether behind it) of all runs of one to three pieces with others on both sides."""
+    pieces = [x for p in re.split(r"[\W_]+", name or "") if (x := fold(p))]
     out = []
-    for cid, word, kind, vendor, aka in parsed:
-        texts = [(word, kind), (vendor + word, kind)]
-        texts += [(x, k) for a in aka for x in (a, vendor + a) for k in {"", kind}]
-        if len(by_word[word]) == 1:
-            texts += [(word, ""), (vendor + word, "")]
-        out += [(t, k, cid) for t, k in dict.fromkeys(texts) if t]
-    # a bare word of several entries means none of them, nor any entry with a word like it
-    return out + [(w, "", 0) for w, ids in by_word.items() if len(ids) > 1 and w]
+    for i in range(1, len(pieces) - 1):
+        for j in range(i + 1, min(i + 4, len(pieces))):
+            sides = ("".join(pieces[:i]), False), ("".join(pieces[j:]), True)
+            out += [("".join(pieces[i:j]), part, behind) for part, behind in sides if len(part) <= LONGEST_PART]
+    return out
 
 
-def map_names(names: DataFrame, products: DataFrame, t: float | None = None) -> DataFrame:
-    """(name, n, canon_id) of distinct names; ``names`` has a column ``name``, n is its number of rows.
+def learn(names: DataFrame, listed: DataFrame, kinds: list[str]) -> Lexicon:
+    """Spellings and decorations from all distinct ``names`` (name) against the entries of the list.
 
-    Without ``t`` the join's threshold is the one at which the edit check behind it loses nothing.
+    Names are cut behind and before every listed word in an equi-join, at any letter, and on both sides of it between
+    their pieces; only the learned texts reach the driver. A text that several kinds could claim goes to none.
     """
-    spark = names.sparkSession
-    distinct = names.groupBy("name").agg(F.count("*").alias("n"))
-    listed = products.select("canon_id", "canon_name", "vendor", "also_known_as").limit(prefix_join.RANKED + 1).collect()
-    if len(listed) > prefix_join.RANKED:
-        raise ValueError(f"the product list has more than {prefix_join.RANKED} entries")
-    refs = sorted(set(references([tuple(r) for r in listed])))
-    t = least_jaccard(r[0] for r in refs) if t is None else t
-    order = prefix_join.ordered(prefix_join.rarity_rank(tokens(r[0]) for r in refs))
-    longest = max((len(r[0]) for r in refs), default=0) + MOST_EDITS
-    right = spark.createDataFrame(
-        [(i, kind, order(tokens(text)), text, cid) for i, (text, kind, cid) in enumerate(refs)],
-        "right_id int, kind string, tokens array<bigint>, ref string, canon_id bigint",
-    )
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(n, text, slips, kind, order(tokens(text))) for n in b.column(0).to_pylist() for text, kind, slips in readings(n) if len(text) <= longest]
-            cols = zip(*out) if out else [[]] * 5
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64()))
-            names = ["name", "text", "slips", "kind", "tokens"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
-
-    left = distinct.select("name").mapInArrow(read, "name string, text string, slips int, kind string, tokens array<bigint>")
-    left = left.select(F.struct("name", "text", "slips").alias("left_id"), "kind", "tokens", F.length("text").alias("letters"))
-    # an edit changes the length by one at most, so only texts of like length can pass the check behind the join
-    near = right.select("right_id", "kind", "tokens", F.length("ref").alias("letters"))
-    pairs = prefix_join.jaccard_join(left, near, t, on=("kind",), within=("letters", MOST_EDITS))
-    cand = pairs.join(F.broadcast(right.select("right_id", "ref", "canon_id")), "right_id")  # at most RANKED entries
-
-    @F.pandas_udf("int")
-    def distance(a, b):
-        import pandas as pd
+            out = []
+            for n in b.column(0).to_pylist():
+                s = fold(n)
+                out += {s, *without_version(s)}
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["form"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [x for n in b.column(0).to_pylist() for x in between(n)]
+            cols = zip(*out) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.string(), pa.string(), pa.bool_()))], names=["key", "part", "behind"])
+
+    form = names.select("name").mapInArrow(forms, "form string").where(F.length("form") > SHORTEST_WORD)
+    n = F.length("form")
+    cut = form.select("form", n.alias("n"), F.explode(F.sequence(F.lit(1), n - 1)).alias("at"))
+    head, tail = F.expr("substring(form, 1, at)"), F.expr("substring(form, at + 1)")
+    behind = cut.where((F.col("at") >= SHORTEST_WORD) & (F.col("n") - F.col("at") <= LONGEST_PART)).select(head.alias("key"), tail.alias("part"), F.lit(True).alias("behind"))
+    before = cut.where((F.col("n") - F.col("at") >= SHORTEST_WORD) & (F.col("at") <= LONGEST_PART)).select(tail.alias("key"), head.alias("part"), F.lit(False).alias("behind"))
+    words = listed.where("word != '' and kind != ''").groupBy("word").agg(F.collect_set("kind").alias("kinds"), F.min("maker").alias("maker"))
+    heads = words.select("word", "kinds", F.explode(F.array("word", F.concat("maker", "word"))).alias("key")).distinct()
+    # words and names of the list are broadcast where their number is small
+    few = F.broadcast if listed.count() <= prefix_join.RANKED else (lambda d: d)
+    met = behind.drop("behind").join(few(heads), "key").select("part", "word", "kinds").distinct()
+    counted = met.groupBy("part").agg(F.count("*").alias("words"))
+    per = met.select("part", F.explode("kinds").alias("kind")).groupBy("part", "kind").agg(F.count("*").alias("n"))
+    short = (F.length("part") >= 2) & (F.length("part") * 3 <= F.length("kind") * 2) & F.expr("kind rlike concat('^', regexp_replace(part, '([a-z])', '$1.*'))") & F.expr("part rlike '^[a-z]+$'")
+    enough = (F.col("n") >= SPELLING_WORDS) | short
+    pure = per.join(counted, "part").where(enough & (F.col("n") >= F.col("words") * SPELLING_SHARE))
+    pure = pure.groupBy("part").agg(F.max_by("kind", "n").alias("kind"), F.count("*").alias("claims")).where("claims = 1")
+    full = listed.where("word != ''").select(F.concat("word", "kind").alias("key"), "maker").where(F.length("key") > SHORTEST_WORD).distinct()
+    around = names.select("name").mapInArrow(windows, "key string, part string, behind boolean")
+    beside = behind.unionByName(before).unionByName(around).join(few(full), "key").select("part", "behind", "maker").distinct()
+    decor = beside.groupBy("part", "behind").agg(F.count("*").alias("makers")).where(F.col("makers") >= DECORATION_MAKERS)
+    found = pure.select("part", "kind", F.lit(True).alias("behind")).unionByName(decor.select("part", F.lit("").alias("kind"), "behind"))
+    rows = found.collect()
+    plain = re.compile(r"\D*")  # versions are read by a rule
+    decorations = lambda side: tuple(sorted(r.part for r in rows if not r.kind and r.behind == side and plain.fullmatch(r.part)))
+    spellings = {k: k for k in kinds} | {r.part: r.kind for r in rows if r.kind and plain.fullmatch(r.part) and r.part not in kinds}
+    # a spelling with a decoration is no spelling of its own
+    out = Lexicon({}, decorations(False), decorations(True))
+    return Lexicon({s: k for s, k in spellings.items() if not any(s != f and f in spellings for f in plain_forms(s, out))}, out.before, out.behind)
+
+
+def reference_rows(listed: DataFrame) -> DataFrame:
+    """(text, kind, canon_id) of the list's entries; canon_id 0 where a bare word means none of several entries."""
+    shared = listed.groupBy("word").agg(F.count_distinct("canon_id").alias("n"))
+    d = listed.join(shared, "word")
+    one = F.col("n") == 1
+    text = lambda t, k: F.struct(t.alias("text"), k.alias("kind"), F.col("canon_id").cast("bigint").alias("canon_id"))
+    both = F.array(F.col("word"), F.concat("maker", "word"))
+    own = F.flatten(F.transform(both, lambda t: F.when(one, F.array(text(t, F.col("kind")), text(t, F.lit("")))).otherwise(F.array(text(t, F.col("kind"))))))
+    former = F.flatten(F.transform("former", lambda a: F.array(*[text(t, k) for t in (a, F.concat("maker", a)) for k in (F.lit(""), F.col("kind"))])))
+    # a bare word of several entries means none of them, nor any entry with a word like it
+    none = F.when(one, F.array().cast("array<struct<text:string,kind:string,canon_id:bigint>>")).otherwise(F.array(F.struct(F.col("word").alias("text"), F.lit("").alias("kind"), F.lit(0).cast("bigint").alias("canon_id"))))
+    return d.select(F.explode(F.concat(own, former, none)).alias("r")).select("r.*").where("text != ''").distinct()
+
 
-        return pd.Series([d if (d := edits(x, y, allowed(y))) <= allowed(y) else None for x, y in zip(a, b)], dtype="Int32")
+# --- mapping ----------------------------------------------------------------------------------------------------------
 
-    scored = cand.withColumn("d", distance(F.col("left_id.text"), F.col("ref")) + F.col("left_id.slips")).where(F.col("d") <= MOST_EDITS)
-    best = scored.groupBy(F.col("left_id.name").alias("name")).agg(
-        F.min_by("canon_id", F.struct("d", -F.col("jaccard"), "canon_id")).alias("canon_id")
-    )
-    return distinct.join(best, "name", "left").select("name", "n", F.coalesce("canon_id", F.lit(0)).cast("bigint").alias("canon_id"))
 
+def lexicon_of(names: DataFrame, products: DataFrame) -> Lexicon:
+    """The lexicon that the distinct ``names`` and the list teach."""
+    listed, kinds = entries(products)
+    return learn(checkpoint(names), checkpoint(listed), kinds)
 
-def map_entries(entries: DataFrame, products: DataFrame, t: float | None = None) -> DataFrame:
+
+def map_names(names: DataFrame, products: DataFrame, ranked: int = prefix_join.RANKED) -> DataFrame:
+    """(name, n, canon_id) of distinct names; ``names`` has a column ``name``, n is its number of rows.
+
+    Up to ``ranked`` reference texts, the join's inverted index of their prefixes is broadcast and every name probes it;
+    a longer list is joined by a shuffle of prefix tokens. Both give the same rows.
+    """
+    distinct = names.groupBy("name").agg(F.count("*").alias("n"))
+    # few bytes, much work: an explicit number of partitions, which is not coalesced
+    distinct = checkpoint(distinct.repartition(shuffle_partitions(names.sparkSession)))
+    listed, kinds = entries(products)
+    listed = checkpoint(listed)
+    lexicon = learn(distinct, listed, kinds)
+    refs = checkpoint(reference_rows(listed))
+    mapped = probe_index(distinct, refs, lexicon) if refs.count() <= ranked else shuffle_join(distinct, refs, lexicon)
+    return distinct.join(mapped, "name", "left").select("name", "n", F.coalesce("canon_id", F.lit(0)).cast("bigint").alias("canon_id"))
+
+
+def probe_index(distinct: DataFrame, refs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(name, canon_id) of the names that reach an entry; at most RANKED reference texts."""
+    rows = sorted((r.text, r.kind, r.canon_id) for r in refs.collect())
+    given = distinct.sparkSession.sparkContext.broadcast((rows, lexicon))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, lexicon = given.value
+        index = prefix_join.Index([(tokens(t), k, EDIT_TOKENS * allowed(t)) for t, k, _ in rows])
+        longest = max((len(t) for t, _, _ in rows), default=0) + MOST_EDITS
+        for b in batches:
+            out = []
+            for name in b.column(0).to_pylist():
+                best = None
+                for text, kind, slips in readings(name, lexicon):
+                    if len(text) > longest:
+                        continue
+                    for i, jaccard in index.probe(tokens(text), kind, EDIT_TOKENS * MOST_EDITS):
+                        ref, _, cid = rows[i]
+                        d = edits(text, ref, allowed(ref))
+                        if d <= allowed(ref) and d + slips <= MOST_EDITS and (best is None or (d + slips, -jaccard, cid) < best):
+                            best = d + slips, -jaccard, cid
+                if best:
+                    out.append((name, best[2]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], names=["name", "canon_id"])
+
+    return distinct.select("name").mapInArrow(run, "name string, canon_id bigint")
+
+
+def shuffle_join(distinct: DataFrame, refs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``probe_index`` for lists of any length: prefix tokens of both sides meet in an equi-join on (kind, token)."""
+    side = "text string, kind string, slips int, key string, most int, size int, tokens array<bigint>"
+    order = prefix_join.hash_order
+
+    def row(text, kind, slips, key, most):
+        toks = order(tokens(text))
+        return text, kind, slips, key, most, len(toks), toks[: most + 1]
+
+    def run(read):
+        def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            for b in given:
+                out = [row(*x) for v in zip(*(c.to_pylist() for c in b.columns)) for x in read(*v)]
+                cols = zip(*out) if out else [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in side.split(", ")])
+
+        return batches
+
+    left = distinct.select("name").mapInArrow(run(lambda n: [(t, k, s, n, EDIT_TOKENS * MOST_EDITS) for t, k, s in readings(n, lexicon)]), side)
+    right = refs.select("text", "kind", F.col("canon_id").cast("string")).mapInArrow(run(lambda t, k, c: [(t, k, 0, c, EDIT_TOKENS * allowed(t))]), side)
+    pairs = prefix_join.overlap_join(left, right, "kind")
+
+    def check(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in given:
+            out = []
+            for name, text, slips, ref, cid in zip(*(c.to_pylist() for c in b.columns)):
+                d = edits(text, ref, allowed(ref))
+                if d <= allowed(ref) and d + slips <= MOST_EDITS:
+                    x, y = tokens(text), tokens(ref)
+                    out.append((name, d + slips, -len(x & y) / len(x | y), int(cid)))
+            cols = zip(*out) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.float64(), pa.int64()))], names=["name", "d", "j", "canon_id"])
+
+    near = pairs.select(F.col("l.key").alias("name"), "l.text", "l.slips", F.col("r.text").alias("ref"), F.col("r.key").alias("cid"))
+    good = near.mapInArrow(check, "name string, d int, j double, canon_id bigint")
+    return good.groupBy("name").agg(F.min_by("canon_id", F.struct("d", "j", "canon_id")).alias("canon_id"))
+
+
+def map_entries(entries: DataFrame, products: DataFrame, ranked: int = prefix_join.RANKED) -> DataFrame:
     """``entries`` (with columns name and row_id) with the canon_id each name means; null names get 0."""
-    mapped = map_names(entries.where("name is not null"), products, t).where("canon_id != 0")
+    # names that mean an entry, written once: the join below looks at them for hot names as well
+    mapped = checkpoint(map_names(entries.where("name is not null"), products, ranked).where("canon_id != 0"))
     # a name may hold a large part of all rows: its rows are spread over salts
     hit = skew_join(entries, mapped, "name", "n", F.xxhash64("row_id"), how="left")
     return hit.withColumn("canon_id", F.coalesce("canon_id", F.lit(0)).cast("bigint"))

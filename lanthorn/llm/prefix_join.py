@@ -1,20 +1,23 @@
 """Set-similarity join with prefix, length and positional filters.
 
-Tokens of each set stand in one global order, rarest first. Two sets of sizes a, b with Jaccard >= t share at least
-o = ceil(t (a + b) / (1 + t)) tokens, so their prefixes of n - ceil(t n) + 1 tokens share one: only prefixes are joined.
-A pair is dropped where the sizes cannot reach t, or where the tokens behind the met positions cannot make up o. The
+Tokens of each set stand in one global order, rarest first. A pair is similar when each set lacks at most ``most`` tokens
+of the other, so it shares o = max(a, b) - most tokens of sizes a and b, which is a Jaccard similarity of
+o / (a + b - o) at least. Then the first most + 1 tokens of both share one: only these prefixes are joined. A pair is
+dropped where its sizes differ by more than ``most``, or where the tokens behind the met positions cannot make up o. The
 rest is verified exactly. Any global order is lossless; rarity only makes the join small.
+
+``Index`` keeps the prefixes of a bounded reference side in memory, ``overlap_join`` joins sides of any size.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterable
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Reference sets up to this number are counted on the driver for the token order; beyond it tokens stand in hash order.
+#: Reference sets up to this number are counted and indexed in memory (about 100 MB); beyond it tokens stand in hash order.
 RANKED = 200_000
 
 
@@ -24,46 +27,62 @@ def rarity_rank(token_sets: Iterable[Iterable[str]]) -> dict[str, int]:
     return {t: i for i, t in enumerate(sorted(count, key=lambda t: (count[t], t)))}
 
 
-def ordered(rank: dict[str, int] | None) -> Callable[[Iterable[str]], list[int]]:
-    """Token sets as numbers in the global order. Unranked tokens are the rarest: no reference set holds them."""
-
-    def number(token: str) -> int:
-        from hashlib import blake2b
-
-        return int.from_bytes(blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 2
-
-    if rank is None:
-        return lambda tokens: sorted({number(t) for t in tokens})
-    return lambda tokens: sorted({n if (n := rank.get(t)) is not None else -1 - number(t) for t in tokens})
-
-
-def prefix(tokens: Column, t: float) -> Column:
-    n = F.size(tokens)
-    return F.slice(tokens, 1, F.greatest(F.lit(0), n - F.ceil(n * F.lit(t) - F.lit(1e-9)).cast("int") + 1))
-
+def hash_order(tokens: Iterable[str]) -> list[int]:
+    """Tokens as numbers in an order that needs no counts."""
+    from hashlib import blake2b
+
+    return sorted(int.from_bytes(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1 for t in tokens)
+
+
+class Index:
+    """Inverted index over the prefixes of (tokens, group, most) reference sets."""
+
+    def __init__(self, sets: list[tuple[set[str], str, int]]):
+        self.sets = sets
+        self.rank = rarity_rank(s for s, _, _ in sets)
+        self.posts: dict[str, dict[str, list[tuple[int, int, int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for i, (s, group, most) in enumerate(sets):
+            for pos, t in enumerate(self.order(s)[: most + 1]):
+                self.posts[group][t].append((i, pos, len(s), most))
+
+    def order(self, tokens: set[str]) -> list[str]:
+        """Rarest first; tokens that no reference set holds are the rarest."""
+        rank = self.rank
+        return sorted(tokens, key=lambda t: (rank.get(t, -1), t))
+
+    def probe(self, tokens: set[str], group: str, most: int) -> Iterator[tuple[int, float]]:
+        """(reference, Jaccard) of all similar reference sets of the group, each once; ``most`` bounds theirs."""
+        posts = self.posts.get(group)
+        if not posts:
+            return
+        n, seen = len(tokens), set()
+        for pos, t in enumerate(self.order(tokens)[: most + 1]):
+            for i, at, m, lacks in posts.get(t, ()):
+                # too different a size, or the prefix of this pair ends before
+                if abs(n - m) > lacks or pos > lacks or i in seen:
+                    continue
+                # at the first common token of the prefixes nothing before is shared
+                seen.add(i)
+                need = max(n, m) - lacks
+                if min(n - pos, m - at) >= need:
+                    shared = len(tokens & self.sets[i][0])
+                    if shared >= need:
+                        yield i, shared / (n + m - shared)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Candidate pairs (l, r) of rows of both sides, each once; the exact check is the caller's.
+
+    Rows have ``on``, ``tokens`` (the first most + 1 in the global order, as numbers), ``size``, ``most`` and whatever
+    tells them apart; ``most`` of the right side counts for the pair.
+    """
 
-def jaccard_join(left: DataFrame, right: DataFrame, t: float, on: tuple[str, ...] = (), within: tuple[str, int] | None = None) -> DataFrame:
-    """Pairs (left_id, right_id, jaccard) of rows (left_id, tokens, *on) and (right_id, tokens, *on) with Jaccard >= t.
+    def prefixes(df: DataFrame, s: str) -> DataFrame:
+        row = F.struct(*[c for c in df.columns if c not in ("tokens", on)]).alias(s)
+        return df.select(row, on, F.posexplode("tokens").alias(f"{s}_pos", "token"))
 
-    ``tokens`` are distinct and in the global order; ``on`` are further columns that must be equal. ``within`` names a
-    number of both sides that may differ by so much at most, for callers whose own check needs that anyway.
-    """
-    extra = [within[0]] if within else []
-    # a set that no set of the other side can reach by size would carry its tokens along for nothing
-    ends = right.agg(F.min(F.size("tokens")).alias("_lo"), F.max(F.size("tokens")).alias("_hi"))
-    n = F.size("tokens")
-    left = left.join(F.broadcast(ends)).where((n >= F.col("_lo") * F.lit(t) - 1e-9) & (n * F.lit(t) - 1e-9 <= F.col("_hi")))
-    lp = left.select("left_id", *on, *[F.col(c).alias("lx") for c in extra], F.col("tokens").alias("lt"), F.posexplode(prefix(F.col("tokens"), t)).alias("lpos", "token"))
-    rp = right.select("right_id", *on, *[F.col(c).alias("rx") for c in extra], F.col("tokens").alias("rt"), F.posexplode(prefix(F.col("tokens"), t)).alias("rpos", "token"))
-    a, b = F.size("lt"), F.size("rt")
-    need = F.ceil((a + b) * F.lit(t / (1 + t)) - F.lit(1e-9))
-    met = lp.join(rp, [*on, "token"])
-    if within:
-        met = met.where(F.abs(F.col("lx") - F.col("rx")) <= within[1])
-    met = met.where((a >= b * F.lit(t) - 1e-9) & (b >= a * F.lit(t) - 1e-9))
-    # at the first common token of the prefixes nothing before is shared: verify there, once per pair
-    met = met.where(F.least(a - F.col("lpos"), b - F.col("rpos")) >= need)
-    first = F.size(F.array_intersect(F.slice("lt", 1, F.col("lpos")), F.slice("rt", 1, F.col("rpos")))) == 0
-    shared = F.size(F.array_intersect("lt", "rt"))
-    met = met.where(first).withColumn("jaccard", shared / (a + b - shared))
-    return met.where(F.col("jaccard") >= t - 1e-9).select("left_id", "right_id", "jaccard")
+    met = prefixes(left, "l").join(prefixes(right, "r"), [on, "token"])
+    most, need = F.col("r.most"), F.greatest("l.size", "r.size") - F.col("r.most")
+    met = met.where((F.col("l_pos") <= most) & (F.abs(F.col("l.size") - F.col("r.size")) <= most))
+    met = met.where(F.least(F.col("l.size") - F.col("l_pos"), F.col("r.size") - F.col("r_pos")) >= need)
+    return met.select("l", "r").distinct()
