@@ -3,15 +3,18 @@
 Both sides become evidence records: product words, kind, maker, addresses and icon hashes, taken from free-entered
 fields. Candidate pairs share a blocking key (a word, a word with one or two letters left out, an address, a rare icon hash). Matching
 functions vote on each candidate: agree, disagree or abstain. A generative model of the votes is fitted without labels by
-expectation maximisation: each function has its rates of votes among matches and among others; pairs of functions whose
-votes stay dependent given the class are modelled jointly, so that correlated functions do not count twice. The
-posterior of a match is the confidence.
+expectation maximisation: each function has its rates of votes among matches and among others; functions whose votes
+stay dependent given the class are modelled jointly, so that correlated functions do not count twice. The posterior of a
+match is the confidence, and it alone decides: no rule stands behind it.
 
 Scale: votes have few values, so only the counts of vote patterns (at most 3^7) reach the driver and the fitted
 posteriors go back as a table of that size; candidates themselves never leave the executors. Rows that agree in all
 evidence are one class, matched once and expanded at the end. A blocking key held by many classes is joined in blocks
 of bounded size, all of them: its pairs are as many as the classes of both sides give.
 
+Kind words and their spellings come from a ``canonical.Lexicon``. A word that stands with many different makers is a
+second name (suite, core and the like) and no product word; these are counted, not listed.
+
 Defined results: nulls and empty texts are no evidence. A record without any blocking key has no candidates. Rows
 entered several times are all linked.
 """
@@ -21,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,18 +32,20 @@ from pyspark.sql import functions as F
 
 from lanthorn.llm import canonical
 from lanthorn.operators.skew import skew_join
+from lanthorn.session import checkpoint
 
-#: Second names that makers give to any product: no product word.
-GENERIC = ("webui", "core", "hub", "suite", "os", "one", "pro", "plus", "platform", "system", "project")
-SPELLINGS = frozenset(x for k, others in canonical.KINDS.items() for x in (k, *others))
+#: Different makers, and the share of all makers, with which a word must stand to be a second name that says nothing about
+#: the product.
+GENERIC_MAKERS, GENERIC_SHARE = 8, 0.01
 #: An icon hash seen with more than this many hosts is a stock icon.
 STOCK_HOSTS = 3
 VOTERS = ("word", "product", "maker", "address", "icon", "kind", "path")
-EVIDENCE = (
-    "word string, kind string, product string, maker string, addresses array<string>, paths array<string>, icons array<bigint>, keys array<string>"
-)
-#: Functions that read the same fields; they are modelled jointly when their votes prove dependent.
-RELATED = (("word", "product"), ("product", "path"), ("word", "path"), ("address", "path"), ("maker", "address"))
+EVIDENCE = "word string, kind string, product string, maker string, addresses array<string>, paths array<string>, icons array<bigint>"
+#: Share of matches in which a function votes against, where that is known beforehand: makers are folded, so two
+#: spellings of one maker hardly differ, while namesakes of other makers agree in everything else.
+KNOWN_ERRORS = {"maker": 1e-4}
+#: Rows of a table that are broadcast; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def icon(text: str | None) -> int | None:
@@ -65,19 +71,18 @@ def address(url: str | None) -> tuple[str, str] | None:
     return host, "" if "." in step else step
 
 
-def split_name(name: str | None) -> tuple[str, str]:
-    """(text without the kind word, kind) of a free-entered product name."""
+def split_name(name: str | None, lexicon: canonical.Lexicon) -> tuple[str, str]:
+    """(text without the kind word, kind) of a free-entered product name: the longest kind word, behind before in front."""
     s = canonical.fold(name)
-    best = (s, "")
-    for t in canonical.plain_forms(s) if s else ():
-        for kind, others in canonical.KINDS.items():
-            for k in (kind, *others):
-                if len(t) > len(k) + 2:
-                    if t.endswith(k) and (best[1] == "" or len(t) - len(k) < len(best[0])):
-                        best = (t.removesuffix(k), kind)
-                    elif t.startswith(k) and k == kind and best[1] == "":
-                        best = (t.removeprefix(k), kind)
-    return best
+    front = behind = (s, "")
+    for t in canonical.plain_forms(s, lexicon) if s else ():
+        for n in lexicon.lengths:
+            if len(t) > n + 2:
+                if (k := lexicon.spellings.get(t[-n:])) and (not behind[1] or len(t) - n < len(behind[0])):
+                    behind = t[:-n], k
+                if (k := lexicon.spellings.get(t[:n])) == t[:n] and not front[1]:
+                    front = t[n:], k
+    return behind if behind[1] else front
 
 
 def deletions(word: str) -> list[str]:
@@ -88,21 +93,18 @@ def deletions(word: str) -> list[str]:
     return list(out)
 
 
-def evidence(name: str | None, maker: str | None, product: str | None, urls: list[str | None], icons: list[int]) -> tuple:
+def evidence(name: str | None, maker: str | None, product: str | None, urls: list[str | None], icons: list[int], lexicon: canonical.Lexicon) -> tuple:
     """An EVIDENCE row."""
     maker = canonical.fold(re.sub(r"_project$", "", (maker or "").strip().lower()))
-    word, kind = split_name(name)
-    prod, pkind = split_name(product)
+    word, kind = split_name(name, lexicon)
+    prod, pkind = split_name(product, lexicon)
     kind = kind or pkind
     if maker and word.startswith(maker) and len(word) > len(maker):
         word = word.removeprefix(maker)
     elif maker and word == maker:
         word = ""
-    for g in GENERIC:
-        if word == g or (word.endswith(g) and (not maker or word.removesuffix(g) == maker)):
-            word = ""
     pieces = [x for x in (canonical.fold(p) for p in re.split(r"[\W_]+", name or "")) if x]
-    if not maker and len(pieces) == 3 and pieces[2] in SPELLINGS and len(pieces[0]) >= 4 and len(pieces[1]) >= 5:
+    if not maker and len(pieces) == 3 and pieces[2] in lexicon.spellings and len(pieces[0]) >= 4 and len(pieces[1]) >= 5:
         maker, word = pieces[0], pieces[1]  # maker, word and kind stand apart
     spots = [a for u in urls if (a := address(u))]
     full, paths = [], []
@@ -116,22 +118,26 @@ def evidence(name: str | None, maker: str | None, product: str | None, urls: lis
         elif not step:
             full.append(root)
             paths.append(label)
-    full, paths = sorted(set(full)), sorted({p for p in paths if p})
-    words = {w for w in (word, prod) if w}
+    return word, kind, prod, maker, sorted(set(full)), sorted({p for p in paths if p}), sorted(set(icons))
+
+
+def blocking_keys(word: str, product: str, addresses: list[str], paths: list[str], icons: list[int]) -> set[str]:
+    words = {w for w in (word, product) if w}
     keys = {f"d:{d}" for w in words for d in deletions(w)} | {f"w:{w}" for w in words | set(paths)}
-    keys |= {f"a:{a}" for a in full} | {f"i:{i}" for i in icons}
-    return word, kind, prod, maker, full, paths, sorted(set(icons)), sorted(keys)
+    return keys | {f"a:{a}" for a in addresses} | {f"i:{i}" for i in icons}
 
 
-def with_evidence(df: DataFrame, parse) -> DataFrame:
+def with_evidence(df: DataFrame, parse, lexicon: canonical.Lexicon) -> DataFrame:
     """(id, EVIDENCE) of a table whose first column is the id; ``parse`` turns the other columns into a row."""
+    given = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, texts = pa.string(), pa.list_(pa.string())
-        kinds = (text, text, text, text, texts, texts, pa.list_(pa.int64()), texts)
+        kinds = (text, text, text, text, texts, texts, pa.list_(pa.int64()))
         names = [c.split()[0] for c in EVIDENCE.split(", ")]
+        words = given.value
         for b in batches:
-            rows = [parse(*v) for v in zip(*(c.to_pylist() for c in b.columns[1:]))]
+            rows = [parse(*v, words) for v in zip(*(c.to_pylist() for c in b.columns[1:]))]
             cols = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]], names=["id", *names])
 
@@ -139,38 +145,71 @@ def with_evidence(df: DataFrame, parse) -> DataFrame:
     return df.withColumnRenamed(first, "id").withColumn("id", F.col("id").cast("bigint")).mapInArrow(run, "id bigint, " + EVIDENCE)
 
 
-def native_evidence(name, maker, product, links, icons) -> tuple:
-    return evidence(name, maker, product, list(links or ()), [i for x in icons or () if (i := icon(x)) is not None])
+def without_generic(left: DataFrame, right: DataFrame, makers: int = GENERIC_MAKERS) -> tuple[DataFrame, DataFrame]:
+    """Both evidence tables without words that say nothing about the product.
+
+    A word with many makers, over both sides, is generic, and so is a maker's name with such a word behind it where the
+    row names no maker.
+    """
+    pairs = left.select("word", "maker").unionByName(right.select("word", "maker")).where("word != '' and maker != ''").distinct()
+    most = max(makers, GENERIC_SHARE * pairs.agg(F.count_distinct("maker")).first()[0])
+    generic = checkpoint(pairs.groupBy("word").agg(F.count("*").alias("makers")).where(F.col("makers") >= most).select("word"))
+    if not generic.head(1):
+        return left, right
+    few = F.broadcast if generic.count() <= BROADCAST_ROWS else (lambda d: d)
+    joined = pairs.select("maker").distinct().join(few(generic.withColumnRenamed("word", "second")))  # makers times few words
+    bare = generic.select("word", F.lit("").alias("of")).unionByName(joined.select(F.concat("maker", "second").alias("word"), F.lit("none").alias("of")))
+    bare = bare.groupBy("word").agg(F.min("of").alias("of"))
+
+    def clean(d: DataFrame) -> DataFrame:
+        met = d.join(bare, "word", "left")
+        drop = (F.col("of") == "") | ((F.col("of") == "none") & (F.col("maker") == ""))
+        return met.withColumn("word", F.when(drop, "").otherwise(F.col("word"))).select(*d.columns)
+
+    return clean(left), clean(right)
 
 
-def app_evidence(app, cpe, website, icons) -> tuple:
+def native_evidence(name, maker, product, links, icons, lexicon) -> tuple:
+    return evidence(name, maker, product, list(links or ()), [i for x in icons or () if (i := icon(x)) is not None], lexicon)
+
+
+def app_evidence(app, cpe, website, icons, lexicon) -> tuple:
     """Evidence of an application row: its maker and product stand in the cpe, in either notation."""
     parts = [p.replace("\\", "") for p in re.split(r"(?<!\\):", (cpe or "").strip().lower())]
     at = 3 if parts[:2] == ["cpe", "2.3"] else 2
     maker, product = (parts + [""] * 6)[at : at + 2]
-    return evidence(app, maker.strip("*-"), product.strip("*-"), [website], list(icons or ()))
+    return evidence(app, maker.strip("*-"), product.strip("*-"), [website], list(icons or ()), lexicon)
 
 
-def app_icons(apps: DataFrame, favicons: DataFrame) -> DataFrame:
-    """(app_id, icons): hashes seen at the address of an application's website, stock icons left out."""
+def spots(df: DataFrame, key: str, url: str) -> DataFrame:
+    """(key, host, step) of the rows whose url can be read; an icon hash as key becomes its number."""
+    kind = "bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                k = icon(k) if isinstance(k, str) else k
+                if k is not None and (a := address(u)):
+                    out.append((k, *a))
+            cols = zip(*out) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))], names=[key, "host", "step"])
+
+    return df.select(key, url).mapInArrow(run, f"{key} {kind}, host string, step string")
 
-    @F.udf("struct<host:string,step:string>")
-    def spot(url):
-        return address(url)
 
-    number = F.udf(icon, "bigint")
-    seen = favicons.select(spot("url").alias("a"), number("mmh3").alias("icon")).where("a is not null and icon is not null")
-    seen = seen.select("a.host", "a.step", "icon").distinct()
+def app_icons(apps: DataFrame, favicons: DataFrame) -> DataFrame:
+    """(app_id, icons): hashes seen at the address of an application's website, stock icons left out."""
+    seen = spots(favicons.withColumnRenamed("mmh3", "icon"), "icon", "url").distinct()
     hosts = seen.groupBy("icon").agg(F.count_distinct("host").alias("hosts")).where(F.col("hosts") <= STOCK_HOSTS)
     seen = seen.join(hosts.select("icon"), "icon")
-    at = apps.select("app_id", spot("website").alias("a")).where("a is not null").select("app_id", "a.host", "a.step")
-    return at.join(seen, ["host", "step"]).groupBy("app_id").agg(F.collect_set("icon").alias("icons"))
+    return spots(apps, "app_id", "website").join(seen, ["host", "step"]).groupBy("app_id").agg(F.collect_set("icon").alias("icons"))
 
 
 def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rep, EVIDENCE, n) of the records that agree in all evidence, and (id, rep) of all records."""
     cols = [c for c in records.columns if c != "id"]
-    h = records.withColumn("h", F.md5(F.to_json(F.struct(*cols))))
+    h = checkpoint(records.withColumn("h", F.unhex(F.md5(F.to_json(F.struct(*cols))))))
     reps = h.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in cols])
     member = skew_join(h.select("id", "h"), reps.select("h", "rep", F.col("n").alias("_w")), "h", "_w", F.col("id"))
     return reps.drop("h"), member.select("id", "rep")
@@ -181,20 +220,35 @@ def candidates(left: DataFrame, right: DataFrame, max_block: int = 1000) -> Data
 
     Deletion variants meet whole words and each other. A key with more than ``max_block`` squared pairs is joined in
     blocks: each side is cut into parts of about ``max_block`` classes and every part meets all parts of the other side,
-    so the work of a key spreads over tasks and the pairs do not depend on ``max_block``.
+    so the work of a key spreads over tasks and the pairs do not depend on ``max_block``. Keys travel as 64-bit hashes;
+    the votes see to pairs that only share a hash.
     """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            idx, keys = [], []
+            for i, v in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]))):
+                own = blocking_keys(*v)
+                keys += own
+                idx += [i] * len(own)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(idx, pa.int32())), pa.array(keys, pa.string())], names=["rep", "key"])
+
     def keyed(df, rep):
-        return df.select(F.col("rep").alias(rep), F.explode("keys").alias("key"))
+        out = df.select("rep", "word", "product", "addresses", "paths", "icons").mapInArrow(run, "rep bigint, key string")
+        return out.select(F.col("rep").alias(rep), F.xxhash64("key").alias("key"))
 
     lk, rk = keyed(left, "left_rep"), keyed(right, "right_rep")
-    count = lambda d, c: d.groupBy("key").agg(F.count("*").alias(c))
-    size = count(lk, "l").join(count(rk, "r"), "key")
+    sides = lk.select("key", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(rk.select("key", F.lit(0).alias("l"), F.lit(1).alias("r")))
     parts = lambda c: F.ceil(F.col(c) / F.lit(max_block)).cast("int")
-    hot = size.where(F.col("l") * F.col("r") > max_block * max_block).select("key", parts("l").alias("l_parts"), parts("r").alias("r_parts"))
+    hot = sides.groupBy("key").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).where(F.col("l") * F.col("r") > max_block * max_block)
+    hot = checkpoint(hot.select("key", parts("l").alias("l_parts"), parts("r").alias("r_parts")))
+    n_hot = hot.count()
+    few = F.broadcast if n_hot <= BROADCAST_ROWS else (lambda d: d)
 
     def spread(df, rep, own, other):
-        d = df.join(hot, "key", "left")
+        if not n_hot:
+            return df.select(rep, "key", F.lit(0).alias("l_part"), F.lit(0).alias("r_part"))
+        d = df.join(few(hot), "key", "left")
         mine = F.coalesce(F.pmod(F.xxhash64(rep), F.col(f"{own}_parts")), F.lit(0)).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"{other}_parts"), F.lit(1)) - 1))
         return d.select(rep, "key", mine.alias(f"{own}_part"), every.alias(f"{other}_part"))
@@ -248,27 +302,30 @@ def vote_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame
 
 
 class LabelModel:
-    """Two-class generative model of vote patterns with joint tables for dependent pairs of functions."""
+    """Two-class generative model of vote patterns with joint tables for dependent functions.
 
-    def __init__(self, rounds: int = 100, smooth: float = 0.5, dependent: float = 0.05):
-        self.rounds, self.smooth, self.dependent = rounds, smooth, dependent
+    Blocks of at most ``most`` functions are learned: of all pairs, those whose votes share most information given the
+    class come together first. ``known`` fixes the share of matches in which a function votes against.
+    """
+
+    def __init__(self, rounds: int = 100, smooth: float = 0.5, dependent: float = 0.02, most: int = 3, known: dict[str, float] | None = None):
+        self.rounds, self.smooth, self.dependent, self.most = rounds, smooth, dependent, most
+        self.known = {VOTERS.index(k): v for k, v in (KNOWN_ERRORS if known is None else known).items()}
 
     def fit(self, patterns: dict[tuple[int, ...], int]) -> LabelModel:
         """EM from the start that agreement speaks for and disagreement against a match."""
         self.blocks = [(i,) for i in range(len(VOTERS))]
-        score = lambda v: 1 / (1 + math.exp(-(1.6 * sum(v) - 1.2)))
-        self._em(patterns, {v: score(v) for v in patterns})
-        pairs = [tuple(VOTERS.index(x) for x in p) for p in RELATED]
-        strength = sorted(((self._information(patterns, p), p) for p in pairs), reverse=True)
-        used: set[int] = set()
-        for s, p in strength:  # disjoint pairs, strongest first
-            if s > self.dependent and not used & set(p):
-                used |= set(p)
-                self.blocks = [b for b in self.blocks if b[0] not in p] + [p]
-        self._em(patterns, {v: self.posterior(v, first=True) for v in patterns})
+        start = {v: 1 / (1 + math.exp(-(1.6 * sum(v) - 1.2))) for v in patterns}
+        post = self._em(patterns, start)
+        self.information = {p: self._information(patterns, post, p) for p in combinations(range(len(VOTERS)), 2)}
+        for (i, j), strength in sorted(self.information.items(), key=lambda x: (-x[1], x[0])):
+            a, b = (next(k for k in self.blocks if x in k) for x in (i, j))
+            if strength > self.dependent and a != b and len(a) + len(b) <= self.most:
+                self.blocks = [k for k in self.blocks if k not in (a, b)] + [tuple(sorted(a + b))]
+        self.post = self._em(patterns, post)
         return self
 
-    def _em(self, patterns, post) -> None:
+    def _em(self, patterns, post) -> dict[tuple[int, ...], float]:
         for _ in range(self.rounds):
             total = [self.smooth, self.smooth]
             tables = [[{}, {}] for _ in self.blocks]
@@ -277,27 +334,38 @@ class LabelModel:
                     total[c] += w
                     for t, b in zip(tables, self.blocks):
                         k = tuple(v[i] for i in b)
-                        t[c][k] = t[c].get(k, self.smooth) + w
-            self.total, self.tables = total, tables
+                        t[c][k] = t[c].get(k, 0.0) + w
+            self.total = total
+            self.tables = [(self._rates(b, t[0], total[0], {}), self._rates(b, t[1], total[1], self.known)) for b, t in zip(self.blocks, tables)]
             new = {v: self.posterior(v) for v in patterns}
             moved = max((abs(new[v] - post[v]) for v in patterns), default=0)
             post = new
             if moved < 1e-6:
                 break
-        self.post = post
-
-    def posterior(self, v: tuple[int, ...], first: bool = False) -> float:
-        if first:
-            return self.post[v]
+        return post
+
+    def _rates(self, block, counts, total, known) -> dict[tuple[int, ...], float]:
+        """Smoothed shares of a block's votes; where a function's share of votes against is known, the cells keep to it."""
+        cells = [()]
+        for _ in block:
+            cells = [(*c, x) for c in cells for x in (-1, 0, 1)]
+        rates = {c: (counts.get(c, 0.0) + self.smooth) / (total + len(cells) * self.smooth) for c in cells}
+        for at, i in enumerate(block):
+            if i in known:
+                against = sum(r for c, r in rates.items() if c[at] == -1)
+                scale = known[i] / against, (1 - known[i]) / (1 - against)
+                rates = {c: r * scale[c[at] != -1] for c, r in rates.items()}
+        return rates
+
+    def posterior(self, v: tuple[int, ...]) -> float:
         odds = math.log(self.total[1] / self.total[0])
-        for t, b in zip(self.tables, self.blocks):
+        for (no, yes), b in zip(self.tables, self.blocks):
             k = tuple(v[i] for i in b)
-            cells = 3 ** len(b) * self.smooth
-            p = [t[c].get(k, self.smooth) / (self.total[c] + cells) for c in (0, 1)]
-            odds += math.log(p[1] / p[0])
+            odds += math.log(yes[k] / no[k])
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
 
-    def _information(self, patterns, pair) -> float:
+    @staticmethod
+    def _information(patterns, post, pair) -> float:
         """Mutual information of two functions' votes given the class."""
         i, j = pair
         out = 0.0
@@ -305,7 +373,7 @@ class LabelModel:
         for c in (0, 1):
             joint, a, b, n = {}, {}, {}, 0.0
             for v, k in patterns.items():
-                w = k * (self.post[v] if c else 1 - self.post[v])
+                w = k * (post[v] if c else 1 - post[v])
                 n += w
                 joint[v[i], v[j]] = joint.get((v[i], v[j]), 0) + w
                 a[v[i]], b[v[j]] = a.get(v[i], 0) + w, b.get(v[j], 0) + w
@@ -314,27 +382,9 @@ class LabelModel:
         return out
 
 
-def contradicts(v: tuple[int, ...]) -> bool:
-    """The exact check behind the model: a pair is no match where its makers differ, or its words and products do."""
-    by = dict(zip(VOTERS, v))
-    if by["maker"] == -1:
-        return True
-    names = [by[x] for x in ("word", "product", "path")]
-    strong = by["address"] == 1 or by["icon"] == 1
-    if by["product"] == -1 and by["word"] != 1 and not strong:
-        return True
-    if all(x != 1 for x in names) and not strong:
-        return True
-    if by["path"] != 1 and by["maker"] != 1 and not strong:  # no more than a word with a slip
-        return True
-    # a like-named product: nothing beyond the name agrees
-    return by["kind"] == -1 and by["address"] != 1 and by["icon"] != 1 and by["product"] != 1
-
-
 def link(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(left_id, right_id, confidence, votes) of the matching rows of two evidence tables (id, EVIDENCE)."""
-    from lanthorn.session import checkpoint
-
+    left, right = without_generic(left, right)
     lreps, lmembers = classes(left)
     rreps, rmembers = classes(right)
     lreps, rreps = checkpoint(lreps), checkpoint(rreps)
@@ -343,8 +393,8 @@ def link(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame
     patterns = {tuple(r.votes): r["count"] for r in counts}
     spark = left.sparkSession
     model = LabelModel().fit(patterns) if patterns else None
-    scored = [(list(v), float(model.posterior(v))) for v in patterns if not contradicts(v)] if model else []
-    table = spark.createDataFrame(scored, "votes array<int>, confidence double").where(F.col("confidence") >= threshold)
+    scored = [(list(v), float(p)) for v in patterns if (p := model.posterior(v)) >= threshold]
+    table = spark.createDataFrame(scored, "votes array<int>, confidence double")
     hit = voted.join(F.broadcast(table), "votes")
     out = hit.join(lmembers.select(F.col("id").alias("left_id"), F.col("rep").alias("left_rep")), "left_rep")
     out = out.join(rmembers.select(F.col("id").alias("right_id"), F.col("rep").alias("right_rep")), "right_rep")

@@ -118,22 +118,26 @@ def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 5: matching entities across sources without keys -----------------------------------------------------------------
 
 
-def native_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def native_records(spark: SparkSession, sf_dir: str, lexicon: canonical.Lexicon) -> DataFrame:
     finger = table(spark, sf_dir, "native_finger")
     rules = F.filter(F.coalesce("rule", F.array()), lambda r: r.isNotNull())
     some = lambda x: F.coalesce(x, F.array().cast("array<string>"))
     icons = F.flatten(F.transform(rules, lambda r: some(r["favicon"]["mmh3"])))
-    return linkage.with_evidence(finger.select("finger_id", "name", "vendor", "product", "link", icons.alias("icons")), linkage.native_evidence)
+    return linkage.with_evidence(finger.select("finger_id", "name", "vendor", "product", "link", icons.alias("icons")), linkage.native_evidence, lexicon)
 
 
-def app_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def app_records(spark: SparkSession, sf_dir: str, lexicon: canonical.Lexicon) -> DataFrame:
     apps = table(spark, sf_dir, "wapp_app").select("app_id", "app", "cpe", "website")
     icons = linkage.app_icons(apps, table(spark, sf_dir, "favicon"))
-    return linkage.with_evidence(apps.join(icons, "app_id", "left"), linkage.app_evidence)
+    return linkage.with_evidence(apps.join(icons, "app_id", "left"), linkage.app_evidence, lexicon)
 
 
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.link(native_records(spark, sf_dir), app_records(spark, sf_dir))
+    # kind words and their spellings as the product list and the names on both sides show them
+    names = table(spark, sf_dir, "native_finger").select("name").unionByName(table(spark, sf_dir, "wapp_app").select(F.col("app").alias("name")))
+    lexicon = canonical.lexicon_of(names.where("name is not null").distinct(), table(spark, sf_dir, "product_list"))
+    left, right = (checkpoint(f(spark, sf_dir, lexicon)) for f in (native_records, app_records))
+    return linkage.link(left, right)
 
 
 @query
