@@ -29,20 +29,21 @@ def catalogue_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return native.unionByName(alias).unionByName(ehole)
 
 
+CATALOGS = ["native_finger", "alias_entry", "ehole"]
+
+
 @query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = catalogue_keys(spark, sf_dir)
-    found = format_dupes.members(keys, format_dupes.count_copies(keys))
-    return found.where("record_id != first_id").select("catalog", "first_id", "record_id").distinct()
+    parts = format_dupes.partials(catalogue_keys(spark, sf_dir))
+    found = format_dupes.members(parts, format_dupes.count_copies(parts))
+    return found.where("record_id != first_id").select(format_dupes.catalog_of(F.col("key"), CATALOGS).alias("catalog"), "first_id", "record_id").distinct()
 
 
 @query
 def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per record with its number of copies."""
-    groups = format_dupes.count_copies(catalogue_keys(spark, sf_dir))
-    names = [(c, format_dupes.tag(c)) for c in ("native_finger", "alias_entry", "ehole")]
-    catalog = F.coalesce(*[F.when(F.substring("key", 1, 2) == F.lit(t), F.lit(c)) for c, t in names])
-    return groups.select(catalog.alias("catalog"), "first_id", "copies")
+    groups = format_dupes.count_copies(format_dupes.partials(catalogue_keys(spark, sf_dir)))
+    return groups.select(format_dupes.catalog_of(F.col("key"), CATALOGS).alias("catalog"), "first_id", "copies")
 
 
 # --- 7: all similar pairs of set-valued records -----------------------------------------------------------------------

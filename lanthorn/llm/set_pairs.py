@@ -21,6 +21,7 @@ grows with the logarithm of the size.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: A token is common in more than COMMON x sqrt(classes) classes; at most (mean size x sqrt(classes) / COMMON) tokens are.
 COMMON = 0.25
+#: The table of common tokens, which is broadcast, has at most so many rows: with fewer, only the work differs.
+COMMON_ROWS = 500_000
 MASK = (1 << 64) - 1
 GROWTH = 1.2
 
@@ -84,7 +87,7 @@ class Scheme:
     def __init__(self, t: float, least: int, largest: int):
         self.t = t
         self.bands = bands(least, largest)
-        self.where = {size: k for k, (lo, hi) in enumerate(self.bands) for size in range(lo, hi + 1)}
+        self.starts = [lo for lo, _ in self.bands]
         self.probe: dict[int, list[tuple[int, int]]] = {}
         self.index: dict[int, list[tuple[int, int]]] = {}
         for i, a in enumerate(self.bands):
@@ -97,6 +100,10 @@ class Scheme:
                     self.probe.setdefault(i, []).append((code, h))
                     self.index.setdefault(j, []).append((code, h))
 
+    def where(self, size: int) -> int:
+        """The band of a size."""
+        return bisect_right(self.starts, size) - 1
+
     @staticmethod
     def cut(tokens: list[int], m: int) -> list[list[int]]:
         segs: list[list[int]] = [[] for _ in range(m)]
@@ -119,7 +126,7 @@ class Scheme:
     def stored(self, tokens: list[int], cost: dict[int, float]) -> Iterator[tuple[int, int]]:
         """(signature, role) of a set in the index: role 1 for whole segments, 3 for those with one token left out."""
         ends = self.ends(tokens, cost)
-        for code, h in self.index.get(self.where[len(tokens)], ()):
+        for code, h in self.index.get(self.where(len(tokens)), ()):
             for i, seg in enumerate(self.cut(tokens, h + 1)):
                 total, rare = sum(seg), sum(x not in cost for x in seg)
                 for s in self._emit(code, i, total, len(seg), rare, ends):
@@ -131,7 +138,7 @@ class Scheme:
     def probes(self, tokens: list[int], cost: dict[int, float]) -> Iterator[tuple[int, int]]:
         """(signature, role) with which a set looks in the index, by the role of what it may meet there."""
         ends = self.ends(tokens, cost)
-        for code, h in self.probe.get(self.where[len(tokens)], ()):
+        for code, h in self.probe.get(self.where(len(tokens)), ()):
             segs = self.cut(tokens, h + 1)
             for i, (seg, tol) in enumerate(zip(segs, allocate(segs, cost, h + 1))):
                 if tol < 0:
@@ -164,9 +171,10 @@ def similar_classes(members: DataFrame, t: float = 0.6, least: int = 3) -> DataF
     """(left_set, right_set, shared, total): similar pairs of different sets, each once."""
     classes = members.groupBy("set_id").agg(F.first("universe").alias("universe"), F.first("items").alias("items"))
     hashed = classes.select("set_id", F.transform("items", lambda x: F.xxhash64("universe", x)).alias("tokens"))
-    largest, n = hashed.agg(F.max(F.size("tokens")), F.count("*")).first()
+    largest, n, total = hashed.agg(F.max(F.size("tokens")), F.count("*"), F.sum(F.size("tokens"))).first()
     scheme = Scheme(t, least, largest or least)
-    common = hashed.select(F.explode("tokens").alias("h")).groupBy("h").count().where(F.col("count") > max(2, COMMON * math.sqrt(n)))
+    often = max(2, COMMON * math.sqrt(n), (total or 0) / COMMON_ROWS)
+    common = hashed.select(F.explode("tokens").alias("h")).groupBy("h").count().where(F.col("count") > often)
     cost = hashed.sparkSession.sparkContext.broadcast({r.h: float(r["count"]) for r in common.collect()})
 
     def signed(side: str, make) -> DataFrame:
