@@ -86,8 +86,13 @@ def prose_blocks(text: str | None, accents) -> list[tuple[int, str]]:
 
 
 def judge_document(text: str | None, judge: Judge, accents, margin: float = MARGIN) -> tuple[str | None, float, list[tuple[int, str, float]]]:
-    """(main language, confidence, [(block_no, language, confidence)]) of a text; (None, 0, []) without prose."""
+    """(main language, confidence, [(block_no, language, confidence)]) of a text; (None, 0, []) without prose.
+
+    A block's confidence is its margin. A document's is the margin of all of its prose: letters of blocks in its language
+    count with their margin, those of rejected blocks and of blocks in another language with 0.
+    """
     weight: dict[str, int] = defaultdict(int)
+    margins: dict[str, float] = defaultdict(float)
     found, all_sizes, chars = [], None, 0
     for no, prose in prose_blocks(text, accents):
         sizes = judge.sizes(prose)
@@ -96,6 +101,7 @@ def judge_document(text: str | None, judge: Judge, accents, margin: float = MARG
         all_sizes = sizes if all_sizes is None else [a + b for a, b in zip(all_sizes, sizes)]
         if conf >= margin:
             weight[lang] += len(prose)
+            margins[lang] += len(prose) * conf
             found.append((no, lang, conf))
     if all_sizes is None:
         return None, 0.0, []
@@ -103,7 +109,7 @@ def judge_document(text: str | None, judge: Judge, accents, margin: float = MARG
         lang, conf = judge.decide(all_sizes)
         return lang, conf, []
     main = max(weight, key=lambda k: (weight[k], k))
-    return main, weight[main] / chars, found
+    return main, margins[main] / chars, found
 
 
 def sample_prose(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:

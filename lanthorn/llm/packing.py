@@ -5,14 +5,14 @@ within the document). A container has a capacity in each; an item goes to the op
 constraint and scores best, by the smallest weighted norm of what is left or the largest weighted dot-product of demand
 and residual; if none takes it, a new one opens. Items come in order of decreasing tokens.
 
-Texts that fit are items as a whole. A text longer than the capacity has to be cut, and where it is cut is free: its last
-part fills the room that whole texts left (whole if a container takes it, else cut at the largest room), and full
-containers are cut up as well while the room left elsewhere takes all of one. Pieces of less than ``least_piece`` tokens
-are not cut off. Documents are spread by a hash over groups of bounded size which pack independently; a group leaves at
+Texts that fit are items as a whole. A text longer than the capacity has to be cut, and where it is cut is free: its
+pieces are as long as every capacity allows, and its last part fills the room that the others left (whole if a container
+takes it, else cut at the largest room). A few long pieces are held back and cut up as well while the room left
+elsewhere takes all of one. Pieces of less than ``least_piece`` tokens are not cut off. Documents are spread by a hash over groups of bounded size which pack independently; a group leaves at
 most a few containers partly empty, so their number costs little.
 
 Defined results: a row without tokens is an item of size 0 and is assigned as well; repeated ids are items of their own.
-An item whose attention cost alone is over the capacity gets a container of its own. An empty table gives no rows.
+A text of at most the capacity's tokens whose attention cost alone is over its capacity stays whole, in a container of its own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 GROUP = 8192
 #: Weights of tokens, documents and attention cost in the score.
 WEIGHTS = (1.0, 0.01, 0.01)
+#: Documents of a container, and its attention capacity as a share of its tokens squared.
+MAX_DOCS, ATTENTION = 16, 0.8
+#: Share of a group's containers for whose rooms long pieces are held back.
+HELD = 0.02
 
 
 class Containers:
@@ -86,11 +90,40 @@ class Containers:
 def pack_group(tokens: np.ndarray, capacity: np.ndarray, least_piece: int = 64, score: str = "norm", weights=WEIGHTS) -> list[tuple[int, int, int, int]]:
     """(item, start, length, container) of all pieces of one group's items, given their tokens."""
     cap = float(capacity[0])
+    most = min(cap, float(int(np.sqrt(capacity[2]))))  # tokens of a piece that every capacity allows
+    least = float(min(least_piece, most))
+    # a container full of one long text holds it in one piece, or in two where attention forbids one and allows two
+    p = float(int((cap + np.sqrt(max(0.0, 2 * capacity[2] - cap * cap))) / 2))  # p and the rest take all of the attention
+    parts = [cap] if most >= cap else [min(p, cap - least), max(cap - p, least)]
+    if len(parts) > capacity[1] or sum(x * x for x in parts) > capacity[2] or sum(parts) > cap:
+        parts = [most]
+    unit = sum(parts)
     out: list[tuple[int, int, int, int]] = []
     box = Containers(capacity, weights, score)
     order = np.argsort(-tokens, kind="stable")
     whole = [i for i in order if tokens[i] <= cap]
     smallest = float(tokens[whole[-1]]) if whole else 0.0
+    long: list[tuple[int, int]] = []  # stretches of ``unit`` tokens: (item, start)
+    rests: list[tuple[int, int, float]] = []
+    for i in order[: len(order) - len(whole)]:
+        n = int(tokens[i] // unit)
+        long += [(int(i), int(unit) * k) for k in range(n)]
+        rests.append((int(i), int(unit) * n, float(tokens[i]) - n * unit))
+
+    def fill(item: int, start: int) -> None:
+        c = -1
+        for p in parts:
+            if c < 0:
+                c = box.open(p)
+            else:
+                box._take(c, p)
+            out.append((item, start, int(p), c))
+            start += int(p)
+
+    held = min(len(long), 2 + int(HELD * tokens.sum() / cap))
+    for i, start in long[: len(long) - held]:
+        fill(i, start)
+    box.keep(smallest)
     opened_since = 0
     for i in whole:
         t = float(tokens[i])
@@ -107,36 +140,28 @@ def pack_group(tokens: np.ndarray, capacity: np.ndarray, least_piece: int = 64,
         if opened_since == 256:  # drop the closed ones from sight
             box.keep(smallest)
             opened_since = 0
-    least = float(min(least_piece, cap))
     box.keep(1.0)
-    full: list[tuple[int, int]] = []  # full pieces: (item, start)
-    for i in order:
-        n = float(tokens[i])
-        if n <= cap:
-            break
-        start = 0
-        for _ in range(int(n // cap)):
-            full.append((int(i), start))
-            start += int(cap)
-        spread(box, out, int(i), start, n - start, least)
-    # a full piece is cut up while the room elsewhere takes all of it
-    room = np.sort(box.room())[::-1] if len(box.live) else np.empty(0)
-    room = room[room >= least]
-    total = float(room.sum())
-    while full and total >= cap + least:
+    for i, start, n in rests:
+        spread(box, out, i, start, n, least)
+    # a held piece is cut up while the room elsewhere takes all of it
+    full = long[len(long) - held :]
+    room = box.room() if len(box.live) else np.empty(0)
+    total = float(room[room >= least].sum())
+    while full and total >= unit + least:
         i, start = full.pop()
-        spread(box, out, i, start, cap, least)
+        spread(box, out, i, start, unit, least)
         now = box.room()
         total = float(now[now >= least].sum())
     for i, start in full:
-        out.append((i, start, int(cap), box.open(cap)))
+        fill(i, start)
     return out
 
 
 def spread(box: Containers, out: list, item: int, start: int, rest: float, least: float) -> None:
     """Place a part of a cut item: whole into the best container, else by the largest rooms, else into a new one."""
+    most = min(box.capacity[0], float(int(np.sqrt(box.capacity[2]))))
     while rest > 0:
-        k = box.choose(rest)
+        k = box.choose(rest) if rest <= most else -1
         if k >= 0:
             put = rest
         else:
@@ -155,12 +180,12 @@ def spread(box: Containers, out: list, item: int, start: int, rest: float, least
 
 
 def pack(
-    items: DataFrame, specs: DataFrame, max_docs: int = 256, attention: float = 1.0, score: str = "norm", least_piece: int = 64, group: int = GROUP
+    items: DataFrame, specs: DataFrame, max_docs: int = MAX_DOCS, attention: float = ATTENTION, score: str = "norm", least_piece: int = 64, group: int = GROUP
 ) -> DataFrame:
     """Containers of every row of ``specs`` (pack_id, capacity_tokens) filled with ``items`` (doc_id, n_tokens).
 
     Rows: pack_id, container_id, doc_id, piece_no, start_token, n_tokens, used_tokens and unused_tokens of the container.
-    ``attention`` times capacity squared is the attention capacity.
+    ``max_docs`` bounds the texts of a container; ``attention`` times capacity squared is its attention capacity.
     """
     few = specs.select("pack_id", F.col("capacity_tokens").cast("bigint").alias("cap")).where("cap > 0").distinct()
     chosen = few.limit(1001).collect()  # a handful of rows by their nature; they become literals of the plan
@@ -199,11 +224,21 @@ def pack(
     return each.groupBy("pack_id", "cap", "grp").applyInPandas(run, schema)
 
 
-def report(packed: DataFrame, specs: DataFrame) -> DataFrame:
-    """Per pack: containers, documents, tokens, capacity and the unused share."""
-    boxes = packed.groupBy("pack_id", "container_id").agg(F.max("used_tokens").alias("used"), F.max("unused_tokens").alias("unused"))
+def report(packed: DataFrame, specs: DataFrame, max_docs: int = MAX_DOCS, attention: float = ATTENTION) -> DataFrame:
+    """Per pack: containers, documents, tokens, the unused share, and the shares of containers that a capacity closes.
+
+    A container is closed by documents when it holds ``max_docs`` of them, and by attention when what is left of that
+    capacity takes fewer tokens in one piece than are unused.
+    """
+    cost = F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens"))
+    boxes = packed.groupBy("pack_id", "container_id").agg(
+        F.max("used_tokens").alias("used"), F.max("unused_tokens").alias("unused"), F.count("*").alias("n"), cost.alias("cost")
+    )
+    cap = F.col("used") + F.col("unused")
+    room = F.sqrt(F.greatest(F.lit(0.0), F.lit(attention) * cap * cap - F.col("cost")))
+    boxes = boxes.withColumns({"by_docs": F.col("n") >= max_docs, "by_attention": (F.col("unused") > 0) & (room < F.col("unused"))})
+    share = lambda c: (F.count_if(c) / F.count("*")).alias(f"closed_{c}")
     docs = packed.groupBy("pack_id").agg(F.count_if(F.col("piece_no") == 0).alias("documents"), F.count("*").alias("pieces"))
-    sums = boxes.groupBy("pack_id").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.sum("unused").alias("unused_tokens"))
+    sums = boxes.groupBy("pack_id").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.sum("unused").alias("unused_tokens"), share("by_docs"), share("by_attention"))
     out = specs.select("pack_id", "capacity_tokens").join(sums, "pack_id", "left").join(docs, "pack_id", "left")
-    share = F.col("unused_tokens") / (F.col("unused_tokens") + F.col("tokens"))
-    return out.withColumn("unused_share", share)
+    return out.withColumn("unused_share", F.col("unused_tokens") / (F.col("unused_tokens") + F.col("tokens")))

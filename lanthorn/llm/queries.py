@@ -206,3 +206,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its language and confidence (null without prose) and its number of foreign passages."""
     return judged(spark, sf_dir).select("doc_id", F.col("main").alias("lang"), "confidence", F.size("passages").alias("passages"))
+
+
+@query
+def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (block 0) and their passages in another language, each with its language and confidence."""
+    own = F.array(F.struct(F.lit(0).alias("block_no"), F.col("main").alias("lang"), "confidence"))
+    each = judged(spark, sf_dir).where("main is not null").select("doc_id", F.explode(F.concat(own, "passages")).alias("x"))
+    return each.select("doc_id", "x.*")
