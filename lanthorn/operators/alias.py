@@ -64,11 +64,11 @@ def engine_rank(engine: Column, order: Sequence[str] = ()) -> Column:
 def merge(resolved: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """One row per (resp_id, lower(name)): scalars from the first engine that has them, engines and tags united.
 
-    Engines go in ``order``, those it does not list behind it by name. Exact duplicate rows are harmless: all
+    Engines go in ``order``, those it does not list behind it by name, rows without one last. Exact duplicate rows are harmless: all
     aggregates are order-free choices or sets.
     """
     live = resolved.where("not blocked and name is not null and resp_id is not null")
-    live = live.withColumn("rank", F.struct(engine_rank(F.col("engine"), order).alias("i"), F.col("engine").alias("e")))
+    live = live.withColumn("rank", F.struct(engine_rank(F.col("engine"), order).alias("i"), F.coalesce("engine", F.lit("~")).alias("e")))
     fill = lambda c: F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.struct("rank", c)))
     tags = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.isNotNull())))))
     return live.groupBy("resp_id", F.lower("name").alias("framework")).agg(

@@ -1,20 +1,24 @@
 """Many substring patterns over many texts.
 
-``keyword_hits`` finds every (text, pattern) pair with the pattern in the text: an automaton of the patterns runs over
-each text inside the scan, so a text is read once however many patterns there are, and only hits leave the task. It is
+``scan`` runs an automaton of all patterns over each text inside the scan and adds the list of those found, so a text is
+read once and travels once however many patterns there are. ``keyword_hits`` are its (text, pattern) pairs. It is
 lossless and adds nothing: overlapping patterns and patterns within others are all found. ``brute_hits`` is the same as a
 theta join, the semantic model of the first.
 
-The automaton is broadcast; patterns are taken in blocks of at most BLOCK_BYTES, each with its own pass, so its size is
-bounded for any catalogue.
+The patterns pass through the driver once and are broadcast in blocks of at most BLOCK_BYTES, each with its own pass, so
+the size of one automaton is bounded for any catalogue. A Python worker keeps its automaton from task to task.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+import sys
+import types
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of patterns in one automaton.
@@ -61,48 +65,105 @@ def blocks(patterns: list[str], size: int) -> list[list[str]]:
     return out if out[-1] else out[:-1]
 
 
-def keyword_hits(texts: DataFrame, patterns: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, pattern, text) with the pattern in the text; ``texts`` is (id, text), ``patterns`` has a column pattern.
+def index_of(patterns: list[str], digest: str):
+    """``build_index``, kept for the life of the worker process."""
+    kept = sys.modules.setdefault("_lanthorn_kept", types.ModuleType("_lanthorn_kept")).__dict__.setdefault("indexes", {})
+    if digest not in kept:
+        if len(kept) > 7:
+            kept.clear()
+        kept[digest] = build_index(patterns)
+    return kept[digest]
+
+
+class Block:
+    """Patterns of one automaton, as they are broadcast."""
+
+    def __init__(self, patterns: list[str]):
+        self.patterns = patterns
+        h = hashlib.blake2b(digest_size=16)
+        for p in patterns:
+            h.update(p.encode("utf-8", "surrogatepass") + b"\0")
+        self.digest = h.hexdigest()
+
+    @property
+    def find(self):
+        return index_of(self.patterns, self.digest)
 
-    Null texts and null patterns hit nothing, the empty pattern is in every text that is not null. Where ``patterns`` has
-    a boolean column ``verify``, the text comes along with the hits of patterns for which it is true, so that a dearer
-    test can follow without a join; elsewhere it is null.
+
+def scan(texts: DataFrame, patterns: list[str], text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of ``texts`` that hold a pattern, with ``found``: the patterns in column ``text``.
+
+    Null texts and the empty pattern find nothing. A row comes once for each block of patterns that it holds one of;
+    batches keep the rows they came with, so none is larger than what was read.
     """
-    spark = texts.sparkSession
-    check = F.coalesce("verify", F.lit(False)) if "verify" in patterns.columns else F.lit(False)
-    rows = patterns.where("pattern is not null").groupBy("pattern").agg(F.max(check).alias("verify")).orderBy("pattern")
-    known = {r.pattern: r.verify for r in rows.toLocalIterator()}
-    kind = dict(texts.dtypes)["id"]
     out = None
+    fields = texts.schema.fields
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", found array<string>"
+    at = texts.columns.index(text)
 
-    def part(index: list[str]) -> DataFrame:
-        given = spark.sparkContext.broadcast((index, {p for p in index if known[p]}))
+    def part(block: Block) -> DataFrame:
+        given = texts.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find, keep = build_index(given.value[0]), given.value[1]
+            find = given.value.find
             for b in batches:
-                idx, hit, kept = [], [], []
-                for i, text in enumerate(b.column(1).to_pylist()):
-                    if text:
-                        for p in find(text):
-                            idx.append(i)
-                            hit.append(p)
-                            kept.append(text if p in keep else None)
-                ids = b.column(0).take(pa.array(idx, pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(hit, pa.string()), pa.array(kept, pa.string())], names=["id", "pattern", "text"])
-
-        return texts.select("id", "text").mapInArrow(run, f"id {kind}, pattern string, text string")
-
-    for block in blocks([p for p in known if p], block_bytes):
-        out = part(block) if out is None else out.unionByName(part(block))
-    if out is None:
-        out = texts.select("id", F.lit("").alias("pattern"), "text").where(F.lit(False))
+                found = [sorted(find(t)) if t else [] for t in b.column(at).to_pylist()]
+                keep = [i for i, x in enumerate(found) if x]
+                if keep:
+                    rows = b.take(pa.array(keep, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([found[i] for i in keep], pa.list_(pa.string()))], names=[*b.schema.names, "found"])
+
+        return texts.mapInArrow(run, schema)
+
+    for block in blocks(sorted({p for p in patterns if p}), block_bytes):
+        out = part(Block(block)) if out is None else out.unionByName(part(Block(block)))
+    return out if out is not None else texts.withColumn("found", F.array().cast("array<string>")).where(F.lit(False))
+
+
+def keyword_hits(texts: DataFrame, patterns: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, pattern) with the pattern in the text; ``texts`` is (id, text), ``patterns`` has a column pattern.
+
+    Null texts and null patterns hit nothing, the empty pattern is in every text that is not null.
+    """
+    known = [r.pattern for r in patterns.where("pattern is not null").select("pattern").distinct().toLocalIterator()]
+    out = scan(texts.select("id", "text"), known, block_bytes=block_bytes).select("id", F.explode("found").alias("pattern"))
     if "" in known:
-        text = F.col("text") if known[""] else F.lit(None).cast("string")
-        out = out.unionByName(texts.where("text is not null").select("id", F.lit("").alias("pattern"), text.alias("text")))
+        out = out.unionByName(texts.where("text is not null").select("id", F.lit("").alias("pattern")))
     return out
 
 
+def compiles(pattern: Column) -> Column:
+    """Whether the engine that runs regular expressions here takes the pattern; false for null."""
+    return F.call_function("try_reflect", F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
+
+
+def with_literals(patterns: DataFrame) -> DataFrame:
+    """(pattern, literal, ok) of distinct patterns: whether they compile, and a literal that every match holds or null."""
+
+    @F.pandas_udf("string")
+    def literal(s):
+        import pandas as pd
+
+        return pd.Series([required_literal(x) for x in s], dtype=object)
+
+    d = patterns.select("pattern").where("pattern is not null").distinct()
+    return d.select("pattern", literal("pattern").alias("literal"), compiles(F.col("pattern")).alias("ok"))
+
+
+def bare_hits(texts: DataFrame, patterns: list[str], text: str = "text", flags: str = "") -> DataFrame:
+    """Rows of ``texts`` with each of the ``pattern``s that match; for regular expressions without a literal.
+
+    All of them as one alternation sort out texts that none matches; the others are tried one by one. Expressions that
+    count groups cannot stand in an alternation and let every text pass.
+    """
+    if not patterns:
+        return texts.withColumn("pattern", F.lit("")).where(F.lit(False))
+    if not any(re.search(r"\\[1-9k]|\(\?[<P]", p) for p in patterns):
+        texts = texts.where(F.regexp_like(F.col(text), F.lit(flags + "|".join(f"(?:{p})" for p in sorted(patterns)))))
+    each = texts.withColumn("pattern", F.explode(F.array(*[F.lit(p) for p in sorted(patterns)])))
+    return each.where(F.regexp_like(F.col(text), F.concat(F.lit(flags), "pattern")))
+
+
 def brute_hits(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """The same pairs by a nested-loop join, for checks of the index on small tables."""
     p = patterns.select("pattern").where("pattern is not null").distinct()
@@ -112,9 +173,9 @@ def brute_hits(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 def required_literal(pattern: str) -> str | None:
     """A literal (lower case ASCII, 3 characters or more) that every match of a regular expression holds, or None.
 
-    The pattern's own syntax tree is read; alternatives, optional parts and classes contribute nothing.
+    The pattern's own syntax tree is read; alternatives, optional parts and classes contribute nothing. Line breaks end
+    a literal, so that it lies in the header or in the body of a message.
     """
-    import re
     import warnings
 
     try:
@@ -133,7 +194,7 @@ def required_literal(pattern: str) -> str | None:
     def walk(nodes) -> None:
         nonlocal best, run
         for op, arg in nodes:
-            if op is c.LITERAL:
+            if op is c.LITERAL and arg not in (10, 13):
                 run += chr(arg)
                 continue
             if op is c.SUBPATTERN and not arg[1] and not arg[2]:

@@ -7,11 +7,15 @@ Matching runs on the lower-case message; keywords are lowered, certificates comp
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanthorn.functions.mmh3 import mmh3
 from lanthorn.operators import keywords, parse
+from lanthorn.session import checkpoint, few
 
 KINDS = ("vuln", "regexp", "header", "body", "md5", "mmh3", "cert")
 
@@ -43,67 +47,105 @@ def matchers(entries: DataFrame) -> DataFrame:
     return out.select("finger_id", "rule_idx", "m.*").where("pattern is not null")
 
 
-def _literals(pats: DataFrame) -> DataFrame:
-    """(pattern, literal) of regular expressions that compile; a pattern without required literal has a null one."""
-    import pandas as pd
-
-    @F.pandas_udf("struct<literal: string, ok: boolean>")
-    def run(s):
-        import re
-        import warnings
+#: Places in a message that a pattern is looked for in, by its mark in the index; regular expressions run on the whole.
+MARKS = {"header": "h", "body": "b", "cert": "c"}
 
-        out = []
-        for p in s:
-            try:
-                with warnings.catch_warnings():
-                    warnings.simplefilter("ignore")
-                    re.compile(p)
-                out.append((keywords.required_literal(p), True))
-            except (re.error, OverflowError, RecursionError):
-                out.append((None, False))
-        return pd.DataFrame(out, columns=["literal", "ok"])
 
-    d = pats.select("pattern").distinct().withColumn("l", run("pattern"))
-    return d.select("pattern", "l.literal", "l.ok").where("ok").drop("ok")
+def located(responses: DataFrame, marked: list[str]) -> DataFrame:
+    """(resp_id, content, found) of the responses that hold an indexed literal, found with the mark of its place.
 
-
-def rule_hits(responses: DataFrame, entries: DataFrame) -> DataFrame:
-    """(resp_id, finger_id, rule_idx, kind, kind_rank, matcher_idx, pattern, captured): all matcher hits.
+    One automaton pass over the lower-case message, split at its separator, and over the certificate. ``marked`` holds
+    literals behind their marks, mark ``a`` meaning anywhere in the message; the message comes along where such a one is
+    found.
+    """
+    by_place: dict[str, set[str]] = {}
+    for x in marked:
+        by_place.setdefault(x[0], set()).add(x[1:])
+    p = responses.select("resp_id", F.lower("raw").alias("content"), "cert").where("content is not null or cert is not null")
+    kind = p.schema["resp_id"].dataType.simpleString()
+    out = None
+
+    def part(block: keywords.Block) -> DataFrame:
+        mine = {k: v & set(block.patterns) for k, v in by_place.items()}
+        given = p.sparkSession.sparkContext.broadcast((block, mine))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, mine = given.value
+            find, none = block.find, set()
+            anywhere = mine.get("a", none)
+            for b in batches:
+                keep, texts, lists = [], [], []
+                for i, (content, cert) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                    found, seen = [], set()
+                    if content:
+                        header, sep, body = content.partition(parse.CRLF2)
+                        for mark, text in (("h", header if sep else ""), ("b", body if sep else content)):
+                            if text:
+                                got = find(text)
+                                seen |= got & anywhere
+                                found += [mark + x for x in got & mine.get(mark, none)]
+                        found += ["a" + x for x in seen]
+                    if cert and "c" in mine:
+                        found += ["c" + x for x in find(cert) & mine["c"]]
+                    if found:
+                        keep.append(i)
+                        texts.append(content if seen else None)
+                        lists.append(found)
+                if keep:
+                    ids = b.column(0).take(pa.array(keep, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), pa.array(lists, pa.list_(pa.string()))], names=["resp_id", "content", "found"])
+
+        return p.mapInArrow(run, f"resp_id {kind}, content string, found array<string>")
+
+    for block in keywords.blocks(sorted({x[1:] for x in marked if len(x) > 1}), keywords.BLOCK_BYTES):
+        out = part(keywords.Block(block)) if out is None else out.unionByName(part(keywords.Block(block)))
+    return out if out is not None else p.select("resp_id", "content", F.array().cast("array<string>").alias("found")).where(F.lit(False))
+
+
+def refused_patterns(entries: DataFrame) -> DataFrame:
+    """(finger_id, rule_idx, kind, matcher_idx, pattern) of the regular expressions that do not compile; no rule uses them."""
+    m = matchers(entries).where("kind in ('vuln', 'regexp')")
+    return m.where(~keywords.compiles(F.col("pattern"))).drop("kind_rank")
+
+
+def rule_hits(responses: DataFrame, entries: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
+    """(resp_id, finger_id, rule_idx, kind, kind_rank, matcher_idx, pattern, captured): all matcher hits of ``kinds``.
 
     One automaton pass finds keywords and the required literals of regular expressions; a regular expression then runs
-    only on the texts that hold its literal. Hash kinds are equi-joins. captured is group 1 of vuln and regexp hits.
+    only on the texts that hold its literal, which came along, so nothing is joined back to the responses. Hash kinds
+    are equi-joins. Kinds without a pattern cost nothing. captured is group 1 of vuln and regexp hits.
     """
     p = parse.parsed(responses)
-    m = matchers(http_entries(entries)).cache()
-    words = m.where("kind in ('header', 'body', 'cert')")
-    exprs = m.where("kind in ('vuln', 'regexp')")
-    lit = _literals(exprs)
-    with_lit = exprs.join(F.broadcast(lit.where("literal is not null")), "pattern")
-    without = exprs.join(F.broadcast(lit.where("literal is null").select("pattern")), "pattern")
-    body = F.coalesce("body", "content")
-    part = lambda name, text: F.struct(F.lit(name).alias("part"), text.alias("text"))
-    texts = p.select("resp_id", F.explode(F.array(part("header", F.col("header")), part("body", body), part("cert", F.col("cert")), part("content", F.col("content")))).alias("x"))
-    texts = texts.select(F.struct("resp_id", "x.part").alias("id"), "x.text").where("text is not null")
-    index = words.select("pattern", F.lit(False).alias("verify")).unionByName(with_lit.select(F.col("literal").alias("pattern"), F.lit(True).alias("verify")))
-    hit = keywords.keyword_hits(texts, index).select("id.*", "pattern", "text")
-    by_word = hit.select("resp_id", F.col("part").alias("kind"), "pattern").join(words, ["kind", "pattern"])
-    by_word = by_word.withColumn("captured", F.lit(None).cast("string"))
+    m = checkpoint(matchers(http_entries(entries)).where(F.col("kind").isin(*kinds)))
+    present = {r.kind for r in m.select("kind").distinct().collect()}
+    known = checkpoint(keywords.with_literals(m.where("kind in ('vuln', 'regexp')"))).where("ok")
+    mark = F.create_map(*[F.lit(x) for kv in MARKS.items() for x in kv])
+    words = m.where(F.col("kind").isin(*MARKS)).withColumn("key", F.concat(F.try_element_at(mark, F.col("kind")), "pattern"))
+    exprs = m.join(few(known), "pattern")
+    dim = words.withColumn("expr", F.lit(False)).unionByName(exprs.where("literal is not null").select(*m.columns, F.concat(F.lit("a"), "literal").alias("key"), F.lit(True).alias("expr")))
+    marked = [r.key for r in dim.select("key").distinct().toLocalIterator()]
     # the empty group stands in where a pattern has none
-    found = F.expr("trim(regexp_extract(text, concat('(?i)', pattern, '()'), 1))")
-    like = F.regexp_like("text", F.concat(F.lit("(?i)"), "pattern"))
-    on_text = hit.where("part = 'content'").select("resp_id", F.col("pattern").alias("literal"), "text").join(with_lit, "literal")
-    by_expr = on_text.where(like).withColumn("captured", found)
-    # patterns without a literal meet every message: a nested loop over what is left of the catalogue
-    bare = p.select("resp_id", F.col("content").alias("text")).where("text is not null").join(without, F.expr("regexp_like(text, concat('(?i)', pattern))"))
-    bare = bare.withColumn("captured", found)
-    sums = p.where("body is not null").select("resp_id", F.md5("body").alias("pattern")).join(m.where("kind = 'md5'"), "pattern")
-    mm = m.where("kind = 'mmh3'")
-    hashes = p.where("body is not null").join(F.broadcast(mm.limit(1).select(F.lit(1).alias("any"))), how="cross")  # no pattern, no hashing
-    hashes = hashes.select("resp_id", mmh3(F.col("body")).alias("pattern")).join(mm, "pattern")
+    found = F.expr("trim(regexp_extract(content, concat('(?i)', pattern, '()'), 1))")
     none = F.lit(None).cast("string").alias("captured")
     cols = ["resp_id", "finger_id", "rule_idx", "kind", "kind_rank", "matcher_idx", "pattern"]
-    out = by_word.select(*cols, "captured").unionByName(by_expr.select(*cols, "captured")).unionByName(bare.select(*cols, "captured"))
-    return out.unionByName(sums.select(*cols, none)).unionByName(hashes.select(*cols, none))
+    met = located(responses, marked).select("resp_id", "content", F.explode("found").alias("key")).join(few(dim), "key")
+    met = met.where(~F.col("expr") | F.regexp_like("content", F.concat(F.lit("(?i)"), "pattern")))
+    out = met.select(*cols, F.when(F.col("expr"), found).alias("captured"))
+    empty = words.where("pattern = ''")
+    if "" in {x[1:] for x in marked}:  # the empty keyword is in every text of its place
+        each = F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in (("header", F.col("header")), ("body", F.coalesce("body", "content")), ("cert", F.col("cert")))])
+        texts = p.select("resp_id", F.explode(each).alias("x")).where("x.text is not null").select("resp_id", "x.kind")
+        out = out.unionByName(texts.join(few(empty), "kind").select(*cols, none))
+    bare = [r.pattern for r in known.where("literal is null").select("pattern").collect()]
+    if bare:
+        texts = p.select("resp_id", "content").where("content is not null")
+        some = keywords.bare_hits(texts, bare, "content", "(?i)").join(few(exprs.where("literal is null").drop("literal", "ok")), "pattern")
+        out = out.unionByName(some.select(*cols, found.alias("captured")))
+    for kind, of in (("md5", F.md5("body")), ("mmh3", mmh3(F.col("body")))):
+        if kind in present:
+            hashes = p.where("body is not null").select("resp_id", of.alias("pattern"))
+            out = out.unionByName(hashes.join(few(m.where(F.col("kind") == kind)), "pattern").select(*cols, none))
+    return out
 
 
 def first_hits(hits: DataFrame) -> DataFrame:
@@ -121,7 +163,7 @@ def frameworks(responses: DataFrame, entries: DataFrame) -> DataFrame:
         F.col("r.version").alias("rule_version"), F.col("r.vuln").alias("vuln"), F.col("r.info").alias("info"), F.col("r.send_data").alias("send_data"),
     )
     static = F.when(~F.col("rule_version").isin("", "_"), F.col("rule_version"))
-    out = won.join(r, ["finger_id", "rule_idx"])
+    out = won.join(few(r), ["finger_id", "rule_idx"])
     out = out.withColumn("version", F.coalesce(F.when(F.col("captured") != "", F.col("captured")), static))
     return out.drop("captured", "rule_version")
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanthorn.operators import keywords, native, parse
+from lanthorn.session import checkpoint, few
+
 #: Exact renames of service names (fixed values).
 PROTOCOLS = {
     "ssl/http": "https", "http-proxy": "http", "ms-wbt-server": "rdp", "microsoft-ds": "smb", "netbios-ssn": "netbios", "oracle-tns": "oracle",
@@ -111,17 +114,17 @@ def identify_messages(messages: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     A pattern runs on the messages that hold its required literal; patterns without one meet all messages.
     """
-    from lanthorn.operators import keywords, native
-
     m = catalogue.where("pattern is not null")
-    lit = native._literals(m.select("pattern").distinct())
-    exprs = m.join(F.broadcast(lit), "pattern")
-    texts = messages.where("data is not null").select(F.struct("target", "data").alias("id"), F.lower("data").alias("text"))
-    words = exprs.where("literal is not null")
-    hit = keywords.keyword_hits(texts, words.select(F.col("literal").alias("pattern")).distinct()).select("id.*", F.col("pattern").alias("literal"))
-    near = hit.join(words, "literal").where("regexp_like(data, pattern)").drop("literal")
-    far = messages.join(F.broadcast(exprs.where("literal is null").drop("literal"))).where("regexp_like(data, pattern)")
-    return choose(near.unionByName(far))
+    exprs = checkpoint(m.join(keywords.with_literals(m).where("ok"), "pattern"))
+    words = [r.literal for r in exprs.where("literal is not null").select("literal").distinct().toLocalIterator()]
+    texts = messages.where("data is not null").withColumn("low", F.lower("data"))
+    met = keywords.scan(texts, words, "low").select("target", "data", F.explode("found").alias("literal"))
+    near = met.join(few(exprs.where("literal is not null")), "literal").where("regexp_like(data, pattern)").drop("literal")
+    bare = [r.pattern for r in exprs.where("literal is null").select("pattern").distinct().collect()]
+    if bare:
+        far = keywords.bare_hits(messages.where("data is not null").select("target", "data"), bare, "data")
+        near = near.unionByName(far.join(few(exprs.where("literal is null").drop("literal")), "pattern").select(near.columns))
+    return choose(near)
 
 
 def identify_with_fallback(banners: DataFrame, catalogue: DataFrame, fallback: DataFrame) -> DataFrame:
@@ -194,8 +197,6 @@ def socket_first(responses: DataFrame, entries: DataFrame) -> DataFrame:
 
     Entries of the message's port go first, then those without port, then all others; among equals the smallest id.
     """
-    from lanthorn.operators import keywords, native, parse
-
     tcp = entries.where("lower(trim(protocol)) = 'tcp'")
     words = native.rules(tcp).select("finger_id", "name", "default_port", F.explode("r.regexps.body").alias("pattern")).where("pattern is not null")
     texts = responses.where("raw is not null").select(F.struct("resp_id", "port").alias("id"), F.col("raw").alias("text"))

@@ -1,13 +1,13 @@
 """Keyword, logic, pattern and icon engines for web responses.
 
 Each takes captured responses and its catalogue and returns hits. The large side is read once by the keyword index
-(``keywords.keyword_hits``) with one anchor per rule, the longest literal that a match must hold; the whole rule is then
-verified on the text that came along, so no rule meets a message that lacks its anchor.
+(``keywords.scan``) with one anchor per rule, the longest literal that a match must hold; the text stays in the row with
+its list of anchors, rules are joined to it from a dimension table, and the whole rule is verified there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,19 +15,24 @@ from pyspark.sql import functions as F
 
 from lanthorn.functions import expr
 from lanthorn.operators import keywords, parse
+from lanthorn.session import checkpoint, few
 
 norm = lambda c: F.lower(F.trim(F.col(c)))
 
 
 def _anchored(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules (columns, part, anchor) with the (resp_id, text) of each message whose part holds the anchor; rules without
-    an anchor meet every message of their part."""
-    patterns = rules.where("anchor is not null").select(F.col("anchor").alias("pattern"), F.lit(True).alias("verify"))
-    hit = keywords.keyword_hits(texts.select(F.struct("resp_id", "part").alias("id"), "text"), patterns)
-    hit = hit.select("id.resp_id", "id.part", F.col("pattern").alias("anchor"), "text")
-    some = hit.join(rules.where("anchor is not null"), ["part", "anchor"])
-    bare = texts.join(rules.where("anchor is null"), "part").withColumn("anchor", F.lit(None).cast("string"))
-    return some.unionByName(bare.select(some.columns))
+    """Rules (columns, part, anchor) with the columns of each of ``texts`` (part, text) that holds the anchor; rules
+    without an anchor meet every text of their part. Rules are joined by (part, anchor) from a broadcast table where
+    they are few."""
+    rules = checkpoint(rules)
+    anchors = [r.anchor for r in rules.where("anchor is not null").select("anchor").distinct().toLocalIterator()]
+    met = keywords.scan(texts, anchors).withColumn("anchor", F.explode("found")).drop("found")
+    some = met.join(few(rules.where("anchor is not null")), ["part", "anchor"])
+    bare = rules.where("anchor is null")
+    if bare.head(1):
+        far = texts.join(few(bare.drop("anchor")), "part").withColumn("anchor", F.lit(None).cast("string"))
+        some = some.unionByName(far.select(some.columns))
+    return some
 
 
 def parts(responses: DataFrame) -> DataFrame:
@@ -52,82 +57,110 @@ def ehole_hits(responses: DataFrame, ehole: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform("words", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
     plain = rules.where("method = 'keyword'").withColumn("anchor", longest["x"])
 
-    @F.pandas_udf("struct<anchor: string, ok: boolean>")
+    @F.pandas_udf("string")
     def literal(lists):
-        import re
-        import warnings
-
         import pandas as pd
 
-        out = []
-        for words in lists:
-            try:
-                with warnings.catch_warnings():
-                    warnings.simplefilter("ignore")
-                    for w in words:
-                        re.compile(w)
-            except (re.error, OverflowError):
-                out.append((None, False))
-                continue
-            found = [x for w in words if (x := keywords.required_literal(w))]
-            out.append((max(found, key=len) if found else None, True))
-        return pd.DataFrame(out, columns=["anchor", "ok"])
-
-    regular = rules.where("method = 'regular'").withColumn("l", literal("words")).where("l.ok")
-    regular = regular.withColumn("anchor", F.col("l.anchor")).drop("l")
-    texts = parts(responses)
-    by_word = _anchored(texts, plain).where(F.forall("words", lambda k: F.contains(F.col("text"), k)))
-    by_expr = _anchored(texts, regular).where(F.forall("words", lambda k: F.regexp_like(F.col("text"), k)))
-    return by_word.unionByName(by_expr).select("resp_id", "ehole_id", "cms", "method")
+        found = ([x for w in words if (x := keywords.required_literal(w))] for words in lists)
+        return pd.Series([max(x, key=len) if x else None for x in found], dtype=object)
 
+    regular = rules.where(F.col("method") == "regular").where(F.forall("words", keywords.compiles)).withColumn("anchor", literal("words"))
+    met = _anchored(parts(responses), plain.unionByName(regular))
+    text = F.col("text")
+    holds = F.when(F.col("method") == "keyword", F.forall("words", lambda k: F.contains(text, k))).otherwise(F.forall("words", lambda k: F.regexp_like(text, k)))
+    return met.where(holds).select("resp_id", "ehole_id", "cms", "method")
+
+
+def _truth(tree: tuple, known: dict[str, bool]) -> bool:
+    if tree[0] == "name":
+        return known.get(tree[1], False)
+    if tree[0] == "not":
+        return not _truth(tree[1], known)
+    return (any if tree[0] == "or" else all)(_truth(t, known) for t in tree[1:])
 
-def goby_counts(responses: DataFrame, goby: DataFrame) -> DataFrame:
-    """(goby_id, name, responses): messages for which the logic over the labels holds.
 
-    A label is true when the message holds its feature or not, as is_equal says, so a rule may hold for every message
-    without any of its features. Only messages that hold a feature are looked at one by one; the others all give the
-    same answer, which is taken times their number.
+def _logic_rules(goby: DataFrame) -> list[tuple[int, tuple, list[tuple[str, str, bool]]]]:
+    """(goby_id, tree, [(label, feature, is_equal)]) of the rules whose logic can be read; a catalogue, as the index is."""
+    out = []
+    for r in goby.select("goby_id", "logic", "rule").toLocalIterator():
+        try:
+            tree = expr.parse(r.logic or "")
+            expr.dnf(tree)  # labels, !, && and || only
+        except ValueError:
+            continue
+        out.append((r.goby_id, tree, [(x.label, x.feature.lower(), bool(x.is_equal)) for x in r.rule or () if x is not None and x.feature is not None]))
+    return out
+
+
+def goby_states(responses: DataFrame, goby: DataFrame, block_bytes: int = keywords.BLOCK_BYTES) -> DataFrame:
+    """(resp_id, goby_id, holds): the messages that hold a feature of a rule, and whether its logic over the labels holds.
+
+    A label is true when the message holds its feature or not, as is_equal says. Rules come in blocks with their features;
+    each block is one automaton pass in which the logic is evaluated as well. Rules without features are in none.
     """
-    texts = parse.parsed(responses).where("content is not null").select(F.col("resp_id").alias("id"), F.col("content").alias("text"))
-    rules = goby.select("goby_id", "name", "logic", F.filter(F.coalesce("rule", F.array()), lambda r: r.isNotNull()).alias("rule"))
-    features = rules.select("goby_id", F.explode("rule").alias("r")).select("goby_id", F.lower("r.feature").alias("pattern")).where("pattern is not null").distinct()
-    hit = keywords.keyword_hits(texts, features).select(F.col("id").alias("resp_id"), "pattern").join(features, "pattern")
-    touched = hit.groupBy("resp_id", "goby_id").agg(F.sort_array(F.collect_set("pattern")).alias("found"))
-    states = touched.groupBy("goby_id", "found").agg(F.count("*").alias("n"))  # few different sets of features per rule
-    per_rule = states.groupBy("goby_id").agg(F.collect_list(F.struct("found", "n")).alias("states"), F.sum("n").alias("touched"))
-    total = texts.agg(F.count("*").alias("total"))
-    src = rules.join(per_rule, "goby_id", "left").join(F.broadcast(total))
-    src = src.select("goby_id", "name", "logic", F.transform("rule", lambda r: F.struct(r["label"].alias("label"), F.lower(r["feature"]).alias("feature"), r["is_equal"].alias("eq"))).alias("rule"), F.coalesce("states", F.array()).alias("states"), (F.col("total") - F.coalesce("touched", F.lit(0))).alias("rest"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict = {}
-
-        def truth(tree, known):
-            if tree[0] == "name":
-                return known.get(tree[1], False)
-            if tree[0] == "not":
-                return not truth(tree[1], known)
-            return (any if tree[0] == "or" else all)(truth(t, known) for t in tree[1:])
-
-        for b in batches:
-            counts = []
-            for logic, rule, states, rest in zip(*(c.to_pylist() for c in b.columns[2:])):
-                if logic not in trees:
-                    try:
-                        tree = expr.parse(logic or "")
-                        expr.dnf(tree)  # labels, !, && and || only
-                    except ValueError:
-                        tree = None
-                    trees[logic] = tree
-                tree, n = trees[logic], 0
-                if tree is not None:
-                    for found, k in [(set(s["found"]), s["n"]) for s in states] + [(set(), rest)]:
-                        known = {r["label"]: (r["feature"] in found) == bool(r["eq"]) for r in rule if r["feature"] is not None}
-                        n += k * truth(tree, known)
-                counts.append(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64())], names=["goby_id", "name", "responses"])
-
-    return src.mapInArrow(run, "goby_id bigint, name string, responses bigint").where("responses > 0")
+    rules = [(i, t, f) for i, t, f in _logic_rules(goby) if f]
+    texts = responses.where("raw is not null").select("resp_id", F.lower("raw").alias("text"))
+    kinds = [texts.schema["resp_id"].dataType.simpleString(), goby.schema["goby_id"].dataType.simpleString()]
+    schema = f"resp_id {kinds[0]}, states array<struct<goby_id: {kinds[1]}, holds: boolean>>"
+    out = None
+
+    def part(some: list) -> DataFrame:
+        block = keywords.Block(sorted({x for _, _, f in some for _, x, _ in f if x}))
+        given = texts.sparkSession.sparkContext.broadcast((block, some))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, rules = given.value
+            find = block.find if block.patterns else lambda text: set()
+            by_feature: dict[str, list[int]] = {}
+            for k, (_, _, features) in enumerate(rules):
+                for x in {x for _, x, _ in features}:
+                    by_feature.setdefault(x, []).append(k)
+            always = by_feature.get("", [])  # the empty feature is in every message
+            item = pa.struct([("goby_id", pa.int64() if kinds[1] == "bigint" else pa.int32()), ("holds", pa.bool_())])
+            for b in batches:
+                rows = []
+                for text in b.column(1).to_pylist():
+                    found = find(text) | {""}
+                    met = {k for x in found for k in by_feature.get(x, ())} if found else set(always)
+                    rows.append([{"goby_id": rules[k][0], "holds": _truth(rules[k][1], {n: (x in found) == eq for n, x, eq in rules[k][2]})} for k in sorted(met)])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(item))], names=["resp_id", "states"])
+
+        return texts.mapInArrow(run, schema)
+
+    size, some = 0, []
+    for r in rules:
+        some.append(r)
+        size += sum(len(x.encode("utf-8", "surrogatepass")) + 1 for _, x, _ in r[2])
+        if size > block_bytes:
+            out = part(some) if out is None else out.unionByName(part(some))
+            size, some = 0, []
+    if some or out is None:
+        out = part(some) if out is None else out.unionByName(part(some))
+    return out.select("resp_id", F.explode("states").alias("s")).select("resp_id", "s.*")
+
+
+def goby_defaults(goby: DataFrame) -> DataFrame:
+    """(goby_id) of the rules that hold for a message without any of their features."""
+    ids = [(i,) for i, tree, features in _logic_rules(goby) if _truth(tree, {n: not eq for n, _, eq in features})]
+    return goby.sparkSession.createDataFrame(ids, f"goby_id {goby.schema['goby_id'].dataType.simpleString()}")
+
+
+def goby_hits(responses: DataFrame, goby: DataFrame) -> DataFrame:
+    """(resp_id, goby_id, name) of the rules that hold for a message which has a feature of theirs.
+
+    Rules that hold for all other messages as well are not expanded to them; ``goby_defaults`` names them.
+    """
+    return goby_states(responses, goby).where("holds").join(few(goby.select("goby_id", "name")), "goby_id").select("resp_id", "goby_id", "name")
+
+
+def goby_counts(responses: DataFrame, goby: DataFrame) -> DataFrame:
+    """(goby_id, name, responses): messages for which the logic over the labels holds, with or without features."""
+    states = goby_states(responses, goby).groupBy("goby_id").agg(F.count_if("holds").alias("yes"), F.count_if(~F.col("holds")).alias("no"))
+    total = responses.agg(F.count("raw").alias("total"))
+    by_default = goby_defaults(goby).withColumn("all", F.lit(True))
+    d = goby.select("goby_id", "name").join(states, "goby_id", "left").join(by_default, "goby_id", "left").join(F.broadcast(total))  # one row
+    n = F.when(F.col("all"), F.col("total") - F.coalesce("no", F.lit(0))).otherwise(F.coalesce("yes", F.lit(0)))
+    return d.select("goby_id", "name", n.cast("bigint").alias("responses")).where("responses > 0")
 
 
 # --- application patterns ---------------------------------------------------------------------------------------------
@@ -172,28 +205,17 @@ def _version(text: str = "text") -> Column:
     return F.expr(f"case when grp > 0 and expr != '' then coalesce(element_at(regexp_extract_all({text}, expr, grp), -1), '') else '' end")
 
 
-def app_key_hits(responses: DataFrame, apps: DataFrame, part: str) -> DataFrame:
-    """Header, cookie or meta patterns: equality of the key, then the expression over the value."""
-    header, body = parse.after_split(F.col("raw"))
-    if part == "meta":
-        src = responses.select("resp_id", F.explode(parse.tags(F.lower(body))["metas"]).alias("m")).select("resp_id", F.lower("m.name").alias("key"), F.col("m.content").alias("text"))
-    else:
-        m = parse.header_map(header)
-        if part == "cookies":
-            m = parse.cookie_map(F.try_element_at(m, F.lit("set-cookie")))
-        src = responses.select("resp_id", F.explode(m).alias("key", "text"))
-    pats = app_patterns(apps).where(F.col("part") == part)
-    met = src.join(pats, "key").where("expr = '' or regexp_like(text, expr)")
-    return met.select("resp_id", "app_id", "app", "part", "key", "idx", _version().alias("version"))
-
-
-def app_text_hits(responses: DataFrame, apps: DataFrame, part: str) -> DataFrame:
-    """html patterns over the body, or scriptsrc patterns over each script source."""
-    p = parse.parsed(responses)
-    if part == "html":
-        texts = p.select("resp_id", F.lit("html").alias("part"), F.col("body").alias("text")).where("text is not null")
-    else:
-        texts = p.select("resp_id", F.lit("scriptsrc").alias("part"), F.explode(parse.tags(F.col("body"))["scripts"]).alias("text"))
+KEYED, TEXTS = ("headers", "cookies", "meta"), ("html", "scriptsrc")
+
+
+def app_hits(responses: DataFrame, apps: DataFrame, parts: Sequence[str] = KEYED + TEXTS, html_only: bool = False) -> DataFrame:
+    """(resp_id, app_id, app, part, key, idx, version) of the patterns that match.
+
+    A message becomes rows of (part, key, text) in one pass, its HTML read once: headers, cookies and meta tags by their
+    keys, the body and the script sources as texts. Keyed rows meet the patterns of their key, texts those whose literal
+    they hold and those that have none, all in one join with the pattern table. With ``html_only`` body, script and meta
+    patterns look at messages whose content type says text/html. Patterns that do not compile match nothing.
+    """
 
     @F.pandas_udf("string")
     def literal(s):
@@ -201,22 +223,67 @@ def app_text_hits(responses: DataFrame, apps: DataFrame, part: str) -> DataFrame
 
         return pd.Series([keywords.required_literal(x) for x in s], dtype=object)
 
-    pats = app_patterns(apps).where(F.col("part") == part).withColumn("anchor", literal("expr"))
-    met = _anchored(texts, pats).where("expr = '' or regexp_like(text, expr)")
-    return met.select("resp_id", "app_id", "app", "part", "key", "idx", _version().alias("version"))
+    pats = app_patterns(apps).where(F.col("part").isin(*parts)).where(keywords.compiles(F.col("expr")))
+    probe = F.when(F.col("part").isin(*KEYED), F.col("key")).otherwise(F.coalesce(literal("expr"), F.lit("")))
+    pats = checkpoint(pats.withColumn("probe", probe))
+    anchors = [r.probe for r in pats.where(F.col("part").isin(*TEXTS)).select("probe").distinct().toLocalIterator()]
+    header, body = parse.after_split(F.col("raw"))
+    row = lambda part, key, text: F.struct(F.lit(part).alias("part"), key.alias("key"), text.alias("text"))
+    none = F.array().cast("array<struct<part:string,key:string,text:string>>")
+    pairs = lambda part, m: F.transform(F.map_entries(m), lambda e: row(part, e["key"], e["value"]))
+    d = responses.where("raw is not null").select("resp_id", parse.header_map(header).alias("h"), F.lower(body).alias("body"))
+    if {"meta", "scriptsrc"} & set(parts):
+        d = d.withColumn("tags", parse.tags(F.col("body")))
+    lists = {
+        "headers": lambda: pairs("headers", F.col("h")),
+        "cookies": lambda: pairs("cookies", parse.cookie_map(F.try_element_at("h", F.lit("set-cookie")))),
+        "meta": lambda: F.transform(F.col("tags.metas"), lambda m: row("meta", F.lower(m["name"]), m["content"])),
+        "html": lambda: F.when(F.col("body").isNotNull(), F.array(row("html", F.lit(""), F.col("body")))),
+        "scriptsrc": lambda: F.transform(F.col("tags.scripts"), lambda s: row("scriptsrc", F.lit(""), s)),
+    }
+    gate = F.contains(F.coalesce(F.try_element_at("h", F.lit("content-type")), F.lit("")), F.lit("text/html"))
+    of = lambda p: F.when(gate, lists[p]()) if html_only and p not in ("headers", "cookies") else lists[p]()
+    texts = d.select("resp_id", F.explode(F.concat(*[F.coalesce(of(p), none) for p in parts])).alias("x")).select("resp_id", "x.*").where("text is not null")
+    probed = _probed(texts, [a for a in anchors if a], "" in anchors)
+    met = probed.join(few(pats.withColumnRenamed("key", "pattern_key")), ["part", "probe"]).where("expr = '' or regexp_like(text, expr)")
+    return met.select("resp_id", "app_id", "app", "part", F.col("pattern_key").alias("key"), "idx", _version().alias("version"))
+
+
+def _probed(rows: DataFrame, anchors: list[str], bare: bool) -> DataFrame:
+    """(part, key, text) rows with each ``probe`` they look for patterns with: the key, or the literals of a text and ''."""
+    block = [keywords.Block(b) for b in keywords.blocks(sorted(anchors), keywords.BLOCK_BYTES)] or [keywords.Block([])]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", probes array<string>"
+    at = [rows.columns.index(c) for c in ("part", "key", "text")]
+    out = None
+    for n, one in enumerate(block):
+        given = rows.sparkSession.sparkContext.broadcast(one)
+
+        def run(batches: Iterator[pa.RecordBatch], given=given, first=n == 0) -> Iterator[pa.RecordBatch]:
+            find = given.value.find if given.value.patterns else lambda text: set()
+            for b in batches:
+                probes = []
+                for part, key, text in zip(*(b.column(i).to_pylist() for i in at)):
+                    if part in KEYED:
+                        probes.append([key] if first else [])
+                    else:
+                        probes.append([*sorted(find(text)), *([""] if first and bare else [])])
+                keep = [i for i, x in enumerate(probes) if x]
+                if keep:
+                    have = b.take(pa.array(keep, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*have.columns, pa.array([probes[i] for i in keep], pa.list_(pa.string()))], names=[*b.schema.names, "probes"])
+
+        some = rows.mapInArrow(run, schema)
+        out = some if out is None else out.unionByName(some)
+    return out.withColumn("probe", F.explode("probes")).drop("probes")
 
 
 def app_frameworks(responses: DataFrame, apps: DataFrame) -> DataFrame:
-    """One row per response and application name (without case): its version and parts.
+    """One row per response and application name (without case): its version, parts and tags (the names it implies).
 
     In html and script sources the last pattern that matches supplies the version, in the keyed parts the first; a
     version that is not empty goes before an empty one.
     """
-    hits = app_key_hits(responses, apps, "headers")
-    for part in ("cookies", "meta"):
-        hits = hits.unionByName(app_key_hits(responses, apps, part))
-    for part in ("html", "scriptsrc"):
-        hits = hits.unionByName(app_text_hits(responses, apps, part))
+    hits = app_hits(responses, apps)
     keyed = F.col("part").isin("headers", "cookies", "meta")
     rank = F.struct((F.col("version") != "").alias("has"), keyed.alias("keyed"), F.when(keyed, -F.col("idx")).otherwise(F.col("idx")).alias("i"), F.col("part"), F.col("key"), F.col("app_id"), F.col("version"))
     out = hits.groupBy("resp_id", F.lower("app").alias("name"))

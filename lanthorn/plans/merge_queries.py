@@ -91,7 +91,7 @@ def _fill(c: str) -> str:
     return f"arg_min({c}, (rank, {c})) FILTER (WHERE {c} <> '') AS {c}"
 
 
-@query(f"""WITH {RESOLVED}, live AS (SELECT *, engine AS rank FROM resolved WHERE NOT blocked AND name IS NOT NULL AND resp_id IS NOT NULL)
+@query(f"""WITH {RESOLVED}, live AS (SELECT *, coalesce(engine, '~') AS rank FROM resolved WHERE NOT blocked AND name IS NOT NULL AND resp_id IS NOT NULL)
 SELECT resp_id, lower(name) AS framework, {_fill('version')}, {_fill('vendor')}, {_fill('product')}, coalesce(array_to_string(list_sort(list_distinct(list(engine) FILTER (WHERE engine IS NOT NULL))), ','), '') AS froms,
   array_to_string(list_sort(list_distinct(flatten(list(list_filter(coalesce(tags, []), lambda t: t IS NOT NULL))))), ',') AS tags, bool_or(coalesce(focus, false)) AS focus FROM live GROUP BY resp_id, lower(name)""")
 def merge_engines(spark, d):

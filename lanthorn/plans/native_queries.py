@@ -49,8 +49,8 @@ def query(sql: str | None = None):
     return keep
 
 
-def _hits(spark, d):
-    return native.rule_hits(table(spark, d, "responses"), table(spark, d, "native_finger"))
+def _hits(spark, d, kinds=native.KINDS):
+    return native.rule_hits(table(spark, d, "responses"), table(spark, d, "native_finger"), kinds)
 
 
 def _frameworks(spark, d):
@@ -61,7 +61,7 @@ def _kind(kind: str):
     cols = ["resp_id", "finger_id", "rule_idx", "matcher_idx", "pattern"] + (["captured"] if kind in ("vuln", "regexp") else [])
 
     def run(spark, d):
-        return _hits(spark, d).where(F.col("kind") == kind).select(*cols)
+        return _hits(spark, d, (kind,)).select(*cols)
 
     return run, f"WITH {HITS} SELECT {', '.join(cols)} FROM rule_hits WHERE kind = '{kind}'"
 

@@ -66,7 +66,7 @@ def _ver(text: str) -> str:
 
 def _keyed(part: str, source: str):
     def run(spark, d):
-        return web.app_key_hits(table(spark, d, "responses"), table(spark, d, "wapp_app"), part).select("resp_id", "app_id", "key", "version")
+        return web.app_hits(table(spark, d, "responses"), table(spark, d, "wapp_app"), (part,)).select("resp_id", "app_id", "key", "version")
 
     sql = f"""WITH {LINES}, pats AS (SELECT app_id, lower(e.key) AS key, {_split('e.value')} FROM (SELECT app_id, UNNEST(map_entries({part})) AS e FROM wapp_app) WHERE e.value IS NOT NULL)
 SELECT resp_id, app_id, key, {_ver('value')} AS version FROM {source} JOIN pats USING (key) WHERE expr = '' OR regexp_matches(value, expr)"""
@@ -80,19 +80,19 @@ QUERIES["wapp_cookies"], SQL["wapp_cookies"] = _keyed("cookies", "cookies")
 @query(f"""WITH {PARSED}, pats AS (SELECT app_id, CAST(i - 1 AS INTEGER) AS idx, {_split('html[i]')} FROM (SELECT app_id, html, UNNEST(RANGE(1, LEN(html) + 1)) AS i FROM wapp_app) WHERE html[i] IS NOT NULL)
 SELECT resp_id, app_id, idx, {_ver('body')} AS version FROM parsed, pats WHERE body IS NOT NULL AND (expr = '' OR regexp_matches(body, expr))""")
 def wapp_html(spark, d):
-    return web.app_text_hits(table(spark, d, "responses"), table(spark, d, "wapp_app"), "html").select("resp_id", "app_id", "idx", "version")
+    return web.app_hits(table(spark, d, "responses"), table(spark, d, "wapp_app"), ("html",)).select("resp_id", "app_id", "idx", "version")
 
 
 @query()
 def wapp_meta_version(spark, d):
     """Meta tag patterns; needs an HTML tokenizer, which SQL lacks."""
-    return web.app_key_hits(table(spark, d, "responses"), table(spark, d, "wapp_app"), "meta").select("resp_id", "app_id", "key", "idx", "version")
+    return web.app_hits(table(spark, d, "responses"), table(spark, d, "wapp_app"), ("meta",)).select("resp_id", "app_id", "key", "idx", "version")
 
 
 @query()
 def wapp_script_src(spark, d):
     """Script source patterns; needs an HTML tokenizer, which SQL lacks."""
-    return web.app_text_hits(table(spark, d, "responses"), table(spark, d, "wapp_app"), "scriptsrc").select("resp_id", "app_id", "idx", "version")
+    return web.app_hits(table(spark, d, "responses"), table(spark, d, "wapp_app"), ("scriptsrc",)).select("resp_id", "app_id", "idx", "version")
 
 
 @query()
@@ -106,7 +106,7 @@ SELECT resp_id, app_id, array_to_string(list_sort(list_distinct(list_filter(impl
 def wapp_implies_tags(spark, d):
     """Implied names become tags of the hit, not hits of their own."""
     apps = table(spark, d, "wapp_app")
-    hit = web.app_key_hits(table(spark, d, "responses"), apps, "cookies").select("resp_id", "app_id").distinct()
+    hit = web.app_hits(table(spark, d, "responses"), apps, ("cookies",)).select("resp_id", "app_id").distinct()
     tags = F.array_join(F.array_sort(F.array_distinct(F.filter("implies", lambda x: x.isNotNull()))), ",")
     return hit.join(apps.where("size(implies) > 0").select("app_id", tags.alias("tags")), "app_id").select("resp_id", "app_id", "tags")
 
