@@ -141,6 +141,113 @@ def to_column(tree: tuple, name: Callable[[str], Column]) -> Column:
     raise ValueError(f"unknown function {tree[1]!r}")
 
 
+def evaluate(tree: tuple, get: Callable[[str], object]) -> object:
+    """Value of a tree in Python, as ``to_column`` gives it; null makes a comparison or call null, which counts as false."""
+    kind = tree[0]
+    if kind in ("or", "and"):
+        return (any if kind == "or" else all)(bool(evaluate(t, get)) for t in tree[1:])
+    if kind == "not":
+        return not evaluate(tree[1], get)
+    if kind == "num":
+        return float(tree[1]) if "." in tree[1] else int(tree[1])
+    if kind == "str":
+        return tree[1]
+    if kind == "name":
+        return get(tree[1])
+    if kind == "cmp":
+        a, b = evaluate(tree[2], get), evaluate(tree[3], get)
+        if a is None or b is None:
+            return None
+        if isinstance(a, str) != isinstance(b, str):
+            a, b = str(a), str(b)
+        return {"==": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[tree[1]]
+    fn, args = tree[1].lower(), [evaluate(t, get) for t in tree[2:]]
+    if any(a is None for a in args):
+        return None
+    if fn == "contains":
+        return args[1] in args[0]
+    if fn == "icontains":
+        return args[1].lower() in args[0].lower()
+    if fn in ("startswith", "endswith"):
+        return getattr(args[0], fn)(args[1])
+    if fn == "regex":
+        try:
+            return re.search(args[0], args[1]) is not None
+        except re.error:
+            return False
+    if fn == "len":
+        return len(args[0].encode("utf-8", "surrogatepass"))
+    if fn in ("tolower", "toupper"):
+        return args[0].lower() if fn == "tolower" else args[0].upper()
+    raise ValueError(f"unknown function {tree[1]!r}")
+
+
+def triggers(tree: tuple, regex_literal: Callable[[str], str | None], least: int = 3) -> set[str] | None:
+    """Texts of which a message must hold one for the tree to be true, or None where there is no such set."""
+    kind = tree[0]
+    if kind == "or":
+        each = [triggers(t, regex_literal, least) for t in tree[1:]]
+        return None if None in each else set().union(*each)
+    if kind == "and":
+        each = [x for t in tree[1:] if (x := triggers(t, regex_literal, least)) is not None]
+        return min(each, key=lambda x: (len(x), -min(map(len, x), default=0))) if each else None
+    if kind == "call":
+        fn, args = tree[1].lower(), tree[2:]
+        text = None
+        if fn in ("contains", "icontains", "startswith", "endswith") and len(args) == 2 and args[1][0] == "str":
+            text = args[1][1].lower()
+        elif fn == "regex" and args and args[0][0] == "str":
+            text = regex_literal(args[0][1])
+        return {text} if text and len(text) >= least else None
+    return None
+
+
+#: Methods of a field, and the functions that they are (fixed names).
+METHODS = {"contains": "contains", "bcontains": "contains", "icontains": "icontains", "ibcontains": "icontains", "startswith": "startswith", "bstartswith": "startswith", "endswith": "endswith"}
+#: Fields of a response and the names that rules give them (fixed names).
+FIELDS = {
+    "body": "body", "body_string": "body", "raw_header": "all_headers", "status": "status_code", "content_type": "header_content_type", "raw": "all", "title": "title", "title_string": "title",
+}
+_STRING = r"""(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')"""
+
+
+def from_methods(text: str) -> str:
+    """A rule written with methods on fields of ``response`` as an expression of this grammar.
+
+    Byte strings become strings, ``response.headers["X-Y"]`` the name header_x_y, ``field.contains(x)`` a function of
+    two arguments, and ``"pattern".matches(field)`` regex("pattern", field). Strings are left as they are.
+    """
+    strings: list[str] = []
+
+    def keep(m: re.Match) -> str:
+        strings.append(m[0].removeprefix("b"))
+        return f"\0{len(strings) - 1}\0"
+
+    s = re.sub(rf"(?:\bb(?=[\"']))?{_STRING}", keep, text)
+    unquote = lambda i: strings[int(i)][1:-1]
+    s = re.sub(r"response\.headers\[\0(\d+)\0\]", lambda m: "header_" + re.sub(r"\W", "_", unquote(m[1]).lower()), s)
+    s = re.sub(r"\bresponse\.(\w+)", lambda m: FIELDS.get(m[1], m[1]), s)
+    s = re.sub(r"(\0\d+\0)\.b?(?:sub)?matches\(", r"regex(\1, ", s)
+    s = re.sub(r"\b(\w+)\.(\w+)\(", lambda m: f"{METHODS[m[2].lower()]}({m[1]}, " if m[2].lower() in METHODS else m[0], s)
+    return re.sub(r"\0(\d+)\0", lambda m: strings[int(m[1])], s)
+
+
+def compose(top: str, rules: dict[str, str]) -> tuple:
+    """Tree of a top expression over calls of named rules; an empty top means any rule, an empty rule is true."""
+    trees = {k: parse(from_methods(v)) if v.strip() else ("cmp", "==", ("num", "1"), ("num", "1")) for k, v in rules.items()}
+
+    def fill(t: tuple) -> tuple:
+        if t[0] == "call" and len(t) == 2:
+            if t[1] not in trees:
+                raise ValueError(f"no rule {t[1]!r}")
+            return trees[t[1]]
+        return tuple(fill(x) if isinstance(x, tuple) else x for x in t)
+
+    if not top.strip():
+        return ("or", *trees.values()) if len(trees) != 1 else next(iter(trees.values()))
+    return fill(parse(top))
+
+
 def dnf(tree: tuple, negate: bool = False) -> list[dict[str, bool]]:
     """Disjunctive normal form over labels: a list of {label: wanted truth}; contradictions are left out."""
     kind = tree[0]

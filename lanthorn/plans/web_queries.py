@@ -181,3 +181,20 @@ _tpl("xray_root_path", [{"path": ["{{BaseURL}}/"], "matchers": [{"type": "status
 @query(f"WITH {TPL} SELECT resp_id, status_code, CAST(content_length AS INTEGER) AS content_length, all_headers FROM ev")
 def template_event(spark, d):
     return templates.events(table(spark, d, "responses")).select("resp_id", "status_code", "content_length", "all_headers")
+
+
+def _templates(spark, d):
+    return templates.catalogue(table(spark, d, "nested_record").where("kind = 'template'"))
+
+
+@query()
+def tpl_catalogue(spark, d):
+    """All templates of the catalogue over all responses, in one pass."""
+    return templates.frameworks(table(spark, d, "responses"), _templates(spark, d)[0])
+
+
+@query()
+def tpl_catalogue_refused(spark, d):
+    """Templates that cannot be read, by reason."""
+    rows = spark.createDataFrame(_templates(spark, d)[1], "id string, reason string")
+    return rows.groupBy("reason").agg(F.count("*").alias("templates"))
