@@ -4,6 +4,10 @@ A batch of records is one byte buffer. A mask of its quotes and the parity of th
 line breaks are outside quotes; those delimit fields and records. Counts and type checks on the fields then make each
 record a typed row or a refused row with the first reason that holds: quoting, columns, value, keyword, pattern.
 
+``read_records`` loads files of any size: each block of a file counts its quotes, the parity before a block follows from
+the blocks before it, and then every block finds the line breaks outside quotes on its own. Only the records that reach
+over a block's end are put together from parts.
+
 Defined results: a null line is an empty one (``columns``). Texts of any length are indexed whole. Bytes are those of
 UTF-8, in which quote, comma and line break never occur inside another character.
 """
@@ -17,7 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 QUOTE, COMMA, NEWLINE = 0x22, 0x2C, 0x0A
 VALID = (
@@ -35,10 +40,98 @@ def parity(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return quotes, (before & 1).astype(bool)
 
 
-def record_ends(buf: np.ndarray) -> np.ndarray:
+def record_ends(buf: np.ndarray, begins_inside: bool = False) -> np.ndarray:
     """Positions of the line breaks that end records (those outside quotes)."""
     _, inside = parity(buf)
-    return np.flatnonzero((buf == NEWLINE) & ~inside)
+    return np.flatnonzero((buf == NEWLINE) & (inside == begins_inside))
+
+
+#: Blocks whose parities are broadcast at most: 125 TB in blocks of 128 MB.
+MOST_BLOCKS = 1_000_000
+
+
+def _block_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], bytes]]:
+    """((file, block), text) of runs of physical lines of one block, each line with its break."""
+    for b in batches:
+        files, blocks, lines = (c.to_pylist() for c in b.columns)
+        at = 0
+        for i in range(1, len(lines) + 1):
+            if i == len(lines) or (files[i], blocks[i]) != (files[at], blocks[at]):
+                yield (files[at], blocks[at]), "".join(x + "\n" for x in lines[at:i]).encode()
+                at = i
+
+
+def read_records(spark: SparkSession, path: str, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """(file_name, block, record_no, line_text): the records of delimited files, line breaks within quotes kept.
+
+    record_no counts within a block. A quote that is never closed takes the rest of its file into its record, which
+    ``parse_lines`` then refuses for its quoting. Line ends are LF or CR LF; empty lines are no records.
+    """
+    meta = [F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.option("lineSep", "\n").text(path).select(*meta, "value")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, block), data in _block_lines(batches):
+            n = int((np.frombuffer(data, np.uint8) == QUOTE).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([n], pa.int64())], names=["file_name", "block", "n"])
+
+    quotes = lines.mapInArrow(count, "file_name string, block bigint, n bigint").groupBy("file_name", "block").agg(F.sum("n").alias("n"))
+    rows = quotes.limit(most_blocks + 1).collect()
+    if len(rows) > most_blocks:
+        raise ValueError(f"more than {most_blocks} blocks: read the files in several calls")
+    odd: dict[tuple[str, int], bool] = {}
+    for file in {r.file_name for r in rows}:
+        inside = False
+        for r in sorted((r for r in rows if r.file_name == file), key=lambda r: r.block):
+            odd[file, r.block] = inside
+            inside ^= bool(r.n & 1)
+    given = spark.sparkContext.broadcast(odd)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd = given.value
+        # part: 0 a whole record, 1 the beginning of one that goes on in the next block, 2 what goes on from the one before
+        key, inside, open_, no, first = None, False, b"", 0, False
+
+        def rest() -> list[tuple]:
+            return [(*key, no, 2 if first else 1, open_)] if key and open_ else []
+
+        for now, data in _block_lines(batches):
+            out: list[tuple] = []
+            if now != key:
+                out += rest()
+                key, inside, open_, no = now, odd[now], b"", 0
+                first = inside
+            buf = np.frombuffer(data, np.uint8)
+            ends = record_ends(buf, inside)
+            at = 0
+            for e in ends.tolist():
+                record = open_ + data[at:e]
+                if record.strip():
+                    out.append((*key, no, 2 if first else 0, record))
+                    no += 1
+                open_, at, first = b"", e + 1, False
+            open_ += data[at:]
+            inside ^= bool(int((buf == QUOTE).sum()) & 1)
+            if out:
+                yield flush(out)
+        if key and (out := rest()):
+            yield flush(out)
+
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+    names = ["file_name", "block", "record_no", "part", "line_text"]
+
+    def flush(out: list[tuple]) -> pa.RecordBatch:
+        texts = [(*x[:4], (x[4] if x[3] == 1 else x[4].removesuffix(b"\r")).decode("utf-8", "replace")) for x in out]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*texts), kinds)], names=names)
+
+    parts = lines.mapInArrow(cut, "file_name string, block bigint, record_no int, part int, line_text string")
+    whole = parts.where("part = 0").select("file_name", "block", "record_no", "line_text")
+    # at most two parts of each block: the record they belong to begins in the last block before with a beginning
+    some = parts.where("part > 0")
+    order = Window.partitionBy("file_name").orderBy("block", F.desc("part"))
+    chain = some.withColumn("g", F.sum(F.when(F.col("part") == 1, 1).otherwise(0)).over(order))
+    joined = chain.groupBy("file_name", "g").agg(F.min("block").alias("block"), F.min_by("record_no", F.struct("block", -F.col("part"))).alias("record_no"), F.sort_array(F.collect_list(F.struct("block", -F.col("part"), "line_text"))).alias("p"))
+    return whole.unionByName(joined.select("file_name", "block", "record_no", F.array_join(F.col("p.line_text"), "").alias("line_text")))
 
 
 def index_records(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -155,8 +155,8 @@ def entities(nodes: DataFrame, ids: Sequence[str], spec: dict[str, tuple[Sequenc
     ``spec`` maps an entity's name to (paths of its nodes, {column: label of a scalar child}); a path that ends in
     ``.*`` means every key with a value of the object before it. Object nodes meet their scalar children by the
     owner's node id and the children are pivoted into the columns. One row per entity node: ids, key, entity, node,
-    parent, anc, label, scalar and the columns (null where there is no such child). Of several scalar children of one
-    label (a list in place of a scalar) the largest is taken.
+    parent, anc, label, scalar and the columns (null where there is no such child, and where a list stands in its place:
+    ``items`` gives its elements).
     """
     of_path = {p: name for name, (paths, _) in spec.items() for p in paths if not p.endswith(".*")}
     stars = {p[:-1]: name for name, (paths, _) in spec.items() for p in paths if p.endswith(".*")}
@@ -172,10 +172,29 @@ def entities(nodes: DataFrame, ids: Sequence[str], spec: dict[str, tuple[Sequenc
     own = keep.withColumn("entity", name).withColumn("_col", F.when(element(), _lookup(child, path)))
     own = own.withColumn("_owner", F.when(F.col("entity").isNotNull(), F.col("node")).otherwise(F.col("parent")))
     head = F.max(F.when(F.col("entity").isNotNull(), F.struct("entity", "node", "parent", "anc", "label", "scalar")))
-    pivot = [F.max(F.when(F.col("_col") == c, F.col("scalar"))).alias(c) for c in columns]
+    pivot = [F.min(F.when(F.col("_col") == c, F.struct("ordinal", "scalar")))["scalar"].alias(c) for c in columns]
     return (
         own.groupBy(*ids, "key", "_owner")
         .agg(head.alias("_e"), *pivot)
         .where(F.col("_e").isNotNull())
         .select(*ids, "key", "_e.*", *columns)
     )
+
+
+def items(nodes: DataFrame, ids: Sequence[str], owners: dict[str, Sequence[str]], depth: int = 2) -> DataFrame:
+    """The lists below entities as a child table: one row per scalar under a node of an owner's paths.
+
+    ``owners`` maps an entity's name to the paths of its nodes. Rows: ids, key, entity, anc (positions of the owner and of
+    all lists around it), field (the path below the owner, ``depth`` steps at most), pos (position in its list, 0 for a
+    lone value) and value. Null elements are counted and not returned. No shuffle: a node knows its path and positions.
+    """
+    out = F.lit(None).cast("struct<entity:string,field:string,steps:int>")
+    for name, paths in owners.items():
+        for p in paths:
+            below = F.substr("path", F.lit(len(p) + 2))
+            steps = F.size(F.split(below, "[.]"))
+            hit = F.col("path").startswith(p + ".") & ~F.contains(below, F.lit("[]")) & (steps <= depth)
+            out = F.when(hit, F.struct(F.lit(name).alias("entity"), below.alias("field"), steps.alias("steps"))).otherwise(out)
+    d = nodes.where(F.col("scalar").isNotNull() & ~F.col("type").isin("array", "object", "null", "bad")).withColumn("_o", out).where("_o is not null")
+    anc = F.slice("anc", 1, F.size("anc") - F.col("_o.steps"))
+    return d.select(*ids, "key", "_o.entity", anc.alias("anc"), "_o.field", F.element_at("anc", -1).alias("pos"), F.col("scalar").alias("value"))

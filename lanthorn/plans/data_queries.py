@@ -63,6 +63,19 @@ def p2_matchers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ent.select("rec_id", F.col("anc")[0].alias("request_pos"), F.col("anc")[1].alias("pos"), "type", "part", "condition")
 
 
+def p2_matcher_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of matchers (words, expressions, codes, hashes) as a table below the matcher table."""
+    found = shred.items(nested_nodes(spark, sf_dir).where("kind = 'template'"), ["rec_id"], {"matcher": [f"{p}.matchers" for p in REQUESTS]})
+    return found.select("rec_id", F.col("anc")[0].alias("request_pos"), F.col("anc")[1].alias("matcher_pos"), "field", "pos", "value")
+
+
+def p2_rule_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of a rule (its expressions and icon hashes) as a table below the rule table."""
+    found = shred.items(rule_nodes(spark, sf_dir), ["rec_id"], {"rule": [".rule"]})
+    found = found.where(F.col("field").contains("."))
+    return found.select(F.col("rec_id").alias("finger_id"), F.col("anc")[0].alias("rule_pos"), "field", "pos", "value")
+
+
 def p2_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads without a table: (rec_id, reason)."""
     bad = nested_nodes(spark, sf_dir).where("type = 'bad'")
@@ -83,6 +96,12 @@ def p3_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.parse_lines(table(spark, sf_dir, "raw_line").select("line_id", "file_name", "line_no", "line_text"))
 
 
+def p3_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines refused for their quoting or number of columns, which plain SQL can tell as well."""
+    lines = rejects.parse_lines(table(spark, sf_dir, "raw_line").select("line_id", "line_text"))
+    return lines.where("reason in ('quoting', 'columns')").select("line_id", "reason")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = rejects.parse_lines(table(spark, sf_dir, "raw_line").select("line_id", "line_text"))
     return lines.where("reason is not null").select("line_id", "reason").distinct()
@@ -138,9 +157,12 @@ def p6_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_matchers": p2_matchers,
+    "p2_matcher_values": p2_matcher_values,
+    "p2_rule_values": p2_rule_values,
     "p2_refused": p2_refused,
     "p2_rules": p2_rules,
     "p3_found": p3_found,
+    "p3_shape": p3_shape,
     "p3_parsed": p3_parsed,
     "p3_reasons": p3_reasons,
     "p6_found": p6_found,
@@ -151,7 +173,58 @@ QUERIES = {
     "p6_refused": p6_refused,
 }
 
+RULE_LISTS = [f"regexps.{k}" for k in ("body", "header", "regexp", "version", "cert", "md5", "mmh3", "vuln")] + ["favicon.mmh3", "favicon.md5"]
+FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
+
+
+def _u(e: str, deep: int = 3) -> str:
+    """SQL: the JSON that a JSON text holds, however often it is wrapped."""
+    for _ in range(deep):
+        e = (
+            f"list_transform([{e}], lambda x: CASE WHEN json_type(x) = 'VARCHAR' AND (left(trim(x->>'$'), 1) IN ('{{', '[', '\"') OR trim(x->>'$') = 'null') AND json_valid(x->>'$') THEN CAST(x->>'$' AS JSON) ELSE x END)[1]"
+        )
+    return e
+
+
+def _l(e: str) -> str:
+    """SQL: the elements of a list, of a lone value one, of null none."""
+    return f"list_transform([{_u(e)}], lambda y: CASE coalesce(json_type(y), 'NULL') WHEN 'ARRAY' THEN CAST(y AS JSON[]) WHEN 'NULL' THEN [] ELSE [y] END)[1]"
+
+
+def _each(source: str, keep: str, expr: str, name: str) -> str:
+    """SQL: (keep, pos, v) of the elements of a list expression over a table that are not null."""
+    return (
+        f"{name} AS (SELECT {keep}, CAST(i - 1 AS INTEGER) AS pos, {_u('l[i]')} AS v FROM (SELECT *, UNNEST(range(1, len(l) + 1)) AS i FROM (SELECT *, {expr} AS l FROM {source})) "
+        f"WHERE coalesce(json_type({_u('l[i]')}), 'NULL') <> 'NULL')"
+    )
+
+
+P2 = f"""o AS (SELECT kind AS k, rec_id, {_u('CAST(payload AS JSON)')} AS j FROM nested_record WHERE payload IS NOT NULL AND json_valid(payload)),
+root AS (SELECT * FROM o WHERE json_type(j) = 'OBJECT'),
+t AS (SELECT rec_id, {_u("json_extract(j, '$.info')")} AS info, CASE WHEN coalesce(json_type({_u("json_extract(j, '$.http')")}), 'NULL') <> 'NULL' THEN json_extract(j, '$.http') ELSE json_extract(j, '$.requests') END AS r FROM root WHERE k = 'template'),
+meta AS (SELECT rec_id, m, UNNEST(json_keys(m)) AS name FROM (SELECT rec_id, {_u("json_extract(info, '$.metadata')")} AS m FROM t WHERE json_type(info) = 'OBJECT') WHERE json_type(m) = 'OBJECT'),
+{_each('t', 'rec_id', _l('r'), 'req')},
+{_each("(SELECT rec_id, pos AS parent, v AS q FROM req WHERE json_type(v) = 'OBJECT')", 'rec_id, parent', _l("json_extract(q, '$.matchers')"), 'mat')},
+{_each("(SELECT rec_id, j AS q FROM root WHERE k = 'probe')", 'rec_id', _l("json_extract(q, '$.matches')"), 'mch')},
+{_each(f"(SELECT rec_id, parent, vi AS q FROM (SELECT rec_id, pos AS parent, {_u("json_extract(v, '$.version_info')")} AS vi FROM mch WHERE json_type(v) = 'OBJECT') WHERE json_type(vi) = 'OBJECT')", 'rec_id, parent', _l("json_extract(q, '$.cpes')"), 'cpe')}"""
+SCALAR = lambda e: f"coalesce(CASE WHEN json_type({e}) IN ('OBJECT', 'ARRAY', 'NULL') THEN NULL ELSE {e}->>'$' END, '')"
 SQL = {
+    "p2_found": f"""WITH {P2}
+        SELECT DISTINCT 'metadata' AS kind, rec_id, -1 AS parent_pos, -1 AS pos, name FROM meta WHERE coalesce(json_type({_u("json_extract(m, '$.\"' || name || '\"')")}), 'NULL') <> 'NULL'
+        UNION SELECT 'request', rec_id, -1, pos, '' FROM req
+        UNION SELECT 'matcher', rec_id, parent, pos, {SCALAR(_u("json_extract(v, '$.type')"))} FROM mat
+        UNION SELECT 'match', rec_id, -1, pos, {SCALAR(_u("json_extract(v, '$.service')"))} FROM mch
+        UNION SELECT 'cpe', rec_id, parent, pos, {SCALAR('v')} FROM cpe
+        UNION SELECT 'rule', finger_id, -1, CAST(i - 1 AS INTEGER), '' FROM (SELECT finger_id, rule, UNNEST(RANGE(1, LEN(rule) + 1)) AS i FROM native_finger) WHERE rule[i] IS NOT NULL
+    """,
+    "p2_rule_values": " UNION ALL ".join(
+        f"""SELECT CAST(finger_id AS BIGINT) AS finger_id, rule_pos, '{f}' AS field, CAST(j - 1 AS INTEGER) AS pos, l[j] AS value FROM (SELECT finger_id, CAST(i - 1 AS INTEGER) AS rule_pos, rule[i].{f} AS l, UNNEST(RANGE(1, LEN(rule[i].{f}) + 1)) AS j
+        FROM (SELECT finger_id, rule, UNNEST(RANGE(1, LEN(rule) + 1)) AS i FROM native_finger)) WHERE l[j] IS NOT NULL""" for f in RULE_LISTS
+    ),
+    "p3_shape": f"""SELECT line_id, CASE WHEN NOT ok THEN 'quoting' ELSE 'columns' END AS reason FROM (
+        SELECT line_id, regexp_full_match(t, '{FIELD}(,{FIELD})*', 's') AS ok, len(regexp_extract_all(t || ',', '{FIELD},', 0, 's')) AS n FROM (SELECT line_id, coalesce(line_text, '') AS t FROM raw_line))
+        WHERE NOT ok OR n <> 6
+    """,
     "p2_rules": """
         SELECT CAST(finger_id AS BIGINT) AS finger_id, CAST(i - 1 AS INTEGER) AS pos, r.version AS version, r.vuln AS vuln,
                r.info AS info, CAST(r.level AS INTEGER) AS level, r.send_data AS send_data

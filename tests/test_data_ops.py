@@ -3,6 +3,7 @@
 import csv
 import io
 import json
+import random
 import re
 from collections import defaultdict
 
@@ -136,6 +137,41 @@ def test_record_ends_skip_quoted_breaks():
     assert rejects.record_ends(buf).tolist() == [7, 9]
 
 
+def test_files_are_cut_at_record_ends(spark, tmp_path):
+    rnd = random.Random(3)
+    want = {}
+    for k in range(3):
+        rows = [[str(i), "x" * rnd.randint(0, 30), 'q"uo"te' if i % 3 == 0 else "p", "line\nbreak, and\r\nmore\n" * rnd.randint(0, 60) if i % 7 == 0 else "y"] for i in range(300)]
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\r\n" if k else "\n").writerows(rows)
+        (tmp_path / f"f{k}.csv").write_bytes(out.getvalue().encode())
+        want[f"f{k}.csv"] = sorted(rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("2k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {}
+            for r in rejects.read_records(spark, str(tmp_path)).collect():
+                got.setdefault(r.file_name.rsplit("/", 1)[1], []).append(next(csv.reader(io.StringIO(r.line_text, newline=""), strict=True)))
+            assert {k: sorted(v) for k, v in got.items()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "open.csv").write_bytes(b'a,b\n"c,d\ne,f\n')
+    bad = rejects.read_records(spark, str(tmp_path / "open.csv"))
+    assert sorted(r.line_text for r in bad.collect()) == ['"c,d\ne,f\n', "a,b"]
+    assert [r.reason for r in rejects.parse_lines(bad.where("line_text like '%c%'")).collect()] == ["quoting"]
+
+
+def test_lists_below_matchers(spark):
+    payload = json.dumps({"id": "t", "http": [{"matchers": [{"type": "word", "words": ["a", None, "b"]}, {"type": ["status", "x"], "status": 200}]}]})
+    df = spark.createDataFrame([("template", 1, payload)], "kind string, rec_id int, payload string")
+    nodes = shred.shred(df, ["kind", "rec_id"], "payload", data_queries.PREFER)
+    got = sorted((tuple(r.anc), r.field, r.pos, r.value) for r in shred.items(nodes, ["rec_id"], {"matcher": [".http.matchers"]}).collect())
+    assert got == [((0, 0), "type", 0, "word"), ((0, 0), "words", 0, "a"), ((0, 0), "words", 2, "b"), ((0, 1), "status", 0, "200"), ((0, 1), "type", 0, "status"), ((0, 1), "type", 1, "x")]
+    ent = shred.entities(nodes, ["rec_id"], {"matcher": ([".http.matchers"], {"type": "type"})}).collect()
+    assert {tuple(r.anc): r.type for r in ent} == {(0, 0): "word", (0, 1): None}
+
+
 def test_p3_against_csv_reader(spark, data):
     got = dict(rows(data_queries.p3_found(spark, data)))
     for r in table(spark, data, "raw_line").collect():
