@@ -214,3 +214,18 @@ def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.array(F.struct(F.lit(0).alias("block_no"), F.col("main").alias("lang"), "confidence"))
     each = judged(spark, sf_dir).where("main is not null").select("doc_id", F.explode(F.concat(own, "passages")).alias("x"))
     return each.select("doc_id", "x.*")
+
+
+# --- SQL of those that it can express on whole tables -----------------------------------------------------------------
+
+_ITEM = r"lower(regexp_replace(x, '^\s+|\s+$', '', 'g'))"
+_SETS = rf"""raw AS (
+  SELECT 'text' AS u, 'body' AS side, CAST(finger_id AS BIGINT) AS id, UNNEST(r.regexps.body) AS x FROM (SELECT finger_id, UNNEST(rule) AS r FROM native_finger)
+  UNION ALL SELECT 'mmh3', 'mmh3', finger_id, UNNEST(r.favicon.mmh3) FROM (SELECT finger_id, UNNEST(rule) AS r FROM native_finger)
+  UNION ALL SELECT 'text', 'keyword', ehole_id, UNNEST(keyword) FROM ehole),
+items AS (SELECT DISTINCT u, side, id, {_ITEM} AS x FROM raw WHERE x IS NOT NULL),
+sized AS (SELECT *, count(*) OVER (PARTITION BY side, id) AS n FROM items),
+pairs AS (SELECT a.side AS ls, a.id AS l, b.side AS rs, b.id AS r, count(*) AS shared, max(a.n) AS ln, max(b.n) AS rn FROM sized a JOIN sized b ON a.u = b.u AND a.x = b.x AND a.id < b.id AND a.n >= 3 AND b.n >= 3
+  AND least(a.n, b.n) >= 0.6 * greatest(a.n, b.n) - 1e-9 GROUP BY ALL)"""
+SQL["p7_found"] = f"""WITH {_SETS} SELECT DISTINCT CASE WHEN ls = rs THEN ls ELSE least(ls, rs) || '_' || greatest(ls, rs) END AS kind, l AS left_id, r AS right_id
+FROM pairs WHERE shared >= 0.6 * (ln + rn - shared) - 1e-9"""
