@@ -21,6 +21,11 @@ def normalize(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[-_ ]", "")
 
 
+def fuzzy_match(name: Column, other: Column) -> Column:
+    """Whether two names are the same once normalised."""
+    return F.coalesce(normalize(name) == normalize(other), F.lit(False))
+
+
 def engine_key(engine: Column) -> Column:
     return F.lower(F.trim(engine))
 

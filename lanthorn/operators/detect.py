@@ -64,6 +64,31 @@ def icon_engine(known: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return match
 
 
+def template_engine(found: list[dict]) -> Callable[[DataFrame], DataFrame]:
+    """Templates as ``templates.catalogue`` reads them."""
+    from lanthorn.operators import templates
+
+    return lambda responses: templates.frameworks(responses, found)
+
+
+def socket_engine(fingers: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Native tcp entries over socket banners (resp_id, port, raw): the first of the port's, then the others."""
+    from lanthorn.operators import service
+
+    return lambda banners: service.socket_first(banners, fingers)
+
+
+def probe_engine(probes: DataFrame, catalogue: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Service matches over answers (resp_id, port, probe, tls, error, data): the framework of each target's service."""
+    from lanthorn.operators import scan
+
+    def match(answers: DataFrame) -> DataFrame:
+        told = scan.run(answers.withColumnRenamed("resp_id", "target"), probes, catalogue).where("status = 'Matched'")
+        return told.select(F.col("target").alias("resp_id"), F.col("service").alias("name"), "version")
+
+    return match
+
+
 @dataclass
 class Detector:
     """Registered engines, in the order in which their results fill fields."""

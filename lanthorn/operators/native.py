@@ -192,3 +192,11 @@ def payloads(entries: DataFrame, level: int) -> DataFrame:
     each = F.array(F.struct(F.lit("finger").alias("source"), F.col("send_data").alias("payload")), F.struct(F.lit("rule").alias("source"), F.when(F.lit(level >= 2), F.col("r.send_data")).alias("payload")))
     d = d.select("finger_id", "rule_idx", F.explode(each).alias("x")).select("finger_id", "rule_idx", "x.payload", "x.source")
     return d.where("coalesce(payload, '') != ''")
+
+
+def active_frameworks(first: DataFrame, entries: DataFrame) -> DataFrame:
+    """Frameworks of active probing: rows of ``service.first_active`` with the catalogue's fields, where they come from,
+    and the path that was asked (the rule's payload, else the entry's) as detail of a vulnerability."""
+    r = rules(entries).select("finger_id", "rule_idx", "name", "vendor", "product", "tags", "focus", F.coalesce(F.when(F.col("r.send_data") != "", F.col("r.send_data")), "send_data").alias("path"), F.col("r.vuln").alias("vuln"), F.col("r.info").alias("info"))
+    d = first.join(few(r), ["finger_id", "rule_idx"])
+    return d.withColumns({"froms": F.array(F.lit("active")), "kind": F.lit(None).cast("string"), "detail": F.create_map(F.lit("path"), F.array("path"))}).drop("path")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanthorn.operators import alias, equivalence, native, parse, service
+from lanthorn.plans.data_queries import P2, _l, _u
 from lanthorn.session import table
 
 QUERIES: dict = {}
@@ -246,35 +247,42 @@ def nmap_fallback(spark, d):
     return out.where("probe = 'GenericLines'").select("target", "probe", "service", "version")
 
 
-@query(f"WITH m AS (SELECT * FROM (VALUES {_values(MATCHES)}) t(probe, idx, soft, service, pattern, version)) SELECT probe, CAST(count(*) FILTER (WHERE soft) AS BIGINT) AS soft, CAST(count(*) FILTER (WHERE NOT soft) AS BIGINT) AS hard FROM m GROUP BY 1")
-def soft_hard_counts(spark, d):
-    return _matches(spark).groupBy("probe").agg(F.count_if("soft").alias("soft"), F.count_if(~F.col("soft")).alias("hard"))
-
-
 def _nodes(spark, d):
     from lanthorn.plans import data_queries
 
     return data_queries.nested_nodes(spark, d).where("kind = 'probe'")
 
 
-@query()
+def _int_list(e: str) -> str:
+    return f"list_sort(list_distinct(list_filter(list_transform({_l(e)}, lambda x: TRY_CAST(x->>'$' AS INTEGER)), lambda x: x IS NOT NULL)))"
+
+
+_ONE = lambda c: f"CASE WHEN json_type({c}) IN ('OBJECT', 'ARRAY', 'NULL') THEN NULL ELSE {c}->>'$' END"
+PROBE_ROWS = f"""{P2}, raw_probe AS (SELECT rec_id, {_u("json_extract(j, '$.name')")} AS n, {_u("json_extract(j, '$.protocol')")} AS p, {_u("json_extract(j, '$.rarity')")} AS r, {_int_list("json_extract(j, '$.ports')")} AS ports, {_int_list("json_extract(j, '$.ssl_ports')")} AS ssl_ports FROM root WHERE k = 'probe'),
+probe AS (SELECT rec_id, {_ONE('n')} AS name, {_ONE('p')} AS protocol, TRY_CAST({_ONE('r')} AS INTEGER) AS rarity, coalesce(ports, []) AS ports, coalesce(ssl_ports, []) AS ssl_ports FROM raw_probe)"""
+
+
+@query(f"""WITH {PROBE_ROWS}, n AS (SELECT rec_id, {_u("json_extract(v, '$.soft')")} AS s FROM mch WHERE json_type(v) = 'OBJECT' AND len(json_keys(v)) > 0)
+SELECT p.rec_id, p.name, CAST(count(n.rec_id) FILTER (WHERE coalesce(lower(s->>'$'), '') = 'true') AS BIGINT) AS soft, CAST(count(n.rec_id) FILTER (WHERE coalesce(lower(s->>'$'), '') <> 'true') AS BIGINT) AS hard FROM probe p LEFT JOIN n USING (rec_id) GROUP BY ALL""")
 def catalogue_soft_hard(spark, d):
-    """``soft_hard_counts`` of the probe records; a probe without matches counts 0."""
+    """Soft and hard matches of the probe records; a probe without matches counts 0."""
     nodes = _nodes(spark, d)
     n = service.catalogue_matches(nodes).groupBy("probe").agg(F.count_if("soft").alias("soft"), F.count_if(~F.col("soft")).alias("hard"))
     p = service.catalogue_probes(nodes).select(F.col("seq").alias("rec_id"), "name")
     return p.join(n.withColumnRenamed("probe", "rec_id"), "rec_id", "left").select("rec_id", "name", F.coalesce("soft", F.lit(0)).alias("soft"), F.coalesce("hard", F.lit(0)).alias("hard"))
 
 
-@query()
+@query(f"""WITH {PROBE_ROWS}, l AS (SELECT *, len(ssl_ports) > 0 AS early, CASE WHEN coalesce(lower(name), '') LIKE '%null' THEN 0 WHEN (list_contains(ports, 443) OR name = 'GetRequest' OR len(ssl_ports) > 0) AND rarity >= 1 THEN 1
+ WHEN list_contains(ssl_ports, 443) THEN 2 WHEN rarity >= 1 AND rarity <= 7 THEN 3 END AS layer FROM probe)
+SELECT CAST(row_number() OVER (ORDER BY layer, rarity NULLS FIRST, CASE WHEN early OR name = 'GetRequest' THEN 0 ELSE 1 END, rec_id) AS INTEGER) AS place, name, CAST(layer AS INTEGER) AS layer FROM l WHERE layer IS NOT NULL""")
 def catalogue_probe_order(spark, d):
-    """``probe_order`` of the probe records for the same port and level."""
+    """The probe records in their order for port 443 and level 7."""
     return service.probe_order(service.catalogue_probes(_nodes(spark, d)), 443, 7)
 
 
-@query()
+@query(f"WITH {PROBE_ROWS} SELECT name, rarity FROM probe WHERE upper(protocol) = 'UDP' AND rarity <= 7 AND (len(ports) = 0 OR list_contains(ports, 137))")
 def catalogue_udp_probes(spark, d):
-    """``udp_probe_filter`` of the probe records for the same port and level."""
+    """The probe records that are asked at UDP port 137 up to level 7."""
     return service.udp_probes(service.catalogue_probes(_nodes(spark, d)), 137, 7)
 
 
@@ -285,13 +293,32 @@ def catalogue_identify(spark, d):
     return service.identify_messages(messages, service.catalogue_matches(_nodes(spark, d)))
 
 
-NAMES = ["ssl/http", "ms-wbt-server", "ssl/ftp", "3com_x", "http", "a_b", "domain", "www", "www-http", "HTTP-SSL", "nameserver", "", "my_sql"]
+_FIXED = lambda c: f"CASE {c} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in service.PROTOCOLS.items()) + f" ELSE CASE WHEN {c} LIKE 'ssl/_%' THEN {c}[5:] || '-ssl' ELSE replace(CASE WHEN regexp_matches({c}, '^[0-9]') THEN 'S' || {c} ELSE {c} END, '_', '-') END END"
 
 
-@query("SELECT * FROM (VALUES ('ssl/http', 'https', 'ssl/http'), ('ms-wbt-server', 'rdp', 'ms-wbt-server'), ('ssl/ftp', 'ftp-ssl', 'ssl/ftp'), ('3com_x', 'S3com-x', '3com-x'), ('http', 'http', 'http'), ('a_b', 'a-b', 'a-b'), ('domain', 'dns', 'dns'), ('www', 'www', 'http'), ('www-http', 'www-http', 'http'), ('HTTP-SSL', 'HTTP-SSL', 'https'), ('nameserver', 'nameserver', 'dns'), ('', '', 'unknown'), ('my_sql', 'my-sql', 'my-sql')) t(name, protocol, service)")
+@query(f"""WITH {P2}, n AS (SELECT DISTINCT s->>'$' AS name FROM (SELECT {_u("json_extract(v, '$.service')")} AS s FROM mch WHERE json_type(v) = 'OBJECT') WHERE json_type(s) NOT IN ('OBJECT', 'ARRAY', 'NULL'))
+SELECT name, {_FIXED('name')} AS protocol FROM n""")
 def fix_protocol(spark, d):
-    n = spark.createDataFrame([(x,) for x in NAMES], "name string")
-    return n.select("name", service.fix_protocol(F.col("name")).alias("protocol"), service.fix_service_name(F.col("name")).alias("service"))
+    """The service names of the probe records in this engine's spelling."""
+    n = service.catalogue_matches(_nodes(spark, d)).where("service is not null").select(F.col("service").alias("name")).distinct()
+    return n.select("name", service.fix_protocol(F.col("name")).alias("protocol"))
+
+
+@query(f"""WITH {P2}, msg AS (SELECT DISTINCT name || '/' || version AS target, lower(split_part(name, ' ', 1)) || ' ' || version || chr(13) || chr(10) AS data FROM hits WHERE name IS NOT NULL AND version IS NOT NULL),
+raw_match AS (SELECT rec_id AS probe, pos AS idx, {_u("json_extract(v, '$.soft')")} AS so, {_u("json_extract(v, '$.service')")} AS se, {_u("json_extract(v, '$.pattern')")} AS pa, {_u("json_extract(" + _u("json_extract(v, '$.version_info')") + ", '$.version')")} AS ve FROM mch WHERE json_type(v) = 'OBJECT'),
+m AS (SELECT probe, idx, coalesce(lower(so->>'$'), '') = 'true' AS soft, {_ONE('se')} AS service, {_ONE('pa')} AS pattern, {_ONE('ve')} AS version FROM raw_match),
+met AS (SELECT msg.target, msg.data, m.* FROM msg, m WHERE pattern IS NOT NULL AND TRY(regexp_matches(data, pattern))),
+s AS (SELECT target, probe, min(idx) AS s_idx, arg_min(service, idx) AS s_service FROM met WHERE soft GROUP BY 1, 2),
+h AS (SELECT target, probe, arg_min({{'idx': met.idx, 'service': service, 'version': CASE WHEN version IS NOT NULL THEN replace(replace(replace(version, '$P(1)', '$1'), '$1', regexp_extract(data, pattern || '()()', 1)), '$2', regexp_extract(data, pattern || '()()', 2)) END}}, met.idx) AS h
+  FROM met LEFT JOIN s USING (target, probe) WHERE NOT soft AND (s_idx IS NULL OR idx < s_idx OR service = s_service) GROUP BY 1, 2),
+w AS (SELECT target, probe, coalesce(h.h.idx, s_idx) AS idx, h.h IS NULL AS soft, coalesce(h.h.service, s_service) AS name, h.h.version AS version FROM h FULL JOIN s USING (target, probe))
+SELECT target, probe, CAST(idx AS INTEGER) AS idx, soft, {_FIXED('name')} AS service, version FROM w""")
+def service_identify(spark, d):
+    """Banners of the names and versions found, told by the matches of every probe record: soft and hard matches."""
+    h = table(spark, d, "hits").where("name is not null and version is not null").select("name", "version").distinct()
+    data = F.concat(F.lower(F.substring_index("name", " ", 1)), F.lit(" "), "version", F.lit("\r\n"))
+    messages = h.select(F.concat_ws("/", "name", "version").alias("target"), data.alias("data"))
+    return service.identify_messages(messages, service.catalogue_matches(_nodes(spark, d)))
 
 
 #: name, port, protocol
@@ -307,15 +334,6 @@ def port_guess(spark, d):
     return r.join(s, ["port", "proto"], "left").select("resp_id", F.coalesce("name", F.lit("unknown")).alias("service"))
 
 
-PROBES = [("NULL", 0, [], [], 0, ""), ("GetRequest", 1, [80, 8080], [443], 1, "GET /"), ("TLS", 2, [], [443], 2, "\x16"), ("Rare", 9, [443], [], 3, "x"), ("Zero", 0, [443], [], 4, "z"), ("Common", 3, [], [], 5, "c")]
-
-
-@query("SELECT * FROM (VALUES (1, 'NULL', 0), (2, 'GetRequest', 1), (3, 'TLS', 1), (4, 'Rare', 1), (5, 'Common', 3)) t(place, name, layer)")
-def probe_order(spark, d):
-    p = spark.createDataFrame(PROBES, "name string, rarity int, ports array<int>, ssl_ports array<int>, seq int, payload string")
-    return service.probe_order(p, 443, 7)
-
-
 @query("""WITH w AS (SELECT finger_id, name, default_port, UNNEST(r.regexps.body) AS pattern FROM (SELECT *, UNNEST(rule) AS r FROM native_finger WHERE lower(trim(protocol)) = 'tcp')),
 h AS (SELECT p.resp_id, w.finger_id, w.name, CASE WHEN list_contains(default_port, p.port) OR len(list_filter(default_port, lambda x: regexp_full_match(x, '[0-9]{1,5}-[0-9]{1,5}') AND regexp_full_match(p.port, '[0-9]{1,5}')
    AND TRY_CAST(p.port AS INTEGER) BETWEEN TRY_CAST(split_part(x, '-', 1) AS INTEGER) AND TRY_CAST(split_part(x, '-', 2) AS INTEGER))) > 0 THEN 1 WHEN coalesce(len(default_port), 0) = 0 THEN 2 ELSE 3 END AS o
@@ -372,11 +390,6 @@ def response_classify(spark, d):
 UDP = [("a", "UDP", 1, [137]), ("b", "udp", 3, []), ("c", "UDP", 9, []), ("d", "TCP", 1, [137]), ("e", "UDP", 2, [53])]
 
 
-@query("SELECT * FROM (VALUES ('a', 1), ('b', 3)) t(name, rarity)")
-def udp_probe_filter(spark, d):
-    return service.udp_probes(spark.createDataFrame(UDP, "name string, protocol string, rarity int, ports array<int>"), 137, 7)
-
-
 @query("SELECT * FROM (VALUES ('t1', 'https', '1.18.0'), ('t2', 'ssl', NULL), ('t3', 'ssh', '9')) t(target, service, version)")
 def ssl_second_pass(spark, d):
     first = spark.createDataFrame([("t1", "ssl", None), ("t2", "ssl", None), ("t3", "ssh", "9")], "target string, service string, version string")

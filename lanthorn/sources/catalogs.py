@@ -25,6 +25,10 @@ SCHEMAS = {
     "goby": "name string, logic string, rule array<struct<label: string, feature: string, is_equal: boolean>>",
     "alias": f"name string, vendor string, product string, tags {_STRINGS}, priority int, link {_STRINGS}, alias map<string, {_STRINGS}>, block {_STRINGS}, pocs {_STRINGS}, metadata map<string, string>",
     "ports": f"name string, ports {_STRINGS}, tags {_STRINGS}",
+    "services": "name string, port int, protocol string, probability double, comments string",
+    "probes": "name string, protocol string, rarity int, ports array<int>, ssl_ports array<int>, fallback string, probe string, "
+    f"matches array<struct<soft: boolean, service: string, pattern: string, version_info: struct<product: string, version: string, info: string, hostname: string, os: string, device: string, cpes: {_STRINGS}>>>",
+    "apps": f"app string, cats array<int>, css {_STRINGS}, cookies map<string, string>, js {_STRINGS}, headers map<string, string>, html {_STRINGS}, scripts {_STRINGS}, scriptsrc {_STRINGS}, meta map<string, {_STRINGS}>, implies {_STRINGS}, description string, website string, cpe string",
 }
 #: Where a catalogue comes from and what reads it: kind of source by catalogue name.
 REGISTRY = {"native_rules": "json", "ehole": "json", "goby": "json", "alias": "yaml", "ports": "yaml", "nmap-services": "services", "nmap-probes": "probes"}
@@ -57,6 +61,41 @@ def from_records(spark: SparkSession, name: str, records: list) -> DataFrame:
     return rows.select(F.from_json("j", schema).alias("x")).select("x.*")
 
 
+def read_catalogue(spark: SparkSession, name: str, path: str, override: str | None = None) -> DataFrame:
+    """A catalogue file, or the file that overrides it: JSON or YAML as its content says, gzip or plain."""
+    data = load_bytes(override or path)
+    try:
+        doc = json.loads(data)
+    except ValueError:
+        import yaml
+
+        doc = yaml.safe_load(data)
+    return from_records(spark, name, doc if isinstance(doc, list) else [doc])
+
+
+def read_apps(spark: SparkSession, path: str) -> DataFrame:
+    """Applications of a file {"apps" or "technologies": {name: {...}}}: names of fields and keys lower case, a lone value
+    a list of one, lists sorted, of ``js`` the keys only."""
+    doc = json.loads(load_bytes(path))
+    apps = doc.get("apps") or doc.get("technologies") or doc
+    as_list = lambda x: sorted(str(v) for v in (x if isinstance(x, list) else [] if x is None else [x]))
+    out = []
+    for app, rec in apps.items():
+        r = {k.lower(): v for k, v in rec.items()}
+        low = lambda m: {k.lower(): v if isinstance(v, str) else "" for k, v in m.items()} if isinstance(m, dict) else None
+        rec = {"app": app, "cats": sorted(c for c in r.get("cats") or [] if isinstance(c, int)), "cookies": low(r.get("cookies")), "headers": low(r.get("headers")), "js": sorted(r["js"]) if isinstance(r.get("js"), dict) else as_list(r.get("js"))}
+        rec |= {k: as_list(r.get(k)) for k in ("css", "html", "scripts", "scriptsrc", "implies")}
+        rec["meta"] = {k.lower(): as_list(v) for k, v in r["meta"].items()} if isinstance(r.get("meta"), dict) else None
+        out.append(rec | {k: r.get(k) for k in ("description", "website", "cpe")})
+    return from_records(spark, "apps", out)
+
+
+def probe_matches(probes: DataFrame) -> DataFrame:
+    """The match table of probes that were read from JSON."""
+    m = probes.select(F.col("name").alias("probe"), F.posexplode("matches").alias("idx", "m"))
+    return m.select("probe", "idx", F.coalesce("m.soft", F.lit(False)).alias("soft"), "m.service", "m.pattern", "m.version_info.*")
+
+
 def read_yaml_tree(spark: SparkSession, name: str, root: str) -> tuple[DataFrame, DataFrame]:
     """(table, report) of all .yaml and .yml files under a folder or of one file; a file holds one document or a list.
 
@@ -71,7 +110,7 @@ def read_yaml_tree(spark: SparkSession, name: str, root: str) -> tuple[DataFrame
             doc = yaml.safe_load(load_bytes(p))
             docs = doc if isinstance(doc, list) else [doc]
             good = [d for d in docs if isinstance(d, dict)]
-            records += good
+            records += [d | {"_source_file": os.path.relpath(p, root if os.path.isdir(root) else os.path.dirname(root))} for d in good]
             report.append((p, len(good), None if len(good) == len(docs) else "not an object"))
         except (yaml.YAMLError, UnicodeDecodeError, OSError) as e:
             report.append((p, 0, type(e).__name__))
@@ -128,6 +167,16 @@ def unescape(text: str) -> bytes:
     return bytes(out)
 
 
+def with_flags(pattern: str, flags: str) -> str:
+    """A match's regular expression with its options inside; any option brings ``i`` along. ``\\0`` is a zero byte."""
+    pattern = pattern.replace(r"\0", r"\x00")
+    if not flags:
+        return pattern
+    inner = pattern.removeprefix("^")
+    end = "$" if inner.endswith("$") and not inner.endswith("\\$") else ""
+    return f"{'^' if pattern.startswith('^') else ''}(?{''.join(sorted({*flags, 'i'}))}:{inner.removesuffix(end) if end else inner}){end}"
+
+
 def parse_probes(text: str) -> tuple[list[dict], list[dict]]:
     """(probes, matches) of a probe database text: a probe starts at each ``Probe`` line, ``Exclude`` is left out."""
     probes, found = [], []
@@ -145,9 +194,8 @@ def parse_probes(text: str) -> tuple[list[dict], list[dict]]:
             m = re.match(r"(\S+) m(.)(.*?)\2([is]*)(.*)$", rest)
             if not m:
                 continue
-            flags = "".join(sorted(set(m[4])))
             info = {k: (x[1] if (x := re.search(_FIELD.format(c), m[5])) else None) for k, c in (("product", "p"), ("version", "v"), ("info", "i"), ("hostname", "h"), ("os", "o"), ("device", "d"))}
-            found.append({"probe": probes[-1]["name"], "idx": len(found), "soft": word == "softmatch", "service": m[1], "pattern": f"(?{flags}){m[3]}" if flags else m[3], **info, "cpes": re.findall(r"cpe:/[^/\s]+", m[5])})
+            found.append({"probe": probes[-1]["name"], "idx": len(found), "soft": word == "softmatch", "service": m[1], "pattern": with_flags(m[3], m[4]), **info, "cpes": re.findall(r"cpe:/[^/\s]+", m[5])})
         elif word in ("ports", "sslports"):
             probes[-1]["ports" if word == "ports" else "ssl_ports"] = _ports(rest)
         elif word == "rarity":
@@ -160,8 +208,11 @@ def parse_probes(text: str) -> tuple[list[dict], list[dict]]:
 def read_probes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     probes, found = parse_probes(load_bytes(path).decode("latin-1"))
     p = spark.createDataFrame([tuple(x.values()) for x in probes], "name string, protocol string, rarity int, ports array<int>, ssl_ports array<int>, fallback string, probe binary")
-    m = spark.createDataFrame([tuple(x.values()) for x in found], "probe string, idx int, soft boolean, service string, pattern string, product string, version string, info string, hostname string, os string, device string, cpes array<string>")
-    return p, m
+    return p, match_table(spark, found)
+
+
+def match_table(spark: SparkSession, found: list[dict]) -> DataFrame:
+    return spark.createDataFrame([tuple(x.values()) for x in found], "probe string, idx int, soft boolean, service string, pattern string, product string, version string, info string, hostname string, os string, device string, cpes array<string>")
 
 
 def port_map(probes: DataFrame) -> DataFrame:
@@ -175,6 +226,33 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
+def write_results(df: DataFrame, path: str) -> None:
+    """Sink of scan results."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def merge_yaml(spark: SparkSession, root: str, target: str, level: int = 9, logged: int = 10) -> DataFrame:
+    """All YAML records under a folder, each with its ``_source_file``, as one gzip JSON list; the report of the files.
+
+    The report keeps every file; ``shown`` is true for the first ``logged`` failures.
+    """
+    import yaml
+
+    docs, report, bad = [], [], 0
+    for p in sorted(x for e in ("yaml", "yml") for x in glob.glob(f"{root}/**/*.{e}", recursive=True)):
+        try:
+            doc = yaml.safe_load(load_bytes(p))
+            good = [d for d in (doc if isinstance(doc, list) else [doc]) if isinstance(d, dict)]
+            docs += [d | {"_source_file": os.path.relpath(p, root)} for d in good]
+            report.append((p, len(good), None, False))
+        except (yaml.YAMLError, UnicodeDecodeError, OSError) as e:
+            bad += 1
+            report.append((p, 0, type(e).__name__, bad < logged))
+    with open(target, "wb") as f:
+        f.write(gzip.compress(json.dumps(docs, default=str, ensure_ascii=False).encode(), level))
+    return spark.createDataFrame(report, "path string, loaded int, reason string, shown boolean")
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(path, md5) of the files under a path."""
     return spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("md5"))

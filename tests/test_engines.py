@@ -243,7 +243,7 @@ nonsense line
 def test_sources(spark, tmp_path):
     probes, found = catalogs.parse_probes(PROBES)
     assert [(p["name"], p["rarity"], p["ports"], p["fallback"]) for p in probes] == [("NULL", 0, [], None), ("Neg", 7, [137, 139, 140], "NULL")]
-    assert probes[1]["probe"] == b"\0A\n\\" and found[0]["pattern"].startswith("(?i)^220") and found[0]["version"] == "$1" and found[1]["soft"]
+    assert probes[1]["probe"] == b"\0A\n\\" and found[0]["pattern"].startswith("^(?i:220") and found[0]["version"] == "$1" and found[1]["soft"]
     (tmp_path / "p.txt").write_text(PROBES)
     p, m = catalogs.read_probes(spark, str(tmp_path / "p.txt"))
     assert m.count() == 2 and {(r.port, r.probe) for r in catalogs.port_map(p).collect()} == {(0, "NULL"), (0, "Neg"), (137, "Neg"), (139, "Neg"), (140, "Neg")}
