@@ -208,7 +208,22 @@ meta AS (SELECT rec_id, m, UNNEST(json_keys(m)) AS name FROM (SELECT rec_id, {_u
 {_each("(SELECT rec_id, j AS q FROM root WHERE k = 'probe')", 'rec_id', _l("json_extract(q, '$.matches')"), 'mch')},
 {_each(f"(SELECT rec_id, parent, vi AS q FROM (SELECT rec_id, pos AS parent, {_u("json_extract(v, '$.version_info')")} AS vi FROM mch WHERE json_type(v) = 'OBJECT') WHERE json_type(vi) = 'OBJECT')", 'rec_id, parent', _l("json_extract(q, '$.cpes')"), 'cpe')}"""
 SCALAR = lambda e: f"coalesce(CASE WHEN json_type({e}) IN ('OBJECT', 'ARRAY', 'NULL') THEN NULL ELSE {e}->>'$' END, '')"
+NULLABLE = lambda e: f"CASE WHEN json_type({e}) IN ('OBJECT', 'ARRAY', 'NULL') THEN NULL ELSE {e}->>'$' END"
+#: Lines as the statement of p3_found has them; the engine of this SQL judges the expressions.
+P3 = rf"""cut AS (SELECT line_id, t, regexp_full_match(t, '{FIELD}(,{FIELD})*', 's') AS ok, list_transform(regexp_extract_all(t || ',', '({FIELD}),', 1, 's'),
+    lambda x: CASE WHEN left(x, 1) = '"' THEN replace(x[2:-2], '""', '"') ELSE x END) AS f FROM (SELECT line_id, coalesce(line_text, '') AS t FROM raw_line)),
+  part AS (SELECT *, f[1] AS entry, f[2] AS catalog, f[3] AS name, f[4] AS field, f[5] AS value, f[6] AS level, CASE f[4] WHEN 'html' THEN split_part(f[5], '\;', 1) ELSE f[5] END AS expr,
+    CASE WHEN f[4] = 'html' AND instr(f[5], '\;') > 0 THEN substr(f[5], instr(f[5], '\;') + 2) ELSE '' END AS options FROM cut),
+  judged AS (SELECT line_id, CASE WHEN NOT ok THEN 'quoting' WHEN len(f) <> 6 THEN 'columns'
+    WHEN NOT regexp_full_match(entry, '[0-9]+') OR length(ltrim(entry, '0')) > 18 OR (catalog, field) NOT IN (('native', 'regexp'), ('wapp', 'html'), ('ehole', 'keyword')) OR trim(name) = '' OR NOT regexp_full_match(level, '[0-5]') THEN 'value'
+    WHEN field = 'keyword' THEN CASE WHEN NOT json_valid(value) OR regexp_matches(value, ',\s*\]\s*$') OR json_type(value) <> 'ARRAY' OR json_array_length(value) = 0 OR len(list_filter(CAST(value AS JSON[]), lambda x: json_type(x) <> 'VARCHAR')) > 0 THEN 'keyword' END
+    WHEN TRY(regexp_matches('', expr)) IS NULL THEN 'pattern'
+    WHEN len(list_filter(regexp_extract_all(options, '\\([0-9]+)', 1), lambda x: CAST(x AS INTEGER) > len(regexp_extract_all(regexp_replace(replace(expr, '\(', ''), '\[[^\]]*\]', '', 'g'), '\((?:[^?]|\?P?<)', 0)))) > 0 THEN 'pattern' END AS reason FROM part)"""
 SQL = {
+    "p3_found": f"WITH {P3} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p3_reasons": f"WITH {P3} SELECT file_name, coalesce(reason, 'valid') AS outcome, CAST(count(*) AS BIGINT) AS lines FROM judged JOIN raw_line USING (line_id) GROUP BY ALL",
+    "p6_refused": """SELECT rec_id, reason FROM (SELECT rec_id, CASE WHEN feed IS NULL OR NOT (feed LIKE 'wapp%' OR feed LIKE 'template%') THEN 'feed' WHEN file_seq IS NULL THEN 'file_seq' WHEN payload IS NULL THEN 'null' WHEN NOT json_valid(payload) THEN 'broken'
+        WHEN json_type(payload) <> 'OBJECT' THEN 'not an object' WHEN coalesce(json_type(json_extract(payload, CASE WHEN feed LIKE 'wapp%' THEN '$.app' ELSE '$.id' END)), 'NULL') = 'NULL' THEN 'name' END AS reason FROM drift_record) WHERE reason IS NOT NULL""",
     "p2_found": f"""WITH {P2}
         SELECT DISTINCT 'metadata' AS kind, rec_id, -1 AS parent_pos, -1 AS pos, name FROM meta WHERE coalesce(json_type({_u("json_extract(m, '$.\"' || name || '\"')")}), 'NULL') <> 'NULL'
         UNION SELECT 'request', rec_id, -1, pos, '' FROM req
@@ -217,6 +232,16 @@ SQL = {
         UNION SELECT 'cpe', rec_id, parent, pos, {SCALAR('v')} FROM cpe
         UNION SELECT 'rule', finger_id, -1, CAST(i - 1 AS INTEGER), '' FROM (SELECT finger_id, rule, UNNEST(RANGE(1, LEN(rule) + 1)) AS i FROM native_finger) WHERE rule[i] IS NOT NULL
     """,
+    "p2_matchers": f"""WITH {P2}, m AS (SELECT rec_id, parent, pos, v FROM mat WHERE json_type(v) <> 'ARRAY')
+        SELECT rec_id, parent AS request_pos, pos, {NULLABLE(_u("json_extract(v, '$.type')"))} AS type, {NULLABLE(_u("json_extract(v, '$.part')"))} AS part, {NULLABLE(_u("json_extract(v, '$.condition')"))} AS condition FROM m
+    """,
+    "p2_matcher_values": f"""WITH {P2}, f AS (SELECT rec_id, parent, pos, v, UNNEST(json_keys(v)) AS field FROM mat WHERE json_type(v) = 'OBJECT'),
+        {_each("(SELECT rec_id, parent, pos AS matcher_pos, field, v AS q FROM f)", 'rec_id, parent, matcher_pos, field', _l("json_extract(q, '$.\"' || field || '\"')"), 'val')}
+        SELECT rec_id, parent AS request_pos, matcher_pos, field, pos, v->>'$' AS value FROM val WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY')
+    """,
+    "p2_refused": f"""SELECT rec_id, CASE WHEN payload IS NULL THEN 'null' WHEN NOT json_valid(payload) THEN 'broken' ELSE 'not an object' END AS reason FROM nested_record
+        WHERE payload IS NULL OR NOT json_valid(payload) OR coalesce(json_type({_u("CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END")}), 'NULL') <> 'OBJECT'
+    """,
     "p2_rule_values": " UNION ALL ".join(
         f"""SELECT CAST(finger_id AS BIGINT) AS finger_id, rule_pos, '{f}' AS field, CAST(j - 1 AS INTEGER) AS pos, l[j] AS value FROM (SELECT finger_id, CAST(i - 1 AS INTEGER) AS rule_pos, rule[i].{f} AS l, UNNEST(RANGE(1, LEN(rule[i].{f}) + 1)) AS j
         FROM (SELECT finger_id, rule, UNNEST(RANGE(1, LEN(rule) + 1)) AS i FROM native_finger)) WHERE l[j] IS NOT NULL""" for f in RULE_LISTS

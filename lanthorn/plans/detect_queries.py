@@ -101,3 +101,25 @@ def detect_agreed(spark, d):
 def refused_patterns(spark, d):
     """Regular expressions of the native catalogue that do not compile; the rules go on without them."""
     return native.refused_patterns(table(spark, d, "native_finger"))
+
+
+SQL["wapp_frameworks"] = f"""WITH {WON}, lines AS{PARTS}, {WAPP} SELECT resp_id, lower(app) AS name, arg_max(version, (version <> '', part <> 'html', CASE WHEN part <> 'html' THEN -idx ELSE idx END, part, key, app_id, version)) AS version,
+  array_to_string(list_sort(list_distinct(list(part))), ',') AS parts, min(app_id) AS app_id FROM wm GROUP BY resp_id, lower(app)"""
+
+PAGES = "SELECT CAST(ehole_id AS BIGINT) AS resp_id, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Server: ' || coalesce(cms, '') || chr(13) || chr(10) || chr(13) || chr(10) || array_to_string(keyword, ' ') AS raw FROM ehole WHERE keyword IS NOT NULL"
+
+
+@query(f"""WITH pages AS ({PAGES}), parsed AS (SELECT resp_id, CASE WHEN sep > 0 THEN substr(content, 1, sep - 1) END AS header, CASE WHEN sep > 0 THEN substr(content, sep + 4) END AS body
+  FROM (SELECT resp_id, lower(raw) AS content, instr(lower(raw), chr(13) || chr(10) || chr(13) || chr(10)) AS sep FROM pages)),
+et AS (SELECT resp_id, 'body' AS part, body AS text FROM parsed WHERE body IS NOT NULL UNION ALL SELECT resp_id, 'header', header FROM parsed WHERE header IS NOT NULL),
+er AS (SELECT ehole_id, lower(trim(method)) AS method, CASE WHEN lower(trim(location)) IN ('body', 'title') THEN 'body' WHEN lower(trim(location)) = 'header' THEN 'header' END AS part, list_transform(list_filter(coalesce(keyword, []), lambda x: x IS NOT NULL), lambda x: lower(x)) AS words FROM ehole),
+hit AS (SELECT resp_id, ehole_id, method FROM et JOIN er USING (part) WHERE method = 'keyword' AND len(list_filter(words, lambda k: NOT contains(text, k))) = 0)
+SELECT method, CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT resp_id) AS BIGINT) AS pages, CAST(count(DISTINCT ehole_id) AS BIGINT) AS rules FROM hit GROUP BY method""")
+def ehole_own_pages(spark, d):
+    """Keyword rules over pages that hold the keywords of the catalogue's own rows: every rule meets its own page at least."""
+    rows = table(spark, d, "ehole").where("keyword is not null")
+    raw = F.concat(F.lit("HTTP/1.1 200 OK\r\nServer: "), F.coalesce("cms", F.lit("")), F.lit("\r\n\r\n"), F.array_join("keyword", " "))
+    none = [F.lit(None).cast("string").alias(c) for c in ("url", "host", "port", "cert")]
+    pages = rows.select(F.col("ehole_id").cast("bigint").alias("resp_id"), *none, raw.alias("raw"))
+    hit = web.ehole_hits(pages, table(spark, d, "ehole")).where("method = 'keyword'")
+    return hit.groupBy("method").agg(F.count("*").alias("hits"), F.count_distinct("resp_id").alias("pages"), F.count_distinct("ehole_id").alias("rules"))
