@@ -229,3 +229,16 @@ pairs AS (SELECT a.side AS ls, a.id AS l, b.side AS rs, b.id AS r, count(*) AS s
   AND least(a.n, b.n) >= 0.6 * greatest(a.n, b.n) - 1e-9 GROUP BY ALL)"""
 SQL["p7_found"] = f"""WITH {_SETS} SELECT DISTINCT CASE WHEN ls = rs THEN ls ELSE least(ls, rs) || '_' || greatest(ls, rs) END AS kind, l AS left_id, r AS right_id
 FROM pairs WHERE shared >= 0.6 * (ln + rn - shared) - 1e-9"""
+
+#: Compatibility forms of ASCII; that is all SQL folds, so the SQL holds where names are written with no other forms.
+_WIDE, _PLAIN = "".join(chr(0xFF01 + i) for i in range(94)).replace("＇", ""), "".join(chr(0x21 + i) for i in range(94)).replace("'", "")
+_TEXT = lambda c: rf"regexp_replace(lower(translate(coalesce({c}, ''), '{_WIDE}', '{_PLAIN}')), '[^\p{{L}}\p{{N}}]', '', 'g')"
+_SET = lambda c: f"list_sort(list_distinct(list_filter(coalesce({c}, []), lambda x: x IS NOT NULL)))"
+_ATTRS = rf"""list_sort(list_distinct(list_filter(list_transform(string_split_regex(coalesce(attrs, ''), '[;|]'), lambda x: CASE WHEN trim(split_part(x, '=', 1)) <> '' OR trim(substr(x, instr(x || '=', '=') + 1)) <> ''
+  THEN lower(trim(split_part(x, '=', 1))) || '=' || {_TEXT("CASE WHEN instr(x, '=') > 0 THEN substr(x, instr(x, '=') + 1) ELSE '' END")} END), lambda x: x IS NOT NULL)))"""
+_KEYS = f"""k AS (SELECT 'native_finger' AS catalog, CAST(finger_id AS BIGINT) AS id, [{_TEXT('name')}, {_TEXT('vendor')}, {_TEXT('product')}] || {_SET('link')} AS key FROM native_finger
+  UNION ALL SELECT 'alias_entry', alias_id, [{_TEXT('name')}] || {_ATTRS} || ['|'] || {_SET('link')} FROM alias_entry
+  UNION ALL SELECT 'ehole', ehole_id, [{_TEXT('cms')}, {_TEXT('method')}, {_TEXT('location')}] || {_SET("list_transform(keyword, lambda x: lower(trim(x)))")} FROM ehole),
+g AS (SELECT catalog, key, min(id) AS first_id, count(*) AS copies FROM k GROUP BY ALL)"""
+SQL["p1_found"] = f"WITH {_KEYS} SELECT catalog, first_id, id AS record_id FROM k JOIN g USING (catalog, key) WHERE id <> first_id"
+SQL["p1_records"] = f"WITH {_KEYS} SELECT catalog, first_id, CAST(copies AS BIGINT) AS copies FROM g"
