@@ -54,16 +54,20 @@ def normalized_header(header: Column, fold: bool = True) -> Column:
     return F.array_join(lines, "")
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def header_map(header: Column) -> Column:
     """map of lower-case key to lower-case value; repeated keys join their values by ``, ``."""
-    lines = header_lines(header)
-    keys = F.array_distinct(F.transform(lines, lambda x: x["key"]))
-    return F.map_from_entries(
-        F.transform(
-            keys,
-            lambda k: F.struct(k, F.lower(F.array_join(F.transform(F.filter(lines, lambda x: x["key"] == k), lambda x: x["value"]), ", "))),
-        )
-    )
+
+    def grouped(lines: Column) -> Column:
+        keys = F.array_distinct(F.transform(lines, lambda x: x["key"]))
+        value = lambda k: F.lower(F.array_join(F.transform(F.filter(lines, lambda x: x["key"] == k), lambda x: x["value"]), ", "))
+        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, value(k))))
+
+    return once(header_lines(header), grouped)
 
 
 def cookie_pieces(set_cookie: Column) -> Column:
@@ -76,8 +80,12 @@ def cookie_map(set_cookie: Column) -> Column:
     """map of cookie names to values; pieces without ``=`` are dropped, the last of a name wins."""
     pairs = F.filter(F.transform(cookie_pieces(set_cookie), lambda p: F.trim(p)), lambda p: F.instr(p, "=") > 0)
     kv = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.substr(p, F.instr(p, "=") + 1).alias("v")))
-    names = F.array_distinct(F.transform(kv, lambda x: x["k"]))
-    return F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.element_at(F.filter(kv, lambda x: x["k"] == n), -1)["v"])))
+
+    def last(kv: Column) -> Column:
+        names = F.array_distinct(F.transform(kv, lambda x: x["k"]))
+        return F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.element_at(F.filter(kv, lambda x: x["k"] == n), -1)["v"])))
+
+    return once(kv, last)
 
 
 def title(body: Column) -> Column:

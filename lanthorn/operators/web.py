@@ -212,8 +212,8 @@ def app_hits(responses: DataFrame, apps: DataFrame, parts: Sequence[str] = KEYED
     """(resp_id, app_id, app, part, key, idx, version) of the patterns that match.
 
     A message becomes rows of (part, key, text) in one pass, its HTML read once: headers, cookies and meta tags by their
-    keys, the body and the script sources as texts. Keyed rows meet the patterns of their key, texts those whose literal
-    they hold and those that have none, all in one join with the pattern table. With ``html_only`` body, script and meta
+    keys, the body and the script sources as texts. Rows meet the patterns (of their key) whose literal they hold and
+    those that have none, all in one join with the pattern table. With ``html_only`` body, script and meta
     patterns look at messages whose content type says text/html. Patterns that do not compile match nothing.
     """
 
@@ -224,14 +224,17 @@ def app_hits(responses: DataFrame, apps: DataFrame, parts: Sequence[str] = KEYED
         return pd.Series([keywords.required_literal(x) for x in s], dtype=object)
 
     pats = app_patterns(apps).where(F.col("part").isin(*parts)).where(keywords.compiles(F.col("expr")))
-    probe = F.when(F.col("part").isin(*KEYED), F.col("key")).otherwise(F.coalesce(literal("expr"), F.lit("")))
-    pats = checkpoint(pats.withColumn("probe", probe))
-    anchors = [r.probe for r in pats.where(F.col("part").isin(*TEXTS)).select("probe").distinct().toLocalIterator()]
+    lit = F.coalesce(literal("expr"), F.lit(""))
+    pats = checkpoint(pats.withColumn("literal", lit))
+    pats = pats.withColumn("probe", F.when(F.col("part").isin(*KEYED), F.concat_ws("\0", "key", "literal")).otherwise(F.col("literal")))
+    anchors = [r.literal for r in pats.select("literal").distinct().toLocalIterator()]
     header, body = parse.after_split(F.col("raw"))
     row = lambda part, key, text: F.struct(F.lit(part).alias("part"), key.alias("key"), text.alias("text"))
     none = F.array().cast("array<struct<part:string,key:string,text:string>>")
     pairs = lambda part, m: F.transform(F.map_entries(m), lambda e: row(part, e["key"], e["value"]))
-    d = responses.where("raw is not null").select("resp_id", parse.header_map(header).alias("h"), F.lower(body).alias("body"))
+    # a generator keeps the parsed message from being computed again for every part of it that is used
+    message = F.struct(parse.header_map(header).alias("h"), F.lower(body).alias("body"))
+    d = responses.where("raw is not null").select("resp_id", F.explode(F.array(message)).alias("m")).select("resp_id", "m.*")
     if {"meta", "scriptsrc"} & set(parts):
         d = d.withColumn("tags", parse.tags(F.col("body")))
     lists = {
@@ -244,13 +247,14 @@ def app_hits(responses: DataFrame, apps: DataFrame, parts: Sequence[str] = KEYED
     gate = F.contains(F.coalesce(F.try_element_at("h", F.lit("content-type")), F.lit("")), F.lit("text/html"))
     of = lambda p: F.when(gate, lists[p]()) if html_only and p not in ("headers", "cookies") else lists[p]()
     texts = d.select("resp_id", F.explode(F.concat(*[F.coalesce(of(p), none) for p in parts])).alias("x")).select("resp_id", "x.*").where("text is not null")
-    probed = _probed(texts, [a for a in anchors if a], "" in anchors)
-    met = probed.join(few(pats.withColumnRenamed("key", "pattern_key")), ["part", "probe"]).where("expr = '' or regexp_like(text, expr)")
+    probed = _probed(texts, [a for a in anchors if a])
+    met = probed.join(few(pats.withColumnRenamed("key", "pattern_key").drop("literal")), ["part", "probe"]).where("expr = '' or regexp_like(text, expr)")
     return met.select("resp_id", "app_id", "app", "part", F.col("pattern_key").alias("key"), "idx", _version().alias("version"))
 
 
-def _probed(rows: DataFrame, anchors: list[str], bare: bool) -> DataFrame:
-    """(part, key, text) rows with each ``probe`` they look for patterns with: the key, or the literals of a text and ''."""
+def _probed(rows: DataFrame, anchors: list[str]) -> DataFrame:
+    """(part, key, text) rows with each ``probe`` they look for patterns with: the literals of the text and '', behind the
+    key where there is one."""
     block = [keywords.Block(b) for b in keywords.blocks(sorted(anchors), keywords.BLOCK_BYTES)] or [keywords.Block([])]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", probes array<string>"
     at = [rows.columns.index(c) for c in ("part", "key", "text")]
@@ -263,10 +267,8 @@ def _probed(rows: DataFrame, anchors: list[str], bare: bool) -> DataFrame:
             for b in batches:
                 probes = []
                 for part, key, text in zip(*(b.column(i).to_pylist() for i in at)):
-                    if part in KEYED:
-                        probes.append([key] if first else [])
-                    else:
-                        probes.append([*sorted(find(text)), *([""] if first and bare else [])])
+                    own = [*sorted(find(text)), *([""] if first else [])]
+                    probes.append([f"{key}\0{x}" for x in own] if part in KEYED else own)
                 keep = [i for i, x in enumerate(probes) if x]
                 if keep:
                     have = b.take(pa.array(keep, pa.int32()))
