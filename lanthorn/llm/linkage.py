@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lanthorn.llm import canonical
 from lanthorn.operators.skew import skew_join
-from lanthorn.session import checkpoint
+from lanthorn.session import checkpoint, few
 
 #: Different makers, and the share of all makers, with which a word must stand to be a second name that says nothing about
 #: the product.
@@ -44,8 +44,6 @@ EVIDENCE = "word string, kind string, product string, maker string, addresses ar
 #: Share of matches in which a function votes against, where that is known beforehand: makers are folded, so two
 #: spellings of one maker hardly differ, while namesakes of other makers agree in everything else.
 KNOWN_ERRORS = {"maker": 1e-4}
-#: Rows of a table that are broadcast; a longer one is joined by a shuffle.
-BROADCAST_ROWS = 100_000
 
 
 def icon(text: str | None) -> int | None:
@@ -156,10 +154,10 @@ def without_generic(left: DataFrame, right: DataFrame, makers: int = GENERIC_MAK
     generic = checkpoint(pairs.groupBy("word").agg(F.count("*").alias("makers")).where(F.col("makers") >= most).select("word"))
     if not generic.head(1):
         return left, right
-    few = F.broadcast if generic.count() <= BROADCAST_ROWS else (lambda d: d)
-    joined = pairs.select("maker").distinct().join(few(generic.withColumnRenamed("word", "second")))  # makers times few words
+    # a word needs a hundredth of all makers, so a maker has a hundred second names at most
+    joined = pairs.select("maker").distinct().join(few(generic.withColumnRenamed("word", "second")))
     bare = generic.select("word", F.lit("").alias("of")).unionByName(joined.select(F.concat("maker", "second").alias("word"), F.lit("none").alias("of")))
-    bare = bare.groupBy("word").agg(F.min("of").alias("of"))
+    bare = few(checkpoint(bare.groupBy("word").agg(F.min("of").alias("of"))))
 
     def clean(d: DataFrame) -> DataFrame:
         met = d.join(bare, "word", "left")
@@ -243,7 +241,6 @@ def candidates(left: DataFrame, right: DataFrame, max_block: int = 1000) -> Data
     hot = sides.groupBy("key").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).where(F.col("l") * F.col("r") > max_block * max_block)
     hot = checkpoint(hot.select("key", parts("l").alias("l_parts"), parts("r").alias("r_parts")))
     n_hot = hot.count()
-    few = F.broadcast if n_hot <= BROADCAST_ROWS else (lambda d: d)
 
     def spread(df, rep, own, other):
         if not n_hot:

@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanthorn.session import checkpoint
+
 #: mix_target holds one row per source; more than this is refused (they become literals of the plan).
 MAX_SOURCES = 1000
 BINS = 4096
@@ -113,7 +115,7 @@ def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     spark = sized.sparkSession
     docs = sized.select("doc_id", source_key(F.col("source")).alias("source"), F.col("n_tokens").cast("bigint").alias("n_tokens"))
     docs = docs.where(F.col("source").isin(list(target)) & (F.col("n_tokens") > 0))
-    lengths = docs.groupBy("source", "n_tokens").agg(F.count("*").alias("docs")).cache()
+    lengths = checkpoint(docs.groupBy("source", "n_tokens").agg(F.count("*").alias("docs")))
     rows = lengths.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("docs")).alias("t"), F.sum("docs").alias("d")).collect()
     have = {r.source: (float(r.t), float(r.d)) for r in rows}
     cap = {s: m for s, (_, m) in target.items()}
