@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanthorn.session import BROADCAST_ROWS, checkpoint
+
 #: Rows of one key that one salt takes. The list of hot keys has at most (all rows / HOT_ROWS) entries.
 HOT_ROWS = 200_000
 
@@ -17,11 +19,15 @@ def skew_join(
     ``weight`` is a column of ``dim`` with the number of ``rows`` rows of the key; a key of more than ``hot_rows``
     gets ceil(weight / hot_rows) salts, the dimension row being repeated for each, so that no task takes more than
     about ``hot_rows`` rows of one key. ``spread`` (an integer expression over ``rows``) picks the salt. Salts of the
-    cold keys are 0. The hot list is a join of its own: it holds at most rows/hot_rows keys, so Spark broadcasts it
-    when that is small and shuffles otherwise. ``weight`` is dropped. Null keys match nothing.
+    cold keys are 0. The list of hot keys is always broadcast: where it has more than BROADCAST_ROWS keys, ``hot_rows``
+    doubles until it has not, which all rows bound. ``dim`` is written once. ``weight`` is dropped. Null keys match
+    nothing.
     """
+    dim = checkpoint(dim)
+    while dim.where(F.col(weight) > hot_rows).limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        hot_rows *= 2
     salts = F.greatest(F.lit(1), F.ceil(F.col(weight) / F.lit(hot_rows))).cast("int")
-    hot = dim.where(F.col(weight) > hot_rows).select(F.col(key), salts.alias("_n"))
+    hot = F.broadcast(dim.where(F.col(weight) > hot_rows).select(F.col(key), salts.alias("_n")))
     salted = (
         rows.join(hot, key, "left")
         .withColumn("_salt", F.coalesce(F.pmod(spread, F.col("_n")), F.lit(0)).cast("int"))
