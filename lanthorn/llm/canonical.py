@@ -383,8 +383,7 @@ def shuffle_join(distinct: DataFrame, refs: DataFrame, lexicon: Lexicon) -> Data
 
 def map_entries(entries: DataFrame, products: DataFrame, ranked: int = prefix_join.RANKED) -> DataFrame:
     """``entries`` (with columns name and row_id) with the canon_id each name means; null names get 0."""
-    # names that mean an entry, written once: the join below looks at them for hot names as well
-    mapped = checkpoint(map_names(entries.where("name is not null"), products, ranked).where("canon_id != 0"))
+    mapped = map_names(entries.where("name is not null"), products, ranked).where("canon_id != 0")
     # a name may hold a large part of all rows: its rows are spread over salts
     hit = skew_join(entries, mapped, "name", "n", F.xxhash64("row_id"), how="left")
     return hit.withColumn("canon_id", F.coalesce("canon_id", F.lit(0)).cast("bigint"))
