@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanthorn.session import checkpoint
+
 #: A token is common in more than COMMON x sqrt(classes) classes; at most (mean size x sqrt(classes) / COMMON) tokens are.
 COMMON = 0.25
 #: The table of common tokens, which is broadcast, has at most so many rows: with fewer, only the work differs.
@@ -169,8 +171,10 @@ def set_members(records: DataFrame, least: int = 3) -> DataFrame:
 
 def similar_classes(members: DataFrame, t: float = 0.6, least: int = 3) -> DataFrame:
     """(left_set, right_set, shared, total): similar pairs of different sets, each once."""
+    # classes by a 64-bit number for short shuffle keys; should two share one, candidates meet both and the items decide
     classes = members.groupBy("set_id").agg(F.first("universe").alias("universe"), F.first("items").alias("items"))
-    hashed = classes.select("set_id", F.transform("items", lambda x: F.xxhash64("universe", x)).alias("tokens"))
+    classes = checkpoint(classes.withColumn("c", F.xxhash64("set_id")))
+    hashed = classes.select("c", F.transform("items", lambda x: F.xxhash64("universe", x)).alias("tokens"))
     largest, n, total = hashed.agg(F.max(F.size("tokens")), F.count("*"), F.sum(F.size("tokens"))).first()
     scheme = Scheme(t, least, largest or least)
     often = max(2, COMMON * math.sqrt(n), (total or 0) / COMMON_ROWS)
@@ -180,26 +184,25 @@ def similar_classes(members: DataFrame, t: float = 0.6, least: int = 3) -> DataF
     def signed(side: str, make) -> DataFrame:
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                idx, sig, role = [], [], []
+                idx, sig = [], []
                 for i, tokens in enumerate(b.column(1).to_pylist()):
-                    for s, r in make(tokens):
-                        idx.append(i)
-                        sig.append(s)
-                        role.append(r)
+                    own = {s ^ r for s, r in make(tokens)}  # the role is part of what has to be equal
+                    sig += own
+                    idx += [i] * len(own)
                 ids = b.column(0).take(pa.array(idx, pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sig, pa.int64()), pa.array(role, pa.int8())], names=[side, "sig", "role"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sig, pa.int64())], names=[side, "sig"])
 
-        return hashed.mapInArrow(sign, f"{side} binary, sig bigint, role tinyint")
+        return hashed.mapInArrow(sign, f"{side} bigint, sig bigint")
 
-    met = signed("a", lambda t: scheme.probes(t, cost.value)).join(signed("b", lambda t: scheme.stored(t, cost.value)), ["sig", "role"]).where("a != b")
+    met = signed("a", lambda t: scheme.probes(t, cost.value)).join(signed("b", lambda t: scheme.stored(t, cost.value)), "sig").where("a != b")
     # two sets of one band probe each other: keep the pair once
-    pairs = met.select(F.least("a", "b").alias("left_set"), F.greatest("a", "b").alias("right_set")).distinct()
-    left = classes.select(F.col("set_id").alias("left_set"), F.col("universe").alias("lu"), F.col("items").alias("li"))
-    right = classes.select(F.col("set_id").alias("right_set"), F.col("universe").alias("ru"), F.col("items").alias("ri"))
-    both = pairs.join(left, "left_set").join(right, "right_set").where("lu = ru")
+    pairs = met.select(F.least("a", "b").alias("lc"), F.greatest("a", "b").alias("rc")).distinct()
+    side = lambda s: classes.select(F.col("c").alias(f"{s}c"), F.col("set_id").alias(f"{s}_id"), F.col("universe").alias(f"{s}u"), F.col("items").alias(f"{s}i"))
+    both = pairs.join(side("l"), "lc").join(side("r"), "rc").where("lu = ru")
     shared = F.size(F.array_intersect("li", "ri"))
     both = both.withColumn("shared", shared).withColumn("total", F.size("li") + F.size("ri") - F.col("shared"))
-    return both.where(F.col("shared") >= F.col("total") * F.lit(t) - F.lit(1e-9)).select("left_set", "right_set", "shared", "total")
+    both = both.where(F.col("shared") >= F.col("total") * F.lit(t) - F.lit(1e-9))
+    return both.select(F.least("l_id", "r_id").alias("left_set"), F.greatest("l_id", "r_id").alias("right_set"), "shared", "total")
 
 
 def member_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
