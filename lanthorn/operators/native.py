@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lanthorn.functions.mmh3 import mmh3
 from lanthorn.operators import keywords, parse
-from lanthorn.session import checkpoint, few
+from lanthorn.session import checkpoint, few, spread
 
 KINDS = ("vuln", "regexp", "header", "body", "md5", "mmh3", "cert")
 
@@ -61,7 +61,7 @@ def located(responses: DataFrame, marked: list[str]) -> DataFrame:
     by_place: dict[str, set[str]] = {}
     for x in marked:
         by_place.setdefault(x[0], set()).add(x[1:])
-    p = responses.select("resp_id", F.lower("raw").alias("content"), "cert").where("content is not null or cert is not null")
+    p = spread(responses.select("resp_id", "raw", "cert")).select("resp_id", F.lower("raw").alias("content"), "cert").where("content is not null or cert is not null")
     kind = p.schema["resp_id"].dataType.simpleString()
     out = None
 

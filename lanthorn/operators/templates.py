@@ -24,7 +24,7 @@ from lanthorn.functions import expr
 from lanthorn.functions.mmh3 import mmh3, mmh3_batch
 from lanthorn.operators import keywords, parse
 from lanthorn.operators.shred import unwrap
-from lanthorn.session import few
+from lanthorn.session import few, spread
 
 
 def events(responses: DataFrame, fold: bool = True) -> DataFrame:
@@ -254,7 +254,7 @@ def match_catalogue(responses: DataFrame, templates: Sequence[dict], fold: bool
 
     Regular expressions are those of Python. Without ``index`` every template is evaluated on every response.
     """
-    ev = events(responses, fold).select("resp_id", "body", "all_headers", "status_code", "content_length")
+    ev = events(spread(responses.select("resp_id", "raw")), fold).select("resp_id", "body", "all_headers", "status_code", "content_length")
     kind = ev.schema["resp_id"].dataType.simpleString()
     out = None
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lanthorn.functions import expr
 from lanthorn.operators import keywords, parse
-from lanthorn.session import checkpoint, few
+from lanthorn.session import checkpoint, few, spread
 
 norm = lambda c: F.lower(F.trim(F.col(c)))
 
@@ -37,7 +37,7 @@ def _anchored(texts: DataFrame, rules: DataFrame) -> DataFrame:
 
 def parts(responses: DataFrame) -> DataFrame:
     """(resp_id, part, text) for header and body of the lower-case message."""
-    p = parse.parsed(responses)
+    p = parse.parsed(spread(responses))
     each = F.array(F.struct(F.lit("header").alias("part"), F.col("header").alias("text")), F.struct(F.lit("body").alias("part"), F.col("body").alias("text")))
     return p.select("resp_id", F.explode(each).alias("x")).select("resp_id", "x.*").where("text is not null")
 
@@ -99,7 +99,7 @@ def goby_states(responses: DataFrame, goby: DataFrame, block_bytes: int = keywor
     each block is one automaton pass in which the logic is evaluated as well. Rules without features are in none.
     """
     rules = [(i, t, f) for i, t, f in _logic_rules(goby) if f]
-    texts = responses.where("raw is not null").select("resp_id", F.lower("raw").alias("text"))
+    texts = spread(responses.where("raw is not null").select("resp_id", "raw")).select("resp_id", F.lower("raw").alias("text"))
     kinds = [texts.schema["resp_id"].dataType.simpleString(), goby.schema["goby_id"].dataType.simpleString()]
     schema = f"resp_id {kinds[0]}, states array<struct<goby_id: {kinds[1]}, holds: boolean>>"
     out = None
@@ -234,7 +234,7 @@ def app_hits(responses: DataFrame, apps: DataFrame, parts: Sequence[str] = KEYED
     pairs = lambda part, m: F.transform(F.map_entries(m), lambda e: row(part, e["key"], e["value"]))
     # a generator keeps the parsed message from being computed again for every part of it that is used
     message = F.struct(parse.header_map(header).alias("h"), F.lower(body).alias("body"))
-    d = responses.where("raw is not null").select("resp_id", F.explode(F.array(message)).alias("m")).select("resp_id", "m.*")
+    d = spread(responses.where("raw is not null").select("resp_id", "raw")).select("resp_id", F.explode(F.array(message)).alias("m")).select("resp_id", "m.*")
     if {"meta", "scriptsrc"} & set(parts):
         d = d.withColumn("tags", parse.tags(F.col("body")))
     lists = {

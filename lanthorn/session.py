@@ -26,6 +26,15 @@ def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The table in as many partitions as there are cores, where it comes in fewer: for stages with much work per byte.
+
+    Tables of more partitions, which is all large ones, stay as they are and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as the session's ``spark.checkpoint.dir`` names it.
 
