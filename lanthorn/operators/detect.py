@@ -26,8 +26,8 @@ def hits_of(engine: str, found: DataFrame) -> DataFrame:
     return found.select("resp_id", F.lit(engine).alias("engine"), *cols)
 
 
-def native_engine(fingers: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    return lambda responses: native.frameworks(responses, fingers)
+def native_engine(entries: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    return lambda responses: native.frameworks(responses, entries)
 
 
 def keyword_engine(rules: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -71,11 +71,11 @@ def template_engine(found: list[dict]) -> Callable[[DataFrame], DataFrame]:
     return lambda responses: templates.frameworks(responses, found)
 
 
-def socket_engine(fingers: DataFrame) -> Callable[[DataFrame], DataFrame]:
+def socket_engine(entries: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Native tcp entries over socket banners (resp_id, port, raw): the first of the port's, then the others."""
     from lanthorn.operators import service
 
-    return lambda banners: service.socket_first(banners, fingers)
+    return lambda banners: service.socket_first(banners, entries)
 
 
 def probe_engine(probes: DataFrame, catalogue: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -143,7 +143,7 @@ class Detector:
         return self.detect(send(plan.dropDuplicates(["target", "payload"])))
 
 
-def derived_aliases(fingers: DataFrame, engine: str = "native") -> DataFrame:
+def derived_aliases(entries: DataFrame, engine: str = "native") -> DataFrame:
     """An alias entry of every native row: its own name under its engine. Listed entries go before them."""
     names = F.create_map(F.lit(engine), F.array("name"))
-    return fingers.where("name is not null").select(F.col("finger_id").cast("bigint").alias("alias_id"), "name", "vendor", "product", names.alias("alias"), F.lit(None).cast("array<string>").alias("block"))
+    return entries.where("name is not null").select(F.col("finger_id").cast("bigint").alias("alias_id"), "name", "vendor", "product", names.alias("alias"), F.lit(None).cast("array<string>").alias("block"))

@@ -27,12 +27,12 @@ def query(sql: str | None = None):
 
 def detector(spark, d) -> detect.Detector:
     """All engines over the catalogues of a data directory; icons are off unless asked for."""
-    fingers, listed = table(spark, d, "native_finger"), table(spark, d, "alias_entry")
-    aliases = catalogs.with_yaml_aliases(detect.derived_aliases(fingers), listed.select("alias_id", "name", "vendor", "product", "alias", "block"))
+    entries, listed = table(spark, d, "native_finger"), table(spark, d, "alias_entry")
+    aliases = catalogs.with_yaml_aliases(detect.derived_aliases(entries), listed.select("alias_id", "name", "vendor", "product", "alias", "block"))
     out = detect.Detector(aliases)
-    out.register("native", detect.native_engine(fingers)).register("wappalyzer", detect.pattern_engine(table(spark, d, "wapp_app")))
+    out.register("native", detect.native_engine(entries)).register("wappalyzer", detect.pattern_engine(table(spark, d, "wapp_app")))
     out.register("ehole", detect.keyword_engine(table(spark, d, "ehole"))).register("goby", detect.logic_engine(table(spark, d, "goby")))
-    return out.register("favicon", detect.icon_engine(web.icon_table(fingers, table(spark, d, "ehole"))), enabled=False)
+    return out.register("favicon", detect.icon_engine(web.icon_table(entries, table(spark, d, "ehole"))), enabled=False)
 
 
 PARTS = LINES.split("lines AS", 1)[1]
