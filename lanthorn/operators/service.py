@@ -56,8 +56,10 @@ def match_groups(data: str, pattern: str, most: int = 9) -> Column:
 
 
 def banner_matches(banners: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """All (banner, match) pairs that hold: equality of the probe, then the expression."""
-    return banners.join(catalogue, "probe").where("regexp_like(data, pattern)")
+    """All (banner, match) pairs that hold: equality of the probe, then the expression, where its literal is there."""
+    from lanthorn.operators import scan
+
+    return scan.matches_of(banners, catalogue)
 
 
 def identify(banners: DataFrame, catalogue: DataFrame) -> DataFrame:
