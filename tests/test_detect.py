@@ -2,13 +2,14 @@
 
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lanthorn.functions import expr
 from lanthorn.operators import detect, keywords, native, scan, templates, web
-from lanthorn.plans import detect_queries
+from lanthorn.plans import detect_queries, native_queries
 from lanthorn.session import table
 from lanthorn.sources import catalogs
 
@@ -211,3 +212,16 @@ def test_active_results(spark, data):
     first = spark.createDataFrame([("t", 1, 0, "/probe")], "target string, finger_id int, rule_idx int, payload string")
     got = native.active_frameworks(first, f).collect()
     assert [(r.name, r.froms, r.detail) for r in got] == [("A", ["active"], {"path": ["/probe"]})]
+
+
+def test_the_nested_loops_pairs_without_a_nested_loop(spark, data):
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choice("abcä\U0001f600 ") for _ in range(n))
+    pats = spark.createDataFrame([("",), (None,), ("a",), ("ab",), ("abc",), *((make(rng.randint(1, 9)),) for _ in range(400))], "pattern string")
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (4, "abcabcabc"), *((i, make(rng.randint(0, 40))) for i in range(5, 60))], "id long, text string")
+    slow = sorted(map(tuple, keywords.brute_hits(texts, pats).collect()))
+    assert sorted(map(tuple, keywords.window_hits(texts, pats).collect())) == slow and len(slow) > 200
+    plan = native_queries.prefilter_equals_bruteforce(spark, data)
+    assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.collect() == [(0, 0)]
