@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanthorn.functions import expr
-from lanthorn.operators import detect, keywords, native, scan, templates, web
+from lanthorn.operators import alias, detect, keywords, native, scan, templates, web
 from lanthorn.plans import detect_queries, native_queries
 from lanthorn.session import table
 from lanthorn.sources import catalogs
@@ -225,3 +225,38 @@ def test_the_nested_loops_pairs_without_a_nested_loop(spark, data):
     assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan._jdf.queryExecution().executedPlan().toString()
     assert plan.collect() == [(0, 0)]
+
+
+def test_hits_are_merged_in_the_row_of_their_response(spark, data):
+    """Rows of the merge of all hits (shared texts, captured versions, aliases, blocks, tags, other engines, repeated ids), none shuffled."""
+    schema = table(spark, data, "native_finger").select("finger_id", "name", "vendor", "product", "protocol", "tags", "focus", "send_data", "rule").schema
+
+    def entry(i, name, rules, vendor=None, tags=None, focus=False):
+        full = [None if r is None else {"version": v, "vuln": None, "info": None, "level": None, "send_data": None, "favicon": None, "regexps": {k: r.get(k) for k in ("body", "header", "regexp", "version", "cert", "md5", "mmh3", "vuln")}} for v, r in rules]
+        return (i, name, vendor, vendor, "http", tags, focus, None, full)
+
+    rows = [entry(i, f"Common {i % 7}", [("_", {"header": ["nope"]}), (f"{i % 5}.0" if i % 2 else "_", {"body": ["Shared", "page"], "cert": ["ca"]})], f"v{i % 3}" if i % 4 else None, [f"t{i % 6}", None, "a"] if i % 3 else None, i == 9) for i in range(1, 60)]
+    rows += [
+        entry(70, "Nginx", [("9", {"regexp": [r"nginx/([\d.]+)"], "header": ["nginx"]})], "f5", ["web"]), entry(71, "nginx ", [("", {"regexp": [r"(\d\.\d+)"], "vuln": ["[a-z]/1"]})]),
+        entry(72, "Common 1", [(None, None), ("7", {"regexp": [r"nginx/([\d.]+)"]})]), entry(73, None, [("1", {"body": ["page"]})]), entry(74, "Gone", [("1", {"body": ["page"]})]),
+        entry(75, "Empty", [("1", {"body": [""], "md5": ["900150983cd24fb0d6963f7d28e17f72"]})]), entry(75, "Twice", [("3", {"header": ["x-none"]})]), entry(76, "Broken", [("1", {"regexp": ["(nginx"], "mmh3": ["1"]})]),
+    ]
+    entries = spark.createDataFrame(rows, schema)
+    alias_rows = [(1, "Web Server", "aliased", None, {"native": ["NGINX", "common-3"], "other": ["thing"]}, None), (2, "Gone", None, None, {"native": ["gone"]}, [" Native "])]
+    aliases = spark.createDataFrame(alias_rows, "alias_id bigint, name string, vendor string, product string, alias map<string,array<string>>, block array<string>")
+    rs = responses(spark, OK + "a shared page", OK + "shared nginx/2.5", OK + "abc", "no separator, shared page", None, "", OK + "thing").withColumn("cert", F.when(F.col("resp_id") == 6, "CN=ca"))
+    rs = rs.unionByName(rs.where("resp_id = 0").withColumn("raw", F.lit(OK + "second page"))).unionByName(rs.where("resp_id = 2").withColumn("resp_id", F.lit(None).cast("bigint")))
+    other = lambda responses: responses.where("raw like '%nginx%'").select("resp_id", F.explode(F.array(F.lit("thing"), F.lit("COMMON 1"), F.lit("New"))).alias("name"), F.lit("0.1").alias("version"), F.array(F.lit("b"), F.lit(None)).alias("tags"), F.lit(True).alias("focus"))
+    for names in (["other", "native"], ["native", "other"], ["native"], ["other"]):
+        for known in (aliases, None):
+            d = detect.Detector(known)
+            for n in names:
+                d.register(n, detect.native_engine(entries) if n == "native" else other)
+            hits = d.hits(rs)
+            every = alias.merge(alias.resolve(hits, alias.alias_map(known)) if known is not None else hits.withColumn("blocked", F.lit(False)), names)
+            got = d.detect(rs)
+            assert got.dtypes == every.dtypes
+            assert sorted(map(str, got.collect())) == sorted(map(str, every.collect()))
+    assert len(every.collect()) == 12 and got.where("resp_id is null").count() == 0
+    plan = detect_queries.detect_all(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < min(plan.index("Exchange"), plan.index("Aggregate"))
