@@ -260,3 +260,13 @@ def test_hits_are_merged_in_the_row_of_their_response(spark, data):
     assert len(every.collect()) == 12 and got.where("resp_id is null").count() == 0
     plan = detect_queries.detect_all(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInArrow") < min(plan.index("Exchange"), plan.index("Aggregate"))
+
+
+def test_template_blocks_need_no_distinct(spark):
+    """Responses that match thousands of templates, in batches smaller than one read: no pair lost, none twice, and blocks need no distinct."""
+    made = [templates.read_template(json.dumps({"id": f"t{i % 2500:05}", "http": [{"matchers": [{"type": "status", "status": [200]} if i % 2 else {"type": "word", "words": ["shared"]}]}]}))[0] for i in range(5000)]
+    rs = responses(spark, *[OK + ("shared" if i % 2 else "other") for i in range(300)], "HTTP/1.1 404 no\r\n\r\nshared")
+    got = templates.match_catalogue(rs.coalesce(1), made, block_bytes=100_000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("MapInArrow") > 1
+    assert got.count() == got.distinct().count() == 150 * 2500 + 150 * 1250 + 1250
